@@ -182,11 +182,11 @@ def long_feature_pairs(spark, sf):
 @query(
     "series_prefix",
     f"""WITH {SUPPLIER_SQL}, g AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars)
-SELECT symbol, {TS}, {rounded_sql('close')} AS close FROM g WHERE rn <= 60""",
+SELECT symbol, {TS}, close FROM g WHERE rn <= 60""",
 )
 def series_prefix(spark, sf):
     head = ft.field_values(ft.prefix(bars_supplier(spark, sf), 60), "close")
-    return head.select("symbol", clock(F.col("timestamp")).alias("ts"), rounded(F.col("close")).alias("close"))
+    return head.select("symbol", clock(F.col("timestamp")).alias("ts"), "close")
 
 
 @query(
