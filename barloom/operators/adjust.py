@@ -63,7 +63,7 @@ def vendor_adjustment(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.inline(
             F.array(
                 F.struct(F.lit("split").alias("action_type"), F.col("split").alias("value")),
-                F.struct(F.lit("dividend").alias("action_type"), F.col("dividend").alias("value")),
+                F.struct(F.lit("cash_dividend").alias("action_type"), F.col("dividend").alias("value")),
             )
         ),
     ).filter(finite(F.col("value")) & (F.col("value") > 0))
