@@ -65,6 +65,12 @@ def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], Non
     )
 
 
+def within(held: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored rows in the batch's time span, so that the scan skips older files."""
+    low, high = batch.agg(F.min("timestamp"), F.max("timestamp")).first()
+    return held.filter(F.col("timestamp").between(F.lit(low), F.lit(high)))
+
+
 def ingest_bars(stream: DataFrame, bars: BatchTable, refused: BatchTable, now: Column, checkpoint: str) -> StreamingQuery:
     """Append settled, valid bars; unchanged bars are skipped, changed ones refused as conflicts."""
 
@@ -72,10 +78,10 @@ def ingest_bars(stream: DataFrame, bars: BatchTable, refused: BatchTable, now: C
         settled = settled_only(batch, now).withColumn("issues", row_issues())
         bad = settled.filter(F.size("issues") > 0).select(*BAR_KEY, F.array_join("issues", ",").alias("reason"))
         good = settled.filter(F.size("issues") == 0).drop("issues")
-        held = bars.read(before=number)
+        held = within(bars.read(before=number), good)
         near = held.join(good.select(*BAR_KEY).distinct(), list(BAR_KEY), "left_semi")
         merged, conflicts = merge_bars(near, good)
-        bars.put(merged.join(held.select(*BAR_KEY), list(BAR_KEY), "left_anti").select(*BAR_KEY, *BAR_FIELDS), number)
+        bars.put(merged.join(near.select(*BAR_KEY), list(BAR_KEY), "left_anti").select(*BAR_KEY, *BAR_FIELDS), number)
         refused.put(bad.unionByName(conflicts.select(*BAR_KEY, F.lit("conflict").alias("reason"))), number)
 
     return run(stream, checkpoint, each, "ingest-bars")
@@ -90,7 +96,7 @@ def register_claims(stream: DataFrame, ledger: BatchTable, refused: BatchTable,
 
     def each(batch: DataFrame, number: int) -> None:
         current = is_current_tail(F.col("timestamp"), F.col("recorded_at"))
-        held = ledger.read(before=number)
+        held = within(ledger.read(before=number), batch)
         known = held.select("artifact_key")
         late = batch.filter(~current).join(known, "artifact_key", "left_anti")
         judged = lg.register(batch.join(late.select("artifact_key"), "artifact_key", "left_anti"), held)
@@ -135,7 +141,8 @@ def ingest_documents(
 
     def each(batch: DataFrame, number: int) -> None:
         held = ledger.read(before=number)
-        judged = dc.classify_revisions(held, batch, item=item)
+        near = held.join(batch.select(*item).distinct(), list(item), "left_semi")
+        judged = dc.classify_revisions(near, batch, item=item)
         ledger.put(dc.to_append(judged).select(*held.columns), number)
         counters.put(dc.ingestion_counters(judged).filter(F.col("source").isNotNull()), number)
 
