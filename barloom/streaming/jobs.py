@@ -1,9 +1,10 @@
 """Incremental ingestion as Structured Streaming jobs.
 
-Every job writes through ``foreachBatch`` into tables with one folder per
-micro-batch. A replayed batch replaces its own folder and compares only with
-earlier ones, so a lost executor or driver never doubles a record. Rows that are
-refused go to a side table with a reason; nothing is dropped silently.
+Every job writes through ``foreachBatch`` into tables with one folder per query
+and micro-batch. A replayed batch replaces its own folder and compares with all
+others, so neither a lost executor or driver nor a fresh checkpoint doubles a
+record. Rows that are refused go to a side table with a reason; nothing is
+dropped silently. Each table has one writing job.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ BAR_KEY = (*SERIES_KEY, "timestamp")
 
 @dataclass(frozen=True)
 class BatchTable:
-    """An append-only table whose folders are named by micro-batch."""
+    """An append-only table whose folders are named by query and micro-batch."""
 
     spark: SparkSession
     path: str
@@ -36,26 +37,32 @@ class BatchTable:
     def prepare(self, schema) -> "BatchTable":
         """An empty first folder, so that the table can be read before any batch."""
         empty = self.spark.createDataFrame([], schema)
-        empty.write.mode("overwrite").parquet(f"{self.path}/_b=-1")
+        empty.write.mode("overwrite").parquet(f"{self.path}/_b=none")
         return self
 
-    def read(self, before: int | None = None) -> DataFrame:
+    def read(self, without: str | None = None) -> DataFrame:
+        """All rows, or all but those of one batch."""
         rows = self.spark.read.option("basePath", self.path).parquet(f"{self.path}/_b=*")
-        if before is not None:
-            rows = rows.filter(F.col("_b") < before)
+        if without is not None:
+            rows = rows.filter(F.col("_b") != without)
         return rows.drop("_b")
 
-    def put(self, rows: DataFrame, batch: int) -> None:
+    def put(self, rows: DataFrame, batch: str) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/_b={batch}")
 
 
-def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], name: str) -> StreamingQuery:
-    """Process everything available, one micro-batch at a time."""
+def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, str], None], name: str) -> StreamingQuery:
+    """Process everything available, one micro-batch at a time.
+
+    The query id lives in the checkpoint: a restart keeps it, a fresh checkpoint
+    gets another one and so never overwrites the folders of the old one.
+    """
 
     def once(batch: DataFrame, number: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         batch.persist()
         try:
-            each(batch, number)
+            each(batch, f"{query}-{number}")
         finally:
             batch.unpersist()
 
@@ -74,11 +81,11 @@ def within(held: DataFrame, batch: DataFrame) -> DataFrame:
 def ingest_bars(stream: DataFrame, bars: BatchTable, refused: BatchTable, now: Column, checkpoint: str) -> StreamingQuery:
     """Append settled, valid bars; unchanged bars are skipped, changed ones refused as conflicts."""
 
-    def each(batch: DataFrame, number: int) -> None:
+    def each(batch: DataFrame, number: str) -> None:
         settled = settled_only(batch, now).withColumn("issues", row_issues())
         bad = settled.filter(F.size("issues") > 0).select(*BAR_KEY, F.array_join("issues", ",").alias("reason"))
         good = settled.filter(F.size("issues") == 0).drop("issues")
-        held = within(bars.read(before=number), good)
+        held = within(bars.read(without=number), good)
         near = held.join(good.select(*BAR_KEY).distinct(), list(BAR_KEY), "left_semi")
         merged, conflicts = merge_bars(near, good)
         bars.put(merged.join(near.select(*BAR_KEY), list(BAR_KEY), "left_anti").select(*BAR_KEY, *BAR_FIELDS), number)
@@ -94,9 +101,9 @@ def register_claims(stream: DataFrame, ledger: BatchTable, refused: BatchTable,
     Late claims are never back-filled.
     """
 
-    def each(batch: DataFrame, number: int) -> None:
+    def each(batch: DataFrame, number: str) -> None:
         current = is_current_tail(F.col("timestamp"), F.col("recorded_at"))
-        held = within(ledger.read(before=number), batch)
+        held = within(ledger.read(without=number), batch)
         known = held.select("artifact_key")
         late = batch.filter(~current).join(known, "artifact_key", "left_anti")
         judged = lg.register(batch.join(late.select("artifact_key"), "artifact_key", "left_anti"), held)
@@ -116,13 +123,15 @@ def mature_outcomes(
 ) -> StreamingQuery:
     """Append outcomes whose horizon has settled; each at most once.
 
-    Only claims with an open spec are measured, against bars from the earliest
-    of them on.
+    ``bar_stream`` carries settled, validated bars; those not stored yet are
+    appended to ``bars``. Only claims with an open spec are measured, against
+    bars from the earliest of them on.
     """
 
-    def each(batch: DataFrame, number: int) -> None:
-        bars.put(batch.select(*BAR_KEY, *BAR_FIELDS), number)
-        held = outcomes.read(before=number)
+    def each(batch: DataFrame, number: str) -> None:
+        known = within(bars.read(without=number), batch).select(*BAR_KEY)
+        bars.put(batch.join(known, list(BAR_KEY), "left_anti").select(*BAR_KEY, *BAR_FIELDS), number)
+        held = outcomes.read(without=number)
         every = claims()
         done = held.groupBy("artifact_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= len(specs))
         pending = every.join(done.select("artifact_key"), "artifact_key", "left_anti")
@@ -139,8 +148,8 @@ def ingest_documents(
 ) -> StreamingQuery:
     """Classify arriving versions against the stored ones and append what is new."""
 
-    def each(batch: DataFrame, number: int) -> None:
-        held = ledger.read(before=number)
+    def each(batch: DataFrame, number: str) -> None:
+        held = ledger.read(without=number)
         near = held.join(batch.select(*item).distinct(), list(item), "left_semi")
         judged = dc.classify_revisions(near, batch, item=item)
         ledger.put(dc.to_append(judged).select(*held.columns), number)

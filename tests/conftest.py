@@ -15,7 +15,10 @@ from barloom.session import local_session  # noqa: E402
 def spark():
     session = local_session(8, "barloom-tests")
     session.conf.set("spark.sql.shuffle.partitions", "3")
+    # small data and many distinct plans: compiling them would take most of the time
     session.conf.set("spark.sql.adaptive.enabled", "false")
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
 
 

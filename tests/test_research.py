@@ -98,8 +98,7 @@ def test_code_order(spark):
     assert row.c == ["unanimous_bullish", "insufficient_inputs_excluded"]
 
 
-@pytest.mark.parametrize("layout", [Layout("whole"), CUT], ids=["whole", "cut"])
-def test_outcome_statuses(spark, layout):
+def test_outcome_statuses(spark, layout=CUT):
     rows = wave_bars(80)
     bars = bars_frame(spark, rows)
     out = evaluate(observe(bars, (TREND_ALIGNMENT,), layout=layout), bars, layout=layout)
@@ -178,8 +177,7 @@ def test_runs_against_brute_force(spark, layout):
 STUDY = StudyDefinition(("AAA", "BBB"), "2020-01-01", "2020-03-15", "2020-07-01", "2020-08-01")
 
 
-@pytest.mark.parametrize("layout", [Layout("whole"), CUT], ids=["whole", "cut"])
-def test_study_accounting(spark, layout):
+def test_study_accounting(spark, layout=CUT):
     bars = bars_frame(spark, wave_bars(200, ("AAA", "BBB")))
     assert study_issues(bars, STUDY).count() == 0
     rows = observation_rows(bars, STUDY, layout).cache()
