@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.functions.common import once
+
 
 def capped(text: Column, maximum: int) -> Column:
     """Cut at ``maximum`` characters and drop trailing white space, if longer."""
@@ -73,28 +78,34 @@ BOUNDARY_WORDS = (
 )
 
 
-@F.pandas_udf(T.StringType())
-def fold_unicode(text: pd.Series) -> pd.Series:
-    """NFKC, format and control characters out, case folded (NULL stays NULL)."""
+# every listed word contains one of these
+BOUNDARY_STEMS = ("buy", "bought", "sell", "sold", "hold", "weight", "allocat", "guarantee")
 
-    def fold(value):
-        if value is None:
-            return None
-        kept = (c for c in unicodedata.normalize("NFKC", value) if unicodedata.category(c) not in ("Cf", "Cc"))
-        return "".join(kept).casefold()
 
-    return text.map(fold, na_action="ignore")
+@F.pandas_udf(T.StringType())
+def fold_unicode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """NFKC, format and control characters out, case folded (NULL stays NULL).
+
+    Uses the standard library only, so workers need not have this package.
+    """
+    # planes 2 to 13 and the private planes hold neither format nor control characters
+    points = itertools.chain(range(0x20000), range(0xE0000, 0xE1000))
+    hidden = "".join(chr(c) for c in points if unicodedata.category(chr(c)) in ("Cf", "Cc"))
+    pattern = re.compile("[" + re.escape(hidden) + "]")
+    for text in batches:
+        yield text.map(lambda v: pattern.sub("", unicodedata.normalize("NFKC", v)).casefold(), na_action="ignore")
 
 
 def boundary_form(text: Column) -> Column:
     """Text as the vocabulary is matched against it.
 
-    Only text with characters outside printable ASCII goes to Python; the rest
-    is lower-cased in the JVM. Punctuation runs between word characters and the
-    gaps inside spelled-out words are removed.
+    Only text with characters outside ASCII goes to Python; the rest is folded
+    in the JVM. Punctuation runs between word characters and the gaps inside
+    spelled-out words are removed.
     """
-    plain = text.rlike(r"^[\x20-\x7E]*$")
-    folded = F.coalesce(fold_unicode(F.when(~plain, text)), F.lower(text))
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    in_jvm = F.lower(F.regexp_replace(text, r"[\x00-\x1F\x7F]", ""))
+    folded = F.coalesce(fold_unicode(F.when(~plain, text)), in_jvm)
     separators = r"""(?U)(?<=\w)[.\-_*/\\|+~:;,'"`()\[\]{}<>!?@#$%^&=]+(?=\w)"""
     joined = F.regexp_replace(folded, separators, "")
     spelled = F.regexp_replace(joined, r"(?U)(?<=\b\w)[ \t]+(?=\w\b)", "")
@@ -103,7 +114,15 @@ def boundary_form(text: Column) -> Column:
 
 def boundary_term(text: Column) -> Column:
     """First listed phrase found, else the first word found, else NULL."""
-    form = boundary_form(text)
-    phrase = F.coalesce(*[F.when(F.contains(form, F.lit(p)), F.lit(p)) for p in BOUNDARY_PHRASES])
-    word = F.regexp_extract(form, r"(?U)\b(?:" + "|".join(BOUNDARY_WORDS) + r")\b", 0)
-    return F.coalesce(phrase, F.when(word != "", word))
+    words = r"(?U)\b(?:" + "|".join(BOUNDARY_WORDS) + r")\b"
+
+    def judge(form):
+        phrase = F.coalesce(*[F.when(F.contains(form, F.lit(p)), F.lit(p)) for p in BOUNDARY_PHRASES])
+        # a plain search is much cheaper than the word pattern and rules most texts out
+        possible = F.lit(False)
+        for stem in BOUNDARY_STEMS:
+            possible = possible | F.contains(form, F.lit(stem))
+        word = F.when(possible, F.nullif(F.regexp_extract(form, words, 0), F.lit("")))
+        return F.coalesce(phrase, word)
+
+    return once(boundary_form(text), judge)

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.functions.common import once
+
 # --- fixed values: URL policy -----------------------------------------------
 MAX_URL = 2000
 ALLOWED_SCHEMES = ("https",)
@@ -69,11 +71,6 @@ def is_ipv4(name: Column) -> Column:
     return name.rlike(rf"^{octet}(\.{octet}){{3}}$")
 
 
-def once(value: Column, use) -> Column:
-    """``use(value)`` with the value computed a single time."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def closed_ipv4(name: Column) -> Column:
     ranges = [(int(ipaddress.IPv4Address(a)), int(ipaddress.IPv4Address(b))) for a, b in CLOSED_IPV4]
 

@@ -164,11 +164,16 @@ def lookback_rows(hypotheses: Sequence[Hypothesis]) -> int:
 def observe(
     bars: DataFrame, hypotheses: Sequence[Hypothesis] = HYPOTHESES, tail_only: bool = False, layout: Layout = AUTO
 ) -> DataFrame:
-    """Classify every bar, or only the last bar of each series."""
-    arranged = classify(arrange(bars, before=lookback_rows(hypotheses), layout=layout), hypotheses)
-    rows = arranged.df
+    """Classify every bar, or only the last bar of each series.
+
+    The last bar is the one no bar follows, which a frame sees; no series has to
+    be aggregated for it.
+    """
+    arranged = arrange(bars, before=lookback_rows(hypotheses), after=int(tail_only), layout=layout)
+    extra = {"_tail": F.lead("_rn", 1).over(arranged.window).isNull()} if tail_only else None
+    rows = classify(arranged, hypotheses, extra).df
     if tail_only:
-        rows = last_rows(rows, arranged.keys)
+        rows = rows.filter("_tail")
     return long_observations(rows, hypotheses)
 
 

@@ -33,13 +33,17 @@ def local_session(cores: int | str = 8, app: str = "barloom") -> SparkSession:
     return spark
 
 
+# folders made here for sessions that name none (tests, single machines)
+_OWN_FOLDER: dict[str, str] = {}
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN_FOLDER.get(spark.sparkContext.applicationId)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        _OWN_FOLDER[spark.sparkContext.applicationId] = folder
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
