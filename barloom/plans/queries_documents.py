@@ -357,20 +357,20 @@ def limit_checks(spark, sf):
 
 @query(
     "jsonl_integrity",
-    """WITH n AS (SELECT doc_id, max(doc_id) OVER () AS last FROM documents),
-k AS (SELECT CASE WHEN doc_id % 40 = 3 OR doc_id = last THEN CASE WHEN doc_id = last THEN 'corrupt_tail' ELSE 'corrupt_interior' END ELSE 'record' END AS kind FROM n)
+    """WITH n AS (SELECT doc_id, doc_id = max(doc_id) OVER (PARTITION BY doc_id // 100) AS last FROM documents),
+k AS (SELECT CASE WHEN last THEN 'corrupt_tail' WHEN doc_id % 40 = 3 THEN 'corrupt_interior' ELSE 'record' END AS kind FROM n)
 SELECT kind, count(*) AS lines FROM k GROUP BY kind""",
 )
 def jsonl_integrity(spark, sf):
-    """One landed file in document order; some lines and the last one are cut off."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    last = docs.agg(F.max("doc_id").alias("_last"))
+    """Files of a hundred documents in order; some lines and every last one are cut off."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang").withColumn("chunk", F.floor(F.col("doc_id") / 100))
+    ends = docs.groupBy("chunk").agg(F.max("doc_id").alias("_last"))
     line = F.to_json(F.struct("doc_id", "text", "lang"))
     damaged = (F.col("doc_id") % 40 == 3) | (F.col("doc_id") == F.col("_last"))
-    rows = docs.crossJoin(F.broadcast(last)).select("doc_id", F.when(damaged, F.expr("left(" + "to_json(struct(doc_id, text, lang)), 12)")).otherwise(line).alias("value"))
+    rows = docs.join(ends, "chunk").select("chunk", "doc_id", F.when(damaged, F.left(line, F.lit(12))).otherwise(line).alias("value"))
     path = folder(spark, "jsonl")
-    rows.coalesce(1).sortWithinPartitions("doc_id").select("value").write.text(path)
-    records, corrupt = rc.read_jsonl(spark, path, "doc_id BIGINT, text STRING, lang STRING")
+    rows.repartition("chunk").sortWithinPartitions("chunk", "doc_id").select("chunk", "value").write.partitionBy("chunk").text(path)
+    records, corrupt = rc.read_jsonl(spark, f"{path}/chunk=*", "doc_id BIGINT, text STRING, lang STRING")
     both = records.select(F.lit("record").alias("kind")).unionByName(corrupt.select("kind"))
     return both.groupBy("kind").agg(F.count(F.lit(1)).alias("lines"))
 
@@ -503,15 +503,15 @@ def news_records(spark, sf):
     """SELECT upper(replace(s_name, '#', '-')) AS symbol, lpad(CAST(max(s_suppkey + 1) AS VARCHAR), 10, '0') AS cik FROM supplier GROUP BY 1""",
 )
 def registrants(spark, sf):
-    """A registrant map landed as one JSON object and joined to the suppliers."""
+    """Registrant maps of fifty suppliers each, landed as JSON objects and joined to the suppliers."""
     suppliers = table(spark, sf, "supplier").withColumn("s_name", F.replace("s_name", F.lit("#"), F.lit("-")))
     entry = F.concat(
         F.lit('"'), F.col("s_suppkey").cast("string"), F.lit('":{"cik_str":'), (F.col("s_suppkey") + 1).cast("string"),
         F.lit(',"ticker":"'), F.lower("s_name"), F.lit('"}'),
     )
-    body = suppliers.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", entry.alias("e")))), lambda x: x["e"]), ",").alias("b"))
+    maps = suppliers.groupBy(F.floor(F.col("s_suppkey") / 50)).agg(F.array_join(F.collect_list(entry), ",").alias("b"))
     path = folder(spark, "registrants")
-    body.select(F.concat(F.lit("{"), "b", F.lit("}")).alias("value")).coalesce(1).write.text(path)
+    maps.select(F.concat(F.lit("{"), "b", F.lit("}")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     known = rc.read_registrants(spark, path)
     names = suppliers.select(F.upper("s_name").alias("symbol")).distinct()
     return dc.registrants_of(names, known).filter("cik IS NOT NULL").select("symbol", "cik")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.definitions import Policy, feature
 from barloom.operators import features as ft
-from barloom.operators.assess import assess
+from barloom.operators.assess import assess, ensemble_issues
 from barloom.operators.hypotheses import HYPOTHESES, TREND_ALIGNMENT, observe
 from barloom.operators.features import quoted, with_features, with_true_range
 from barloom.operators.scanner import scan, scan_counters, universe
@@ -299,3 +299,45 @@ def universe_members(spark, sf):
         F.col("c_mktsegment").alias("universe_id"), F.col("c_nationkey").cast("string").alias("symbol")
     )
     return universe(raw)
+
+
+@query(
+    "ensemble_issues",
+    f"""WITH {DAILY_SQL}, d AS (SELECT symbol, dayofyear(ts) % 30 AS k FROM bars)
+SELECT symbol, 'missing_hypothesis' AS issue, count(*) AS points FROM d WHERE k IN (1, 3, 4) GROUP BY symbol
+UNION ALL SELECT symbol, 'duplicate_hypothesis', count(*) FROM d WHERE k = 2 GROUP BY symbol
+UNION ALL SELECT symbol, 'fingerprint_mismatch', count(*) FROM d WHERE k = 3 GROUP BY symbol
+UNION ALL SELECT symbol, 'unexpected_hypothesis', count(*) FROM d WHERE k = 4 GROUP BY symbol""",
+)
+def ensemble_issue_counts(spark, sf):
+    """Observations with members removed, repeated, re-parameterised and renamed."""
+    seen = materialize(observe(bars_daily(spark, sf), HYPOTHESES), "observations")
+    k, who = F.dayofyear("timestamp") % 30, F.col("hypothesis_id")
+    odd = seen.filter(~((k == 1) & (who == "trend_crossover")))
+    odd = odd.unionByName(seen.filter((k == 2) & (who == "trend_crossover")))
+    aligned = who == "trend_alignment"
+    odd = odd.withColumns(
+        {
+            "fingerprint": F.when((k == 3) & aligned, "x").otherwise(F.col("fingerprint")),
+            "hypothesis_id": F.when((k == 4) & aligned, "odd").otherwise(who),
+        }
+    )
+    found = ensemble_issues(odd, Policy.of(HYPOTHESES, 2))
+    return found.groupBy("symbol", "issue").agg(F.count(F.lit(1)).alias("points"))
+
+
+@query(
+    "scan_failures",
+    SCAN_SQL + """, f AS (SELECT symbol, CAST(symbol AS BIGINT) % 7 = 0 AS a, CAST(symbol AS BIGINT) % 11 = 0 AS b, eligibility FROM scanned)
+SELECT CASE WHEN a OR b THEN 'failed' ELSE eligibility END AS eligibility, CASE WHEN a THEN 'provider_unavailable' WHEN b THEN 'unexpected' END AS error_code,
+  count(*) AS symbols FROM f GROUP BY ALL""",
+)
+def scan_failures(spark, sf):
+    """A scan in which some symbols' data could not be used; the others are unaffected."""
+    members = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"))
+    key = F.col("symbol").cast("long")
+    kinds = members.filter(key % 7 == 0).withColumn("kind", F.lit("provider")).unionByName(
+        members.filter(key % 11 == 0).withColumn("kind", F.lit("odd"))
+    )
+    rows = scan(members, materialize(bars_supplier(spark, sf), "bars"), failures=kinds)
+    return rows.groupBy("eligibility", "error_code").agg(F.count(F.lit(1)).alias("symbols"))

@@ -15,14 +15,18 @@ from barloom.session import materialize
 from barloom.streaming import jobs
 
 
-def landed(spark, df, slice_column, slices: int):
-    """Write the slices one after the other and stream them back in that order."""
-    path = folder(spark, "landing")
+def in_slices(spark, df, slice_column, slices: int, start) -> None:
+    """Land the slices one after the other and run the job after each.
+
+    ``start(stream, checkpoint)`` starts the job; every run but the first resumes
+    from the checkpoint.
+    """
+    path, checkpoint = folder(spark, "landing"), folder(spark, "stream")
     held = materialize(df.withColumn("_slice", slice_column), "slices")
+    rows = held.drop("_slice")
     for k in range(slices):
-        held.filter(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(path)
-    schema = held.drop("_slice").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        held.filter(F.col("_slice") == k).drop("_slice").write.mode("append").parquet(path)
+        start(spark.readStream.schema(rows.schema).parquet(path), checkpoint).awaitTermination()
 
 
 def tables(spark, **schemas):
@@ -48,10 +52,9 @@ def streamed_bars(spark, sf):
         "volume", F.when(doy % 50 == 2, F.col("volume") + 1).otherwise(F.col("volume"))
     )
     sliced = first.withColumn("k", F.when(F.year("timestamp") < 1998, 0).otherwise(1)).unionByName(again.withColumn("k", F.lit(2)))
-    stream = landed(spark, sliced, F.col("k"), 3).drop("k")
     stored, refused = tables(spark, bars=bars.schema, refused=REASONS)
     now = F.lit("2001-06-01 00:00:00").cast("timestamp")
-    jobs.ingest_bars(stream, stored, refused, now, folder(spark, "stream")).awaitTermination()
+    in_slices(spark, sliced, F.col("k"), 3, lambda s, c: jobs.ingest_bars(s.drop("k"), stored, refused, now, c))
     kept = stored.read().select("symbol", F.lit("stored").alias("result"))
     side = refused.read().select("symbol", F.col("reason").alias("result"))
     return kept.unionByName(side).groupBy("symbol", "result").agg(F.count(F.lit(1)).alias("bars"))
@@ -66,13 +69,12 @@ def streamed_revisions(spark, sf):
     rows = document_versions(spark, sf)
     top = rows.agg(F.max("seq").alias("_top"))
     sliced = rows.crossJoin(F.broadcast(top)).withColumn("k", F.floor(F.col("seq") * 3 / (F.col("_top") + 1))).drop("_top")
-    stream = landed(spark, sliced, F.col("k"), 3).drop("k")
     ledger_schema = rows.withColumn("revision", F.lit(1).cast("long")).schema
     counters = (
         "source string, fetched bigint, accepted bigint, duplicate bigint, errors bigint, rejected bigint, revision bigint"
     )
     ledger, counted = tables(spark, documents=ledger_schema, counters=counters)
-    jobs.ingest_documents(stream, ledger, counted, folder(spark, "stream"), item=ITEM).awaitTermination()
+    in_slices(spark, sliced, F.col("k"), 3, lambda s, c: jobs.ingest_documents(s.drop("k"), ledger, counted, c, item=ITEM))
     return ledger.read().groupBy("source_item_id").agg(
         F.count(F.lit(1)).alias("stored"), F.max("revision").cast("double").alias("last_revision")
     )
@@ -89,9 +91,9 @@ def streamed_claims(spark, sf):
     sent = claims.withColumn("recorded_at", F.when(late, F.expr("recorded_at + INTERVAL 9 DAYS")).otherwise(F.col("recorded_at")))
     k = F.when(F.col("timestamp") < F.lit("1999-01-01").cast("timestamp"), 0).otherwise(1)
     repeats = sent.filter(F.month("timestamp") == 3).withColumn("k", F.lit(1))
-    stream = landed(spark, sent.withColumn("k", k).unionByName(repeats), F.col("k"), 2).drop("k")
+    both = sent.withColumn("k", k).unionByName(repeats)
     ledger, refused = tables(spark, claims=claims.schema, refused="artifact_key string, reason string")
-    jobs.register_claims(stream, ledger, refused, folder(spark, "stream")).awaitTermination()
+    in_slices(spark, both, F.col("k"), 2, lambda s, c: jobs.register_claims(s.drop("k"), ledger, refused, c))
     kept = ledger.read().select("artifact_key", F.lit("registered").alias("result"))
     side = refused.read().select("artifact_key", F.col("reason").alias("result")).distinct()
     judged = kept.unionByName(side).join(claims.select("artifact_key", "kind"), "artifact_key")
@@ -107,9 +109,9 @@ def streamed_outcomes(spark, sf):
     bars = new_york_bars(spark, sf)
     claims = ledger_claims(bars)
     year = F.year("timestamp")
-    stream = landed(spark, bars, F.when(year < 1998, 0).when(year < 2000, 1).otherwise(2), 3)
+    slices = F.when(year < 1998, 0).when(year < 2000, 1).otherwise(2)
     now = F.lit("2002-01-01 00:00:00").cast("timestamp")
     schema = new_outcomes(track(claims, bars, SPECS, None, now)).schema
     stored, outcomes = tables(spark, bars=bars.schema, outcomes=schema)
-    jobs.mature_outcomes(stream, stored, lambda: claims, outcomes, SPECS, now, folder(spark, "stream")).awaitTermination()
+    in_slices(spark, bars, slices, 3, lambda s, c: jobs.mature_outcomes(s, stored, lambda: claims, outcomes, SPECS, now, c))
     return outcomes.read().groupBy("symbol", "horizon_bars").agg(F.count(F.lit(1)).alias("outcomes"))

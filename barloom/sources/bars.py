@@ -44,13 +44,14 @@ def read_bars(
 def write_bars(bars: DataFrame, path: str, check: bool = True) -> None:
     """Validate, then replace exactly the folders present in ``bars``.
 
-    Symbols are spread by hash within a folder rather than one folder each, so
-    the folder count does not grow with the universe.
+    Symbols share folders, so the folder count does not grow with the universe.
+    Rows are spread by symbol and year, so a folder or symbol with a third of all
+    rows is written by many tasks.
     """
     if check:
         require_empty(bar_issues(bars).select(*SERIES_KEY, "timestamp", "issues"), "invalid bars")
     (
-        bars.repartition(*PARTITIONS, F.pmod(F.xxhash64("symbol", F.date_trunc("year", "timestamp")), F.lit(64)))
+        bars.repartition(*PARTITIONS, "symbol", F.date_trunc("year", "timestamp"))
         .sortWithinPartitions(*SERIES_KEY, "timestamp")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
     )
