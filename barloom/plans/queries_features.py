@@ -328,9 +328,9 @@ def ensemble_issue_counts(spark, sf):
 
 @query(
     "scan_failures",
-    SCAN_SQL + """, f AS (SELECT symbol, CAST(symbol AS BIGINT) % 7 = 0 AS a, CAST(symbol AS BIGINT) % 11 = 0 AS b, eligibility FROM scanned)
+    SCAN_SQL + """, marked AS (SELECT symbol, CAST(symbol AS BIGINT) % 7 = 0 AS a, CAST(symbol AS BIGINT) % 11 = 0 AS b, eligibility FROM scanned)
 SELECT CASE WHEN a OR b THEN 'failed' ELSE eligibility END AS eligibility, CASE WHEN a THEN 'provider_unavailable' WHEN b THEN 'unexpected' END AS error_code,
-  count(*) AS symbols FROM f GROUP BY ALL""",
+  count(*) AS symbols FROM marked GROUP BY ALL""",
 )
 def scan_failures(spark, sf):
     """A scan in which some symbols' data could not be used; the others are unaffected."""
