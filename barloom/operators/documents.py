@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.identity import instant_text, short_hash
 from barloom.functions.urls import url_host
-from barloom.operators.layout import AUTO, Arranged, Layout, arrange, running
+from barloom.operators.layout import AUTO, Layout, arrange, running
 from barloom.operators.quality import implausible
 
 ITEM = ("source", "source_item_id")

@@ -13,9 +13,9 @@ from barloom.operators.hypotheses import HYPOTHESES, classify, lookback_rows
 from barloom.operators.layout import AUTO, Layout, arrange
 from barloom.operators.outcomes import SPECS, forward_columns, outcome_structs, rows_ahead
 from barloom.operators.runs import run_starts
-from barloom.operators.stats import deltas, describe, fill_counts, null_safe
+from barloom.operators.stats import deltas, describe, fill_counts
 from barloom.schemas import (
-    BEARISH, BULLISH, EVALUATED, INELIGIBLE, INSUFFICIENT, NEUTRAL, NO_FUTURE, NO_REFERENCE, OBSERVATION_STATES,
+    EVALUATED, INELIGIBLE, INSUFFICIENT, NEUTRAL, NO_FUTURE, NO_REFERENCE, OBSERVATION_STATES,
     REPORTED_STATES, SERIES_KEY,
 )
 
