@@ -30,6 +30,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 # a match cannot begin inside a run of digits whose begin has failed, so only begins of runs are tried
 ADDRESS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+DIGIT = re.compile("[0-9]")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -130,8 +131,10 @@ KINDS: dict[str, tuple[Callable[[str], Iterator[tuple[int, int]]], float, float]
 
 def found_in(text: str | None, threshold: float = THRESHOLD, reach: int = REACH) -> list[Span]:
     """Spans of a whole text by kind and start; none in a null text."""
-    out = []
+    out, numbers = [], text is not None and DIGIT.search(text) is not None
     for kind, (find, score, more) in KINDS.items():
+        if kind != "email" and not numbers:
+            continue  # every other kind holds a digit
         for start, end in find(text or ""):
             own = score
             if more:

@@ -170,14 +170,7 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR, least
 
 def _step(value, grid: list[float]):
     """Number of the loosest cut-off that the value exceeds; the grid's length where it exceeds none."""
-    spacing = grid[0] - grid[1]
-    step = F.ceil((F.lit(grid[0]) - value) / spacing).cast("int")
-    step = F.greatest(step, F.lit(0))
-    # a value equal to a cut-off is not above it; recheck against the grid itself, free of rounding
-    at = F.array(*map(F.lit, grid))
-    step = F.when((step < len(grid)) & (F.get(at, step) >= value), step + 1).otherwise(step)
-    step = F.when((step > 0) & (step <= len(grid)) & (F.get(at, step - 1) < value), step - 1).otherwise(step)
-    return F.least(step, F.lit(len(grid)))
+    return F.lit(len(grid)) - F.size(F.filter(F.array(*map(F.lit, grid)), lambda x: value > x))
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
@@ -194,17 +187,53 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     measured(F.col(text_col)).alias("m")).select("doc_id", "stratum", "m.*"),
         "quality",
     )
-    marks = (
+    by_stratum, one = _limits(measures, labels, id_col, risk, error, least)
+    return (
+        _verdict(measures, by_stratum, one)
+        .select("doc_id", *COUNTS, "base_failed", "kept", "failed_rules")
+    )
+
+
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
+         risk: float = RISK, error: float = ERROR, least: int = LEAST) -> DataFrame:
+    """The documents, with all their columns, that ``judged`` keeps.
+
+    Only labelled rows are measured for the cut-offs; then every row is
+    measured in one pass, without a join by id, so repeated and null ids and
+    columns of any name do no harm.
+    """
+    labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("lang"))
+    labelled = labelled.join(_marks(labels, id_col).select("doc_id"), "doc_id", "left_semi")
+    measures = labelled.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"),
+                               measured("text").alias("m")).select("doc_id", "stratum", "m.*")
+    by_stratum, one = _limits(measures, labels, id_col, risk, error, least)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"),
+        F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), measured(F.col(text_col)).alias("m"),
+    ).select("row", "stratum", "m.*")
+    return _verdict(rows, by_stratum, one).where("kept").select("row.*")
+
+
+def _marks(labels: DataFrame, id_col: str) -> DataFrame:
+    return (
         labels.select(F.col(id_col).alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
         .groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
         .where("low = high").select("doc_id", (F.col("low") == 1).alias("good"))
     )
-    holdout = measures.where(~base_failed()).join(marks, "doc_id")
+
+
+def _limits(measures: DataFrame, labels: DataFrame, id_col: str, risk: float, error: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """Cut-offs per stratum, a handful of rows, and one row with the pooled ones."""
+    holdout = measures.where(~base_failed()).join(_marks(labels, id_col), "doc_id")
     chosen = written(cutoffs(holdout, risk, error, least), "cutoffs")
     by_stratum = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("own"))
     pooled = by_stratum.where(F.col("stratum") == POOLED).select(F.col("own").alias("pooled"))
+    one = measures.sparkSession.range(1).join(pooled, how="left").select("pooled")  # one row, also without a pooled stratum
+    return by_stratum, one
+
+
+def _verdict(measures: DataFrame, by_stratum: DataFrame, one: DataFrame) -> DataFrame:
     limits = F.coalesce(F.col("own"), F.col("pooled"))
-    one = docs.sparkSession.range(1).join(pooled, how="left").select("pooled")  # one row, also without a pooled stratum
     failed = F.filter(
         F.array(*[F.when(value > F.element_at(limits, rule), F.lit(rule)) for rule, value in properties().items()]),
         lambda x: x.isNotNull(),
@@ -213,5 +242,4 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         measures.join(by_stratum, "stratum", "left").join(F.broadcast(one))
         .withColumn("base_failed", base_failed()).withColumn("failed_rules", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") <= 0))
-        .select("doc_id", *COUNTS, "base_failed", "kept", "failed_rules")
     )
