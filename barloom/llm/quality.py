@@ -160,6 +160,7 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR, least
         .groupBy("stratum", "s.rule", "s.step")
         .agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad"))
     )
+    counted = written(counted, "counted")
     totals = counted.groupBy("stratum", "rule").agg(F.sum("good").alias("n_good"))
     strata = counted.agg(F.count_distinct("stratum").alias("n_strata"))
     return (
