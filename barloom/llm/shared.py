@@ -16,8 +16,8 @@ def folder(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="barloom-llm-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-llm-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
