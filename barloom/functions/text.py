@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 from barloom.functions.common import once
 
 
-def capped(text: Column, maximum: int) -> Column:
-    """Cut at ``maximum`` characters and drop trailing white space, if longer."""
+def capped(text: Column, maximum: int | None) -> Column:
+    """Cut at ``maximum`` characters, if given, and drop trailing white space, if longer; a display width, not for what is stored."""
+    if maximum is None:
+        return text
     cut = F.regexp_replace(F.substring(text, 1, maximum), r"(?U)\s+$", "")
     return F.when(F.length(text) > maximum, cut).otherwise(text)
 
@@ -25,14 +27,14 @@ def or_default(text: Column, default: str) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(default)).otherwise(text)
 
 
-def safe_text(value: Column, maximum: int, default: str = "") -> Column:
-    """Control characters out (tabs stay), trimmed and capped."""
+def safe_text(value: Column, maximum: int | None = None, default: str = "") -> Column:
+    """Control characters out (tabs stay) and trimmed."""
     bare = F.regexp_replace(value, r"[\x00-\x08\x0A-\x1F]", "")
     return or_default(capped(F.regexp_replace(bare, r"(?U)^\s+|\s+$", ""), maximum), default)
 
 
-def plain_text(value: Column, maximum: int, default: str = "") -> Column:
-    """Control characters out, white space collapsed, capped; markup stays text."""
+def plain_text(value: Column, maximum: int | None = None, default: str = "") -> Column:
+    """Control characters out, white space collapsed; markup stays text."""
     bare = F.regexp_replace(value, r"[\x00-\x08\x0B-\x1F]", "")
     flat = F.regexp_replace(F.regexp_replace(bare, r"(?U)\s+", " "), "^ | $", "")
     return or_default(capped(flat, maximum), default)

@@ -57,6 +57,14 @@ def is_current_tail(tail: Column, moment: Column) -> Column:
     return (tail_day < run_day) & (run_day <= next_weekday(tail_day))
 
 
+# --- fixed values: zone names of mail dates ---------------------------------
+MAIL_ZONES = {
+    "UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000",
+    "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
+    "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+
+
 def add_months(ts: Column, months: int) -> Column:
     """Calendar months later, the day clamped to the month's end."""
     return ts + F.make_ym_interval(F.lit(0), F.lit(months))
@@ -82,18 +90,17 @@ def offset_instant(text: Column) -> Column:
     return F.when(has_offset, F.try_to_timestamp(F.regexp_replace(text, "z$", "Z")))
 
 
-def epoch_instant(seconds: Column) -> Column:
-    return F.timestamp_seconds(seconds)
-
-
 def mail_date(text: Column) -> Column:
-    """RFC 822 dates, with or without weekday, numeric or named zone."""
+    """RFC 822 dates, with or without weekday, numeric or named zone.
+
+    A named zone is its fixed offset whatever the season; ``-0000`` says that
+    the zone is unknown, so there is no instant.
+    """
     bare = F.trim(F.regexp_replace(text, r"^\s*[A-Za-z]{3,9},\s*", ""))
-    named = F.regexp_replace(F.regexp_replace(bare, r"\b(UT|Z)$", "GMT"), r"\bE([SD])T$", "America/New_York")
-    return F.coalesce(
-        F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")),
-        F.try_to_timestamp(named, F.lit("d MMM yyyy HH:mm:ss z")),
-        F.try_to_timestamp(bare, F.lit("d MMM yy HH:mm:ss Z")),
-        F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm Z")),
-        F.try_to_timestamp(named, F.lit("d MMM yyyy HH:mm z")),
-    )
+    for name, offset in MAIL_ZONES.items():
+        bare = F.regexp_replace(bare, rf"\s{name}$", f" {offset}")
+    known = F.when(~bare.endswith("-0000"), bare)
+    return F.coalesce(*[
+        F.try_to_timestamp(known, F.lit(form))
+        for form in ("d MMM yyyy HH:mm:ss Z", "d MMM yy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yy HH:mm Z")
+    ])

@@ -12,9 +12,16 @@ FACTOR_KEY = ["symbol", "interval", "source", "timestamp"]
 
 
 def adjust(bars: DataFrame, factors: DataFrame) -> DataFrame:
-    """Prices times the bar's factor, volume untouched, basis relabelled."""
-    joined = bars.join(factors.select(*FACTOR_KEY, "factor"), FACTOR_KEY)
-    return joined.select(
+    """Prices times the bar's factor, volume untouched, basis relabelled.
+
+    A bar that is not raw or has no factor ends the job with its key; ask
+    ``adjust_issues`` first where such bars are expected.
+    """
+    joined = bars.join(factors.select(*FACTOR_KEY, "factor"), FACTOR_KEY, "left")
+    problem = F.when(~F.col("basis").eqNullSafe(F.lit(RAW)), "not_raw").when(F.col("factor").isNull(), "missing_factor")
+    named = F.concat_ws(" ", problem, "symbol", "interval", "source", F.col("timestamp").cast("string"))
+    factor = F.when(problem.isNull(), F.col("factor")).otherwise(F.raise_error(named).cast("double"))
+    return joined.withColumn("factor", factor).select(
         "symbol", "interval", "source", F.lit(ADJUSTED).alias("basis"), "timestamp",
         *[(F.col(f) * F.col("factor")).alias(f) for f in PRICE_FIELDS], "volume",
     )

@@ -220,8 +220,9 @@ def filing_hash() -> Column:
     )
 
 
-def feed_hash() -> Column:
+def feed_hash(updated: Column) -> Column:
+    """Digest of a feed entry; ``updated`` is the entry's own, also where it equals the publication."""
     return short_hash(
         *[F.col(c) for c in ("title", "excerpt", "canonical_url", "publisher")],
-        instant_text(F.col("source_published_at")), instant_text(F.col("source_edited_at")),
+        instant_text(F.col("source_published_at")), instant_text(updated),
     )

@@ -107,20 +107,28 @@ def track(
 ) -> DataFrame:
     """What can be said now about every claim under every spec.
 
+    A claim is held against the bar of its own source; where only another
+    source has the bar, the claim is refused.
+
     present / out_of_window / ineligible / refused (with reason) / pending /
     evaluated, the last with the finished outcome record. A revised bar outranks
     a pending future.
     """
     ahead = printed_bars(bars, specs, layout)
     first = bars.groupBy("symbol", "interval", "basis").agg(F.min("timestamp").alias("_first_bar"))
-    rows = claims.join(ahead, list(POINT), "left").join(first, ["symbol", "interval", "basis"], "left")
+    ahead = ahead.withColumn("source", F.col("bar_source")).drop("bar_source")
+    elsewhere = bars.groupBy(*POINT).agg(F.lit(True).alias("_elsewhere"))
+    rows = (
+        claims.join(ahead, [*POINT, "source"], "left").join(elsewhere, list(POINT), "left")
+        .join(first, ["symbol", "interval", "basis"], "left")
+    )
     evaluable = F.col("state") != INSUFFICIENT
     measured = rows.withColumn("_o", F.explode(outcome_structs(specs, evaluable)))
     used = F.lit(None).cast("string")
     for s in specs:
         used = F.when(F.col("spec_fingerprint") == s.fingerprint, F.col(f"f_used_{s.fingerprint}")).otherwise(used)
     flat = measured.select(
-        *claims.columns, "bar_source", "bar_print", "_first_bar", "_o.spec_fingerprint", "_o.horizon_bars",
+        *claims.columns, "_elsewhere", "bar_print", "_first_bar", "_o.spec_fingerprint", "_o.horizon_bars",
         F.col("_o.status").alias("_measured"), "_o.reference_timestamp", "_o.reference_price", "_o.future_timestamp",
         "_o.future_price", F.col("_o.outcome_value").alias("forward_return"),
         *[c for c in rows.columns if c.startswith("f_used_")],
@@ -132,8 +140,7 @@ def track(
         flat = flat.join(present.select("outcome_key", F.lit(True).alias("_present")), "outcome_key", "left")
     out_of_window = F.col("_first_bar").isNull() | (F.col("timestamp") < F.col("_first_bar"))
     refusal = (
-        F.when(F.col("bar_print").isNull(), "no_matching_bar")
-        .when(F.col("source") != F.col("bar_source"), "source_mismatch")
+        F.when(F.col("bar_print").isNull(), F.when(F.col("_elsewhere"), "source_mismatch").otherwise("no_matching_bar"))
         .when(F.col("bar_print") != F.col("observation_bar_fingerprint"), "source_bar_revised")
     )
     status = (
@@ -145,7 +152,7 @@ def track(
         .otherwise("pending")
     )
     out = flat.withColumn("status", status).withColumn("refusal", F.when(F.col("status") == "refused", refusal))
-    return out.drop("_measured", "_present", "_first_bar", "bar_source", "bar_print")
+    return out.drop("_measured", "_present", "_first_bar", "_elsewhere", "bar_print")
 
 
 OUTCOME_COLUMNS = (

@@ -33,8 +33,13 @@ def forward_columns(arranged: Arranged, specs: Sequence[OutcomeSpec]) -> dict[st
 
 
 def outcome_structs(specs: Sequence[OutcomeSpec], eligible: Column) -> Column:
-    """Array with one outcome per spec; an ineligible row is never measured."""
+    """Array with one outcome per spec of the row's basis; an ineligible row is never measured.
+
+    A row whose basis is that of no spec ends the job: it must not be measured
+    under another one.
+    """
     items = []
+    refused = F.raise_error(F.concat(F.lit("no outcome spec has the basis "), F.coalesce("basis", F.lit("NULL"))))
     for s in specs:
         future_ts, future = F.col(f"f_ts_{s.fingerprint}"), F.col(f"f_px_{s.fingerprint}")
         status = (
@@ -57,7 +62,9 @@ def outcome_structs(specs: Sequence[OutcomeSpec], eligible: Column) -> Column:
                 F.when(measured, future / F.col("f_ref_price") - 1.0).alias("outcome_value"),
             )
         )
-    return F.array(*items)
+    own = [F.when(F.col("basis") == s.basis, item) for s, item in zip(specs, items)]
+    kept = F.array_compact(F.array(*own))
+    return F.when(F.size(kept) > 0, kept).otherwise(refused.cast("void"))
 
 
 def forward_bars(bars: DataFrame, specs: Sequence[OutcomeSpec], layout: Layout = AUTO) -> DataFrame:
@@ -72,12 +79,16 @@ def evaluate(
 ) -> DataFrame:
     """One row per observation and spec, matched on the exact bar."""
     ahead = forward_bars(bars, specs, layout)
-    joined = observations.join(ahead, [*SERIES_KEY, "timestamp"])
-    drop = [c for c in ahead.columns if c.startswith("f_")]
-    basis_ok = F.col("basis").isin(*[s.basis for s in specs])
-    eligible = (F.col("state") != INSUFFICIENT) & basis_ok
-    kept = [c for c in joined.columns if c not in drop]
-    return joined.select(*kept, F.inline(outcome_structs(specs, eligible)))
+    joined = at_their_bars(observations, ahead)
+    kept = [c for c in joined.columns if not c.startswith("f_")]
+    return joined.select(*kept, F.inline(outcome_structs(specs, F.col("state") != INSUFFICIENT)))
+
+
+def at_their_bars(points: DataFrame, ahead: DataFrame) -> DataFrame:
+    """Points with their bar's forward columns; a point without its exact bar ends the job (``match_issues`` lists them)."""
+    joined = points.join(ahead.withColumn("f_held", F.lit(True)), [*SERIES_KEY, "timestamp"], "left")
+    named = F.concat_ws(" ", F.lit("no_matching_bar"), *[F.col(k).cast("string") for k in (*SERIES_KEY, "timestamp")])
+    return joined.withColumn("f_held", F.when(F.col("f_held"), True).otherwise(F.raise_error(named).cast("boolean"))).filter("f_held")
 
 
 def measure_forward(
@@ -85,7 +96,7 @@ def measure_forward(
 ) -> DataFrame:
     """Forward outcomes of market points that have no producer."""
     ahead = forward_bars(bars, specs, layout)
-    joined = points.join(ahead, [*SERIES_KEY, "timestamp"])
+    joined = at_their_bars(points, ahead)
     kept = [c for c in joined.columns if not c.startswith("f_")]
     return joined.select(*kept, F.inline(outcome_structs(specs, F.lit(True))))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.layout import AUTO, Layout, arrange, interval_seconds
-from barloom.schemas import PRICE_FIELDS, SERIES_KEY
+from barloom.schemas import INTERVAL_SECONDS, PRICE_FIELDS, SERIES_KEY
 
 
 class RefusedData(ValueError):
@@ -145,8 +145,11 @@ def implausible(moment: Column, now: Column, hours: int = 26) -> Column:
 
 
 def settled_only(bars: DataFrame, now: Column) -> DataFrame:
-    """Bars that have ended by ``now``."""
-    return bars.filter(F.unix_timestamp("timestamp") + interval_seconds(F.col("interval")) <= F.unix_timestamp(now))
+    """Bars that have ended by ``now``; bare column comparisons, so the scan can skip by them."""
+    ended = F.lit(False)
+    for name, seconds in INTERVAL_SECONDS.items():
+        ended = ended | ((F.col("interval") == name) & (F.col("timestamp") <= now - F.expr(f"INTERVAL {seconds} SECOND")))
+    return bars.filter(ended)
 
 
 def clip(bars: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -159,10 +162,12 @@ def clip(bars: DataFrame, start: str | None = None, end: str | None = None) -> D
 
 
 def recent(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
-    """Last ``n`` rows per key (at most 1000).
+    """Last ``n`` rows per key.
 
     Spark limits each key inside every map partition before the shuffle
-    (WindowGroupLimit), so a hot key sends ``n`` rows per partition.
+    (WindowGroupLimit) while ``n`` is below its threshold of 1000, so a hot key
+    sends ``n`` rows per partition; for a larger ``n`` raise
+    ``spark.sql.optimizer.windowGroupLimitThreshold``.
     """
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")

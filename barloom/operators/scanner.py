@@ -24,8 +24,6 @@ ERROR_CODES = {
     "request": "request_invalid",
     "unexpected": "unexpected",
 }
-UNIVERSE_SYMBOLS = 100
-UNIVERSES = 50
 
 
 def category(state: Column, reasons: Column) -> Column:
@@ -74,15 +72,17 @@ def universe(raw: DataFrame) -> DataFrame:
     )
 
 
-def universe_issues(raw: DataFrame) -> DataFrame:
-    """Universes over the symbol bound, bad symbols and empty universes."""
+def universe_issues(raw: DataFrame, most: int | None = None) -> DataFrame:
+    """Bad symbols, empty universes and those over the caller's bound of symbols."""
     rows = universe(raw)
     per = rows.groupBy("universe_id").agg(
         F.count("symbol").alias("symbols"),
         F.sum(F.col("occurrences") - 1).alias("duplicates"),
         F.count_if(~symbol_ok(F.col("symbol"))).alias("bad_symbols"),
     )
-    issue = F.when(F.col("symbols") > UNIVERSE_SYMBOLS, "too_many_symbols").when(F.col("bad_symbols") > 0, "bad_symbol")
+    issue = F.when(F.col("bad_symbols") > 0, "bad_symbol")
+    if most is not None:
+        issue = F.when(F.col("symbols") > most, "too_many_symbols").otherwise(issue)
     return per.withColumn("issue", issue)
 
 
@@ -99,13 +99,18 @@ def rank_rows(rows: DataFrame, eligible_only: bool = False) -> DataFrame:
 def scan(
     symbols: DataFrame, bars: DataFrame, policy: Policy | None = None,
     hypotheses: Sequence[Hypothesis] = HYPOTHESES, failures: DataFrame | None = None, layout: Layout = AUTO,
+    now: Column | None = None,
 ) -> DataFrame:
     """Assess the last bar of every universe symbol and order the rows.
 
-    ``failures`` (symbol, kind) marks symbols whose data could not be used.
+    ``failures`` (symbol, kind) marks symbols whose data could not be used. With
+    ``now`` only the history window of each interval is read, by a filter that
+    reaches the scan.
     """
     policy = policy or Policy.of(hypotheses, 2)
     members = symbols.select("symbol").distinct()
+    if now is not None:
+        bars = in_history(bars, now)
     wanted = bars.join(members, "symbol", "left_semi")
     latest = assess(observe(wanted, hypotheses, tail_only=True, layout=layout), policy)
     rows = members.join(latest, "symbol", "left")
@@ -140,7 +145,22 @@ def scan_counters(rows: DataFrame) -> DataFrame:
     return counted.withColumns({"status": status, "balanced": balanced})
 
 
+# --- fixed values: days of history per interval, 730 for the others ---------
+HISTORY_DAYS, OTHER_DAYS = {"1wk": 1095, "1mo": 3650}, 730
+
+
 def history_start(now: Column, interval: Column) -> Column:
     """Start of the fetched history: fewer days for finer bars."""
-    days = F.when(interval == "1wk", 1095).when(interval == "1mo", 3650).otherwise(730)
+    days = F.lit(OTHER_DAYS)
+    for name, n in HISTORY_DAYS.items():
+        days = F.when(interval == name, n).otherwise(days)
     return F.timestamp_seconds(F.unix_timestamp(now) - days * 86400)
+
+
+def in_history(bars: DataFrame, now: Column) -> DataFrame:
+    """Bars of the history window; bare column comparisons, so the scan can skip by them."""
+    after = lambda days: F.col("timestamp") >= now - F.expr(f"INTERVAL {days} DAY")
+    wanted = ~F.col("interval").isin(*HISTORY_DAYS) & after(OTHER_DAYS)
+    for name, days in HISTORY_DAYS.items():
+        wanted = wanted | ((F.col("interval") == name) & after(days))
+    return bars.filter(wanted)

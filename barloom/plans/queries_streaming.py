@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from barloom.operators.ledger import new_outcomes, track
 from barloom.operators.outcomes import SPECS
@@ -41,10 +42,14 @@ REASONS = "symbol string, interval string, source string, basis string, timestam
     f"""WITH {DAILY_SQL}, s AS (SELECT symbol, ts, dayofyear(ts) AS d FROM bars WHERE ts + INTERVAL 1 DAY <= TIMESTAMP '2001-06-01')
 SELECT symbol, 'stored' AS result, count(*) AS bars FROM s WHERE d % 50 <> 1 GROUP BY symbol
 UNION ALL SELECT symbol, 'negative_volume', count(*) FROM s WHERE d % 50 = 1 GROUP BY symbol
-UNION ALL SELECT symbol, 'conflict', count(*) FROM s WHERE d % 50 = 2 GROUP BY symbol""",
+UNION ALL SELECT symbol, 'conflict', count(*) FROM s WHERE d % 50 = 2 AND ts + INTERVAL 1 DAY <= TIMESTAMP '1999-06-01' GROUP BY symbol""",
 )
 def streamed_bars(spark, sf):
-    """Yearly slices, a late slice that repeats some bars and changes others."""
+    """Slices read by a clock that moves on, a late one that repeats some bars and changes others.
+
+    Bars that have not ended wait; a change to a waiting bar takes its place, one
+    to a stored bar is a conflict.
+    """
     bars = materialize(bars_daily(spark, sf), "bars")
     doy = F.dayofyear("timestamp")
     first = bars.withColumn("volume", F.when(doy % 50 == 1, -F.col("volume")).otherwise(F.col("volume")))
@@ -52,9 +57,10 @@ def streamed_bars(spark, sf):
         "volume", F.when(doy % 50 == 2, F.col("volume") + 1).otherwise(F.col("volume"))
     )
     sliced = first.withColumn("k", F.when(F.year("timestamp") < 1998, 0).otherwise(1)).unionByName(again.withColumn("k", F.lit(2)))
-    stored, refused = tables(spark, bars=bars.schema, refused=REASONS)
-    now = F.lit("2001-06-01 00:00:00").cast("timestamp")
-    in_slices(spark, sliced, F.col("k"), 3, lambda s, c: jobs.ingest_bars(s.drop("k"), stored, refused, now, c))
+    waiting = StructType([*bars.schema.fields, StructField("arrived", LongType())])
+    stored, refused, pending = tables(spark, bars=bars.schema, refused=REASONS, pending=waiting)
+    clocks = iter([F.lit(f"{day} 00:00:00").cast("timestamp") for day in ("1995-01-01", "1999-06-01", "2001-06-01")])
+    in_slices(spark, sliced, F.col("k"), 3, lambda s, c: jobs.ingest_bars(s.drop("k"), stored, refused, next(clocks), c, pending))
     kept = stored.read().select("symbol", F.lit("stored").alias("result"))
     side = refused.read().select("symbol", F.col("reason").alias("result"))
     return kept.unionByName(side).groupBy("symbol", "result").agg(F.count(F.lit(1)).alias("bars"))
@@ -112,6 +118,6 @@ def streamed_outcomes(spark, sf):
     slices = F.when(year < 1998, 0).when(year < 2000, 1).otherwise(2)
     now = F.lit("2002-01-01 00:00:00").cast("timestamp")
     schema = new_outcomes(track(claims, bars, SPECS, None, now)).schema
-    stored, outcomes = tables(spark, bars=bars.schema, outcomes=schema)
-    in_slices(spark, bars, slices, 3, lambda s, c: jobs.mature_outcomes(s, stored, lambda: claims, outcomes, SPECS, now, c))
+    stored, outcomes, refused = tables(spark, bars=bars.schema, outcomes=schema, refused=REASONS)
+    in_slices(spark, bars, slices, 3, lambda s, c: jobs.mature_outcomes(s, stored, lambda: claims, outcomes, SPECS, now, c, refused))
     return outcomes.read().groupBy("symbol", "horizon_bars").agg(F.count(F.lit(1)).alias("outcomes"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,14 +43,24 @@ def read_bars(
 
 
 def write_bars(bars: DataFrame, path: str, check: bool = True) -> None:
-    """Validate, then replace exactly the folders present in ``bars``.
+    """Validate, then replace exactly the series present in ``bars``.
 
     Symbols share folders, so the folder count does not grow with the universe.
-    Rows are spread by symbol and year, so a folder or symbol with a third of all
-    rows is written by many tasks.
+    Only folders that ``bars`` touches are rewritten: their other series are
+    carried over, and the new files take the place of the old ones when all are
+    written. Rows are spread by symbol and year, so a folder or symbol with a
+    third of all rows is written by many tasks. A table has one writer at a time.
     """
     if check:
         require_empty(bar_issues(bars).select(*SERIES_KEY, "timestamp", "issues"), "invalid bars")
+    try:
+        held = bars.sparkSession.read.schema(BARS).parquet(path)
+    except AnalysisException:  # no table yet
+        held = None
+    if held is not None:
+        series = bars.select(*SERIES_KEY).distinct()
+        touched = held.join(series.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_semi")
+        bars = bars.select(*held.columns).unionByName(touched.join(series, list(SERIES_KEY), "left_anti"))
     (
         bars.repartition(*PARTITIONS, "symbol", F.date_trunc("year", "timestamp"))
         .sortWithinPartitions(*SERIES_KEY, "timestamp")

@@ -12,10 +12,8 @@ from barloom.operators.documents import availability, feed_hash, filing_hash, ne
 from barloom.operators.layout import AUTO, Layout, arrange
 from barloom.operators.quality import implausible
 
-# --- fixed values: bounds of stored fields and per-source item caps ---------
-MAX_TITLE, MAX_EXCERPT, MAX_PUBLISHER = 500, 2000, 200
-MAX_HEADLINE, MAX_SUMMARY, MAX_IDENTIFIER = 1000, 5000, 256
-FEED_ENTRIES, FILING_ITEMS, NEWS_ITEMS = 100, 40, 20
+#: a longer identifier is refused, never cut
+IDENTIFIER_CHARS = 512
 ARCHIVE = "https://www.sec.gov/Archives/edgar/data/"
 
 
@@ -86,7 +84,7 @@ def unterminated_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def capped_per_key(df: DataFrame, key: str, order: list, limit: int) -> DataFrame:
-    """First ``limit`` entries per source, as the source orders them."""
+    """First ``limit`` entries per source, as the source orders them; for reports that ask for a number of entries."""
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= limit).drop("_k")
 
@@ -137,23 +135,24 @@ def normalize_feed(entries: DataFrame, now: Column, ipv6: bool = True) -> DataFr
     """Entries as feed items with ``rejected`` set where they cannot be kept."""
     published, updated = plausible(F.col("published"), now), plausible(F.col("updated"), now)
     at, basis = availability(published, updated, now)
-    title = plain_text(F.col("title"), MAX_TITLE)
+    title = plain_text(F.col("title"))
     ident = F.col("feed_item_id")
     rejected = (
-        F.when(F.coalesce(ident, F.lit("")) == "", "identity_unsafe").when(F.length(ident) > 512, "identity_unsafe")
+        F.when(F.coalesce(ident, F.lit("")) == "", "identity_unsafe").when(F.length(ident) > IDENTIFIER_CHARS, "identity_unsafe")
         .when(title == "", "no_title").when(F.coalesce(F.col("link"), F.lit("")) == "", "no_link")
         .when(url_issue(F.col("link"), feeds=ipv6).isNotNull(), "bad_url")
     )
     kept = [c for c in entries.columns if c not in ("title", "link", "publisher", "excerpt", "published", "updated")]
     out = entries.select(
         *kept, title.alias("title"), F.trim("link").alias("canonical_url"),
-        plain_text(F.col("publisher"), MAX_PUBLISHER, "unknown publisher").alias("publisher"),
-        plain_text(F.col("excerpt"), MAX_EXCERPT).alias("excerpt"),
+        plain_text(F.col("publisher"), default="unknown publisher").alias("publisher"),
+        plain_text(F.col("excerpt")).alias("excerpt"),
         published.alias("source_published_at"),
         F.when(published.isNull() | ~updated.eqNullSafe(published), updated).alias("source_edited_at"),
         now.alias("retrieved_at"), at.alias("available_from"), basis.alias("availability_basis"), rejected.alias("rejected"),
+        updated.alias("_updated"),
     )
-    return out.withColumn("content_hash", feed_hash())
+    return out.withColumn("content_hash", feed_hash(F.col("_updated"))).drop("_updated")
 
 
 def read_filings(spark: SparkSession, path: str) -> DataFrame:
@@ -175,26 +174,24 @@ def read_filings(spark: SparkSession, path: str) -> DataFrame:
     return zipped.select("cik", F.posexplode(F.arrays_zip(*fields)).alias("position", "r")).select("cik", "position", "r.*")
 
 
-def normalize_filings(rows: DataFrame, now: Column, limit: int | None = FILING_ITEMS) -> DataFrame:
-    """Filing records with links built from trusted identifiers; unusable rows are rejected."""
-    if limit is not None:
-        rows = rows.filter(F.col("position") < limit)
-    accession, form = safe_text(F.col("accessionNumber"), 64), safe_text(F.col("form"), 64)
+def normalize_filings(rows: DataFrame, now: Column) -> DataFrame:
+    """Filing records with links built from trusted identifiers; unusable rows are rejected, none is left out."""
+    accession, form = safe_text(F.col("accessionNumber")), safe_text(F.col("form"))
     accepted = offset_instant(F.col("acceptanceDateTime"))
     number = F.col("cik").try_cast("bigint").cast("string")
     base = F.concat(F.lit(ARCHIVE), number, F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"))
-    primary = safe_text(F.col("primaryDocument"), 256)
+    primary = safe_text(F.col("primaryDocument"))
     at, basis = availability(accepted, F.lit(None).cast("timestamp"), now, "source_event")
-    items = F.filter(F.transform(F.split(safe_text(F.col("items"), 256), ","), lambda x: F.trim(x)), lambda x: x != "")
+    items = F.filter(F.transform(F.split(safe_text(F.col("items")), ","), lambda x: F.trim(x)), lambda x: x != "")
     rejected = (
-        F.when((accession == "") | (form == ""), "identity_unsafe").when(implausible(accepted, now), "implausible_time")
+        F.when((accession == "") | (form == "") | (F.length(accession) > IDENTIFIER_CHARS), "identity_unsafe").when(implausible(accepted, now), "implausible_time")
         .when(number.isNull(), "bad_registrant")
     )
     out = rows.select(
         F.lit("edgar").alias("source"), accession.alias("source_item_id"), F.lit("official_filing").alias("source_class"),
         F.lpad(number, 10, "0").alias("cik"), form.alias("form"), base.alias("canonical_url"),
         F.when(primary != "", F.concat(base, primary)).otherwise(base).alias("primary_document_url"), items.alias("items"),
-        safe_text(F.col("filingDate"), 32).alias("filing_date"), safe_text(F.col("reportDate"), 32).alias("report_date"),
+        safe_text(F.col("filingDate")).alias("filing_date"), safe_text(F.col("reportDate")).alias("report_date"),
         accepted.alias("source_event_time"), now.alias("retrieved_at"), at.alias("available_from"),
         basis.alias("availability_basis"), rejected.alias("rejected"),
     )
@@ -211,22 +208,22 @@ NEWS_JSON = (
 def normalize_news(raw: DataFrame, now: Column) -> DataFrame:
     """Nested articles to news records; the URL order is canonical, click-through, link."""
     filled = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    ident = safe_text(F.coalesce("id", "content.id"), MAX_IDENTIFIER)
-    headline = safe_text(F.coalesce("content.title", "title"), MAX_HEADLINE)
+    ident = safe_text(F.coalesce(filled("id"), filled("content.id")))
+    headline = safe_text(F.coalesce(filled("content.title"), filled("title")))
     url = F.coalesce(filled("content.canonicalUrl.url"), filled("content.clickThroughUrl.url"), filled("link"))
-    when_text = F.coalesce("content.pubDate", "content.displayTime")
+    when_text = F.coalesce(filled("content.pubDate"), filled("content.displayTime"))
     published = F.coalesce(offset_instant(when_text), F.timestamp_seconds(when_text.try_cast("bigint")))
     at, basis = availability(published, F.lit(None).cast("timestamp"), now)
     rejected = (
-        F.when(ident == "", "identity_unsafe").when(headline == "", "no_headline").when(url.isNull(), "no_link")
+        F.when((ident == "") | (F.length(ident) > IDENTIFIER_CHARS), "identity_unsafe").when(headline == "", "no_headline").when(url.isNull(), "no_link")
         .when(url_issue(url).isNotNull(), "bad_url").when(implausible(published, now), "implausible_time")
     )
     publisher = F.when(F.col("content.provider").isNotNull(), F.col("content.provider.displayName")).otherwise(F.col("publisher"))
     extra = [c for c in raw.columns if c not in ("id", "title", "link", "publisher", "content")]
     out = raw.select(
         *extra, F.lit("yahoo").alias("source"), ident.alias("source_item_id"), F.lit("secondary_news").alias("source_class"),
-        headline.alias("headline"), url.alias("canonical_url"), safe_text(publisher, MAX_IDENTIFIER, "unknown publisher").alias("publisher"),
-        safe_text(F.coalesce("content.summary", "content.description"), MAX_SUMMARY).alias("summary"),
+        headline.alias("headline"), url.alias("canonical_url"), safe_text(publisher, default="unknown publisher").alias("publisher"),
+        safe_text(F.coalesce(filled("content.summary"), filled("content.description"))).alias("summary"),
         published.alias("source_published_at"), now.alias("retrieved_at"), at.alias("available_from"),
         basis.alias("availability_basis"), rejected.alias("rejected"),
     )

@@ -78,11 +78,27 @@ def within(held: DataFrame, batch: DataFrame) -> DataFrame:
     return held.filter(F.col("timestamp").between(F.lit(low), F.lit(high)))
 
 
-def ingest_bars(stream: DataFrame, bars: BatchTable, refused: BatchTable, now: Column, checkpoint: str) -> StreamingQuery:
-    """Append settled, valid bars; unchanged bars are skipped, changed ones refused as conflicts."""
+def ingest_bars(
+    stream: DataFrame, bars: BatchTable, refused: BatchTable, now: Column, checkpoint: str, pending: BatchTable
+) -> StreamingQuery:
+    """Append settled, valid bars; unchanged bars are skipped, changed ones refused as conflicts.
+
+    Bars that have not ended yet wait in ``pending`` (bars and ``arrived``) and
+    are looked at again with every batch. A later version of a waiting bar takes
+    its place, so that what is stored is the last one seen.
+    """
 
     def each(batch: DataFrame, number: str) -> None:
-        settled = settled_only(batch, now).withColumn("issues", row_issues())
+        arrived = int(number.rsplit("-", 1)[1])
+        ended = settled_only(batch.select(*BAR_KEY, *BAR_FIELDS), now)
+        open_ = batch.select(*BAR_KEY, *BAR_FIELDS).exceptAll(ended)
+        pending.put(open_.withColumn("arrived", F.lit(arrived).cast("long")), number)
+        waiting = pending.read(without=number).join(batch.select(*BAR_KEY).distinct(), list(BAR_KEY), "left_anti")
+        waiting = waiting.groupBy(*BAR_KEY).agg(F.max_by(F.struct(*BAR_FIELDS), "arrived").alias("b")).select(*BAR_KEY, "b.*")
+        for seen in (bars, refused):
+            waiting = waiting.join(seen.read(without=number).select(*BAR_KEY), list(BAR_KEY), "left_anti")
+        waiting = settled_only(waiting, now)
+        settled = ended.unionByName(waiting).withColumn("issues", row_issues())
         bad = settled.filter(F.size("issues") > 0).select(*BAR_KEY, F.array_join("issues", ",").alias("reason"))
         good = settled.filter(F.size("issues") == 0).drop("issues")
         held = within(bars.read(without=number), good)
@@ -119,18 +135,21 @@ def register_claims(stream: DataFrame, ledger: BatchTable, refused: BatchTable,
 
 def mature_outcomes(
     bar_stream: DataFrame, bars: BatchTable, claims: Callable[[], DataFrame], outcomes: BatchTable,
-    specs: Sequence[OutcomeSpec], now: Column, checkpoint: str,
+    specs: Sequence[OutcomeSpec], now: Column, checkpoint: str, refused: BatchTable,
 ) -> StreamingQuery:
     """Append outcomes whose horizon has settled; each at most once.
 
     ``bar_stream`` carries settled, validated bars; those not stored yet are
-    appended to ``bars``. Only claims with an open spec are measured, against
+    appended to ``bars`` once, and bars that contradict a stored one or each
+    other go to ``refused``. Only claims with an open spec are measured, against
     bars from the earliest of them on.
     """
 
     def each(batch: DataFrame, number: str) -> None:
-        known = within(bars.read(without=number), batch).select(*BAR_KEY)
-        bars.put(batch.join(known, list(BAR_KEY), "left_anti").select(*BAR_KEY, *BAR_FIELDS), number)
+        near = within(bars.read(without=number), batch).join(batch.select(*BAR_KEY).distinct(), list(BAR_KEY), "left_semi")
+        merged, conflicts = merge_bars(near, batch)
+        bars.put(merged.join(near.select(*BAR_KEY), list(BAR_KEY), "left_anti").select(*BAR_KEY, *BAR_FIELDS), number)
+        refused.put(conflicts.select(*BAR_KEY, F.lit("conflict").alias("reason")), number)
         held = outcomes.read(without=number)
         every = claims()
         done = held.groupBy("artifact_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= len(specs))

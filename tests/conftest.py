@@ -1,5 +1,6 @@
 import math
 import os
+import random
 import sys
 from datetime import datetime, timedelta
 
@@ -22,18 +23,20 @@ def spark():
     yield session
 
 
-def wave_bars(n: int, symbols=("AAA",), start=datetime(2020, 1, 1), interval="1d", basis="raw"):
-    """One bar per calendar day on a sine with drift; phases differ per symbol."""
+def walk_bars(n: int, symbols=("AAA",), start=datetime(2020, 1, 1), interval="1d", basis="raw"):
+    """One bar per calendar day of a seeded random walk whose drift turns now and then."""
     rows = []
-    for k, symbol in enumerate(symbols):
-        phase = 0.7 * k
-        for i in range(n):
-            close = 100 + 10 * math.sin(i / 9 + phase) + 0.05 * i
-            opened = close - 0.2 + 0.1 * math.cos(i / 5 + phase)
-            rows.append(
-                (symbol, interval, "test", basis, start + timedelta(days=i), opened, max(opened, close) + 1,
-                 min(opened, close) - 1, close, 1000.0 + i)
-            )
+    for symbol in symbols:
+        draw = random.Random(f"{symbol}/{interval}")
+        price, drift = 50.0 + draw.random() * 100, 0.004
+        for day in range(n):
+            if draw.random() < 0.06:
+                drift = -drift
+            before, price = price, price * math.exp(drift + draw.gauss(0, 0.012))
+            opened = before * math.exp(draw.gauss(0, 0.003))
+            high, low = max(opened, price) * (1 + draw.random() * 0.01), min(opened, price) * (1 - draw.random() * 0.01)
+            volume = float(draw.randrange(500, 5000))
+            rows.append((symbol, interval, "test", basis, start + timedelta(days=day), opened, high, low, price, volume))
     return rows
 
 

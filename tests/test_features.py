@@ -8,7 +8,7 @@ import pytest
 from barloom.definitions import DefinitionError, feature
 from barloom.operators.features import field_values, prefix, ready_from, with_features
 from barloom.operators.layout import Layout
-from tests.conftest import bars_frame, closes_frame, wave_bars
+from tests.conftest import bars_frame, closes_frame, walk_bars
 
 CUT = Layout("blocks", block_rows=16)
 WHOLE = Layout("whole")
@@ -72,7 +72,7 @@ def close_to(got, want, tol=1e-9):
 
 @pytest.mark.parametrize("layout", [WHOLE, CUT], ids=["whole", "cut"])
 def test_features_equal_plain_loops(spark, layout):
-    rows = wave_bars(140)
+    rows = walk_bars(140)
     bars = bars_frame(spark, rows)
     closes = [r[8] for r in rows]
     tr = [r[6] - r[7] if i == 0 else max(r[6] - r[7], abs(r[6] - rows[i - 1][8]), abs(r[7] - rows[i - 1][8])) for i, r in enumerate(rows)]
@@ -112,7 +112,7 @@ def test_flat_stretch_keeps_the_ratio_of_tiny_averages(spark):
 
 
 def test_long_series_across_many_runs(spark):
-    rows = wave_bars(2600)
+    rows = walk_bars(2600)
     specs = [feature("ema", period=200), feature("rsi")]
     whole = table(with_features(bars_frame(spark, rows), specs, layout=WHOLE))
     cut = table(with_features(bars_frame(spark, rows), specs, layout=Layout("blocks", 1024)))
@@ -123,7 +123,7 @@ def test_long_series_across_many_runs(spark):
 
 
 def test_auto_layout_cuts_only_long_series(spark):
-    bars = bars_frame(spark, wave_bars(60, ("A", "B")))
+    bars = bars_frame(spark, walk_bars(60, ("A", "B")))
     spec = feature("sma", period=5)
     assert "_blk" in str(with_features(bars, [spec], layout=Layout("auto", 16, 50))._jdf.queryExecution().optimizedPlan().toString())
     assert "_blk" not in str(with_features(bars, [spec], layout=Layout("auto", 16, 100))._jdf.queryExecution().optimizedPlan().toString())
@@ -132,7 +132,7 @@ def test_auto_layout_cuts_only_long_series(spark):
 @pytest.mark.parametrize("layout", [WHOLE, CUT], ids=["whole", "cut"])
 def test_no_look_ahead(spark, layout):
     """Features of the first bars do not change when later bars do."""
-    rows = wave_bars(120)
+    rows = walk_bars(120)
     wild = rows[:80] + [(*r[:5], r[5] * 9, r[6] * 11, r[7] / 7, r[8] * 5, r[9] * 3) for r in rows[80:]]
     specs = [feature("sma", period=20), feature("ema", period=9), feature("rsi"), feature("atr"), feature("realized_volatility", period=8)]
     full = table(with_features(bars_frame(spark, rows), specs, layout=layout))
@@ -143,7 +143,7 @@ def test_no_look_ahead(spark, layout):
 
 
 def test_ready_from_prefix_and_fields(spark):
-    bars = bars_frame(spark, wave_bars(30, ("A", "B")))
+    bars = bars_frame(spark, walk_bars(30, ("A", "B")))
     ready = {r.feature_key: r.ready_from for r in ready_from(bars, [feature("rsi"), feature("sma", period=40)], layout=CUT).filter("symbol='A'").collect()}
     assert ready == {feature("rsi").key: 14, feature("sma", period=40).key: None}
     assert prefix(bars, 7, layout=CUT).groupBy("symbol").count().filter("count = 7").count() == 2

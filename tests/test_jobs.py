@@ -9,27 +9,28 @@ from barloom.operators import provenance as pv
 from barloom.operators.hypotheses import TREND_ALIGNMENT, observe
 from barloom.operators.outcomes import SPECS
 from barloom.streaming.jobs import BatchTable, ingest_bars, observed_feed, register_claims
-from tests.conftest import bars_frame, wave_bars
+from tests.conftest import bars_frame, walk_bars
 
 REASONS = "symbol string, interval string, source string, basis string, timestamp timestamp, reason string"
 NEW_YORK_MIDNIGHT = datetime(2024, 1, 1, 5)
 
 
 def new_york_bars(n):
-    return [(*r[:4], NEW_YORK_MIDNIGHT + timedelta(days=i), *r[5:]) for i, r in enumerate(wave_bars(n))]
+    return [(*r[:4], NEW_YORK_MIDNIGHT + timedelta(days=i), *r[5:]) for i, r in enumerate(walk_bars(n))]
 
 
 def test_replayed_batches_change_nothing(spark, tmp_path):
     landing, check = str(tmp_path / "landing"), str(tmp_path / "check")
-    rows = wave_bars(20)
+    rows = walk_bars(20)
     bars_frame(spark, rows[:12]).coalesce(1).write.mode("append").parquet(landing)
     stored = BatchTable(spark, str(tmp_path / "bars")).prepare(bars_frame(spark, rows[:1]).schema)
     refused = BatchTable(spark, str(tmp_path / "refused")).prepare(REASONS)
-    now = F.lit("2020-01-15 12:00:00").cast("timestamp")
+    waiting = BatchTable(spark, str(tmp_path / "waiting")).prepare(bars_frame(spark, rows[:1]).withColumn("arrived", F.lit(0).cast("long")).schema)
 
-    def run(folder):
+    def run(folder, day=15):
+        now = F.lit(f"2020-01-{day} 12:00:00").cast("timestamp")
         stream = spark.readStream.schema(bars_frame(spark, rows[:1]).schema).parquet(landing)
-        ingest_bars(stream, stored, refused, now, folder).awaitTermination()
+        ingest_bars(stream, stored, refused, now, folder, waiting).awaitTermination()
 
     run(check)
     assert stored.read().count() == 12
@@ -42,6 +43,11 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
     # a fresh checkpoint replays everything and adds nothing
     run(str(tmp_path / "other"))
     assert stored.read().count() == 14 == stored.read().dropDuplicates(["symbol", "timestamp"]).count()
+    # the clock moves on: what waited is stored with the next batch, whatever that holds
+    bars_frame(spark, rows[:1]).coalesce(1).write.mode("append").parquet(landing)
+    run(check, day=31)
+    assert stored.read().count() == 20 == stored.read().dropDuplicates(["symbol", "timestamp"]).count()
+    assert len(refused.read().select("timestamp").distinct().collect()) == 1
 
 
 def claims_for(spark, bars, hours=27.5):

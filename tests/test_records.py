@@ -18,7 +18,7 @@ from barloom.operators.adjust import adjustment_factors, merge_bars
 from barloom.operators.layout import Layout
 from barloom.sources import bars as sb
 from barloom.sources import records as rc
-from tests.conftest import bars_frame, wave_bars
+from tests.conftest import bars_frame, walk_bars
 
 CUT = Layout("blocks", block_rows=4)
 VERSION = "source string, source_item_id string, seq long, immutable_signature string, content_hash string, retrieved_at timestamp, revision int"
@@ -174,7 +174,7 @@ def test_bar_rules(spark):
 
 def test_sequence_rules(spark):
     days = [0, 1, 1, 3, 2, 5]
-    rows = [(*wave_bars(1)[0][:4], datetime(2024, 1, 1) + timedelta(days=d), *wave_bars(1)[0][5:]) for d in days]
+    rows = [(*walk_bars(1)[0][:4], datetime(2024, 1, 1) + timedelta(days=d), *walk_bars(1)[0][5:]) for d in days]
     bars = bars_frame(spark, rows).withColumn("seq", F.monotonically_increasing_id())
     bars = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], bars.schema)
     for layout in (Layout("whole"), Layout("blocks", 2)):
@@ -185,7 +185,7 @@ def test_sequence_rules(spark):
 
 
 def test_merge_and_factors(spark):
-    rows = wave_bars(10)
+    rows = walk_bars(10)
     stored = bars_frame(spark, rows[:6])
     changed = (*rows[5][:8], rows[5][8] + 1, rows[5][9])
     merged, conflicts = merge_bars(stored, bars_frame(spark, rows[3:5] + [changed] + rows[6:]))
@@ -198,9 +198,9 @@ def test_merge_and_factors(spark):
 
 def test_bar_table_round_trip(spark, tmp_path):
     path = str(tmp_path / "bars")
-    bars = bars_frame(spark, wave_bars(40, ("AAA", "BBB")) + wave_bars(5, ("CCC",), interval="1wk"))
+    bars = bars_frame(spark, walk_bars(40, ("AAA", "BBB")) + walk_bars(5, ("CCC",), interval="1wk"))
     sb.write_bars(bars, path)
-    replaced = bars_frame(spark, [(*r[:9], r[9] + 5) for r in wave_bars(5, ("CCC",), interval="1wk")])
+    replaced = bars_frame(spark, [(*r[:9], r[9] + 5) for r in walk_bars(5, ("CCC",), interval="1wk")])
     sb.write_bars(replaced, path)
     back = sb.read_bars(spark, path, "2020-01-03", "2020-01-10", interval="1d", source="test", basis="raw")
     assert back.count() == 16 and sb.read_bars(spark, path).count() == 85
@@ -208,7 +208,7 @@ def test_bar_table_round_trip(spark, tmp_path):
     assert "PartitionFilters: [isnotnull" in plan and "PushedFilters: [IsNotNull(timestamp)" in plan
     with pytest.raises(ql.RefusedData):
         sb.write_bars(bars.withColumn("volume", F.lit(-1.0)), path)
-    conflicts = sb.merge_into(spark, path, bars_frame(spark, wave_bars(45, ("AAA",))), str(tmp_path / "stage"))
+    conflicts = sb.merge_into(spark, path, bars_frame(spark, walk_bars(45, ("AAA",))), str(tmp_path / "stage"))
     assert conflicts.count() == 0 and sb.read_bars(spark, path, interval="1d").count() == 85
     with pytest.raises(sb.SchemaProblem):
         sb.read_bars(spark, path, colour="red")
