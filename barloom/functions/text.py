@@ -60,9 +60,12 @@ def decimal_amount(value: Column) -> Column:
 
 
 def canonical_amount(value: Column) -> Column:
-    """One spelling per amount: no trailing zeros."""
-    text = value.cast("decimal(38,6)").cast("string")
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """One spelling per amount: significant digits and a power of ten, so 120 is 12E1; any zero is 0."""
+    scaled = F.regexp_replace(value.cast("decimal(38,6)").cast("string"), r"\.", "")
+    digits = F.regexp_replace(scaled, r"^(-?)0+(?=\d)", "$1")
+    bare = F.regexp_replace(digits, "0+$", "")
+    exponent = F.length(digits) - F.length(bare) - 6
+    return F.when(bare.isin("", "-"), F.lit("0")).otherwise(F.concat(bare, F.lit("E"), exponent.cast("string")))
 
 
 # --- fixed values: vocabulary that audited text must not use ----------------

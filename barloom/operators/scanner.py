@@ -86,14 +86,19 @@ def universe_issues(raw: DataFrame, most: int | None = None) -> DataFrame:
     return per.withColumn("issue", issue)
 
 
-def rank_rows(rows: DataFrame, eligible_only: bool = False) -> DataFrame:
+def rank_order() -> list[Column]:
     """Category, then classifying count, then freshness, then symbol; never direction."""
+    return [
+        category_rank(F.col("category")), F.col("classifying_count").desc(), F.col("latest_bar").desc_nulls_last(),
+        F.col("symbol"),
+    ]
+
+
+def rank_rows(rows: DataFrame, eligible_only: bool = False) -> DataFrame:
+    """Rows in the order of inspection."""
     if eligible_only:
         rows = rows.filter(F.col("eligibility") == "eligible")
-    return rows.orderBy(
-        category_rank(F.col("category")), F.col("classifying_count").desc(),
-        F.col("latest_bar").desc_nulls_last(), F.col("symbol"),
-    )
+    return rows.orderBy(*rank_order())
 
 
 def scan(

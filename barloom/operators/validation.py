@@ -53,6 +53,25 @@ class ValidationDefinition:
         return self.primary_symbols + self.secondary_symbols
 
 
+def missed_sessions(run_log: DataFrame) -> DataFrame:
+    """Sessions that any run of the log reports as missed, each once per symbol."""
+    entries = run_log.select(F.inline("symbols"))
+    return entries.select("symbol", F.explode("missed_tails").alias("timestamp")).distinct()
+
+
+def evidence(claims: DataFrame, outcomes: DataFrame, run_log: DataFrame, excluded_claims: DataFrame, excluded_outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a validation rests on: claims with ``excluded``, measurements of known claims with ``excluded``, and missed sessions."""
+    out = excluded_claims.select("artifact_key", F.lit(True).alias("excluded")).distinct()
+    stamped = claims.join(out, "artifact_key", "left").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
+    gone = excluded_outcomes.select("outcome_key", F.lit(True).alias("excluded")).distinct()
+    known = claims.select("artifact_key", F.col("timestamp").alias("claim_timestamp"), "state")
+    measurements = (
+        outcomes.join(known, "artifact_key").join(gone, "outcome_key", "left")
+        .withColumn("excluded", F.coalesce("excluded", F.lit(False)))
+    )
+    return stamped, measurements, missed_sessions(run_log)
+
+
 def reserved(d: ValidationDefinition) -> Column:
     """The bar had settled at or before activation."""
     return is_pre_activation(F.col("timestamp"), d.activated)

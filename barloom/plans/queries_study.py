@@ -96,16 +96,27 @@ def point_measurements(spark, sf):
 
 @query(
     "outcome_integrity",
-    "SELECT 'status_fields' AS rule, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'exact_bar', 0 UNION ALL SELECT 'spacing', 0",
+    steps(FRAMED, WILDER, OBSERVED, MEASURED) + """, hours AS (SELECT DISTINCT event_type AS symbol, date_trunc('hour', ts) AS t FROM events),
+late AS (SELECT symbol, t FROM hours WHERE hour(t) = 3)
+SELECT 'status_fields' AS rule, count(*) AS violations FROM out WHERE status = 'evaluated' AND dayofyear(ts) % 10 = 1
+UNION ALL SELECT 'exact_bar', count(*) FROM obs WHERE dayofyear(ts) % 10 = 2
+UNION ALL SELECT 'spacing', (SELECT count(*) FROM late) + (SELECT count(*) FROM late JOIN hours USING (symbol) WHERE hours.t = late.t + INTERVAL 1 HOUR)""",
 )
 def outcome_integrity(spark, sf):
+    """Every rule meets rows that break it: values taken away, points off their bar, bars at half past."""
     bars = materialize(bars_daily(spark, sf), "bars")
     observed = materialize(observe(bars, HYPOTHESES), "observations")
+    tenth = F.dayofyear("timestamp") % 10
+    outcomes = evaluate(observed, bars)
+    broken = outcomes.withColumn("outcome_value", F.when(~((tenth == 1) & (F.col("status") == "evaluated")), F.col("outcome_value")))
+    moved = observed.withColumn("timestamp", F.when(tenth == 2, F.expr("timestamp + INTERVAL 1 HOUR")).otherwise(F.col("timestamp")))
+    hourly = bars_hourly(spark, sf)
+    between = hourly.filter(F.hour("timestamp") == 3).withColumn("timestamp", F.expr("timestamp + INTERVAL 30 MINUTE"))
     count = lambda df, rule: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
     return (
-        count(status_issues(evaluate(observed, bars)), "status_fields")
-        .unionByName(count(match_issues(observed, bars), "exact_bar"))
-        .unionByName(count(spacing_issues(bars_hourly(spark, sf)), "spacing"))
+        count(status_issues(broken), "status_fields")
+        .unionByName(count(match_issues(moved, bars), "exact_bar"))
+        .unionByName(count(spacing_issues(hourly.unionByName(between)), "spacing"))
     )
 
 
@@ -265,15 +276,15 @@ def study_groups(spark, sf):
 
 @query(
     "summary_recomputed",
-    TO_GROUPS + "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM groups",
+    TO_GROUPS + """SELECT 'metric_differs' AS issue, count(*) AS groups FROM groups WHERE horizon_bars = 5
+UNION ALL SELECT 'missing_row', count(*) FROM groups WHERE horizon_bars = 20""",
 )
 def summary_recomputed(spark, sf):
-    rows = study_rows(spark, sf)
-    stored = materialize(st.result_groups(rows, STUDY), "summary")
-    again = st.result_groups(rows, STUDY)
-    return stored.agg(F.count(F.lit(1)).alias("rows")).crossJoin(
-        st.compare_summary(stored, again).agg(F.count(F.lit(1)).alias("differing"))
-    )
+    """A stored summary with one metric changed at one horizon, and rows of another that the recomputation lacks."""
+    again = materialize(st.result_groups(study_rows(spark, sf), STUDY), "summary")
+    changed = F.col("sample_count") + (F.col("horizon_bars") == 5).cast("int")
+    found = st.compare_summary(again.withColumn("sample_count", changed), again.filter("horizon_bars <> 20"))
+    return found.groupBy("issue").agg(F.count(F.lit(1)).alias("groups"))
 
 
 @query(

@@ -22,6 +22,7 @@ ALIASES: Mapping[str, tuple[str, ...]] = {
     "close": ("close", "c"),
     "volume": ("volume", "vol", "v"),
 }
+FRAME_COLUMNS: Mapping[str, tuple[str, ...]] = {field: (field,) for field in ALIASES}
 CSV_COLUMNS = "symbol STRING, timestamp TIMESTAMP, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, interval STRING, source STRING"
 PARTITIONS = ("source", "interval", "basis")
 
@@ -175,6 +176,20 @@ def normalize_records(
     return bars, refused
 
 
+def price_frame(
+    frame: DataFrame, symbol: str | Column, interval: str, source: str, start: str | None = None, end: str | None = None,
+    skip_incomplete: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """A vendor's landed price table to bars within the requested window, and the records refused.
+
+    Columns are told by their lower-cased names alone; one that is missing or
+    there twice refuses the frame. Vendors send rows around the window, so it is
+    clipped, both ends included.
+    """
+    bars, refused = normalize_records(frame, symbol, interval, source, FRAME_COLUMNS, skip_incomplete=skip_incomplete)
+    return clip(bars, start, end), refused
+
+
 # ---- study files ---------------------------------------------------------------
 
 STUDY_FIXED = ("symbol", "timestamp", "hypothesis_id", "hypothesis_version", "hypothesis_fingerprint", "state", "reason_codes")
@@ -185,6 +200,48 @@ def study_columns(horizons: Sequence[int]) -> list[str]:
     return [*STUDY_FIXED, *[f"{p}_h{h}" for h in horizons for p in per]]
 
 
+# --- fixed values: column orders of the study tables ------------------------
+METRICS = (
+    "sample_count", "mean_forward_return", "median_forward_return", "min_forward_return", "max_forward_return",
+    "positive_count", "negative_count", "zero_count", "episode_count",
+)
+DELTAS = ("mean_delta_vs_matched_unconditional", "median_delta_vs_matched_unconditional")
+SUMMARY_COLUMNS = (
+    "row_type", "hypothesis_id", "hypothesis_version", "hypothesis_fingerprint", "symbol", "horizon_bars", "spec_fingerprint",
+    "state", "reason_signature", *METRICS, *DELTAS, "first_evaluated_timestamp", "last_evaluated_timestamp",
+    "total_observations", "bullish_count", "bearish_count", "neutral_count", "insufficient_data_count", "evaluated",
+    "insufficient_future_data", "no_reference_bar", "ineligible", "bars_fetched", "warmup_bars", "observation_bars",
+    "outcome_buffer_bars",
+)
+DIAGNOSTIC_COLUMNS = (
+    "row_type", "hypothesis_id", "symbol", "asset_class", "state", "horizon_bars", "segment", "partition", "reason_signature",
+    "momentum_state", "sampling_view", "count", "sample_count", "mean_forward_return", "median_forward_return",
+    "min_forward_return", "max_forward_return", "positive_count", "negative_count", "zero_count", "episode_count", "mean_delta",
+    "median_delta", "delta_reference", "length_min", "length_median", "length_max", "share_largest_episode",
+    "share_three_largest", "mean_delta_sign", "median_delta_sign", "timestamp", "bars_since_previous_cross",
+)
+EPISODE_COLUMNS = (
+    "hypothesis_id", "hypothesis_version", "hypothesis_fingerprint", "symbol", "state", "reason_signature", "episode_index",
+    "start_timestamp", "end_timestamp", "length",
+)
+
+
+def diagnostic_columns(horizons: Sequence[int]) -> list[str]:
+    return [*DIAGNOSTIC_COLUMNS, *[f"{p}_h{h}" for h in horizons for p in ("status", "return")]]
+
+
+def episode_columns(horizons: Sequence[int]) -> list[str]:
+    return [*EPISODE_COLUMNS, *[f"start_{p}_h{h}" for h in horizons for p in ("status", "return")]]
+
+
+def in_columns(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows in a fixed column order; a column they do not have is NULL, one that the table does not know is refused."""
+    unknown = [c for c in rows.columns if c not in columns]
+    if unknown:
+        raise SchemaProblem(f"columns {unknown} have no place in the table")
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
+
 def study_table(wide: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """Observation table in the fixed column order of the study files."""
     renamed = wide.select(
