@@ -83,6 +83,8 @@ BOUNDARY_WORDS = (
 )
 
 
+BOUNDARY_SEPARATORS = r"""[.\-_*/\\|+~:;,'"`()\[\]{}<>!?@#$%^&=]"""
+
 # every listed word contains one of these
 BOUNDARY_STEMS = ("buy", "bought", "sell", "sold", "hold", "weight", "allocat", "guarantee")
 
@@ -111,8 +113,7 @@ def boundary_form(text: Column) -> Column:
     plain = text.rlike(r"^[\x00-\x7F]*$")
     in_jvm = F.lower(F.regexp_replace(text, r"[\x00-\x1F\x7F]", ""))
     folded = F.coalesce(fold_unicode(F.when(~plain, text)), in_jvm)
-    separators = r"""(?U)(?<=\w)[.\-_*/\\|+~:;,'"`()\[\]{}<>!?@#$%^&=]+(?=\w)"""
-    joined = F.regexp_replace(folded, separators, "")
+    joined = F.regexp_replace(folded, rf"(?U)(?<=\w){BOUNDARY_SEPARATORS}+(?=\w)", "")
     spelled = F.regexp_replace(joined, r"(?U)(?<=\b\w)[ \t]+(?=\w\b)", "")
     return F.trim(F.regexp_replace(spelled, r"(?U)\s+", " "))
 

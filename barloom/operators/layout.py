@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from barloom.schemas import INTERVAL_SECONDS, SERIES_KEY
 
 SUPER = 4096
+SLICE_SECONDS = 3600
 
 
 @dataclass(frozen=True)
@@ -86,9 +87,16 @@ def interval_seconds(interval: Column) -> Column:
 
 
 def time_bucket(rows: int, interval: str | Column | None = "interval", timestamp: str = "timestamp") -> Column:
-    """Time slice that holds at most ``rows`` bars of a well spaced series."""
-    seconds = F.lit(86400) if interval is None else interval_seconds(F.col(interval) if isinstance(interval, str) else interval)
-    return F.floor(F.unix_timestamp(F.col(timestamp)) / (F.coalesce(seconds, F.lit(86400)) * rows)).cast("long")
+    """Time slice that holds at most ``rows`` bars of a well spaced series.
+
+    Rows of unknown spacing are sliced by the hour: a slice is then small for
+    bars of any interval, and positions are summed over slices in two levels.
+    """
+    width = F.lit(SLICE_SECONDS).cast("long")
+    if interval is not None:
+        known = interval_seconds(F.col(interval) if isinstance(interval, str) else interval)
+        width = F.coalesce(known * rows, width)
+    return F.floor(F.unix_timestamp(F.col(timestamp)) / width).cast("long")
 
 
 def longest_series(df: DataFrame, keys: Sequence[str]) -> int:

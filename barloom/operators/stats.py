@@ -3,8 +3,10 @@
 The built-in exact median gathers a group's distinct values in one task, which a
 group holding a third of all rows does not survive. Here a quantile sketch
 (bounded, merged map-side) first brackets the middle of each group; a second
-aggregation counts what lies below the bracket and keeps only the values inside
-it, so the final ordering touches a few rows in ten thousand.
+aggregation counts what lies below the bracket and the distinct values inside
+it. The bracket is cut into bins, and only the values of the bin that holds the
+middle are ordered, so a group's share of rows in one task is a few in ten
+million.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 MARGIN = 4 / ACCURACY
+BINS = 4096
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -59,14 +62,22 @@ def describe(
         *keys, F.col("sample_count").alias("_n"), F.get("_mid", F.lit(0)).alias("_lo"), F.get("_mid", F.lit(1)).alias("_hi")
     ).filter("_n > 0")
     near = null_safe(df.select(*keys, v.alias("_v")), bounds, keys).filter("_v <= _hi")
+    lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     counts = (
         near.withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
-        .groupBy(*keys, "_n", "_v")
+        .groupBy(*keys, "_n", "_lo", "_hi", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    w = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_to", F.sum("_c").over(w))
-    lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    # what lies below the bracket is bin -1; the bins of a group are few, whatever its size
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))
+    counts = counts.withColumn("_bin", F.when(F.col("_v").isNull(), -1).otherwise(F.floor(share * BINS).cast("int")))
+    bins = counts.groupBy(*keys, "_n", "_bin").agg(F.sum("_c").alias("_in"))
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.withColumn("_before", F.sum("_in").over(earlier) - F.col("_in"))
+    holds = lambda rank: (F.col("_before") < rank) & (F.col("_before") + F.col("_in") >= rank)
+    hit = bins.filter(holds(lower) | holds(upper)).select(*keys, "_bin", "_before")
+    w = Window.partitionBy(*keys, "_bin").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = null_safe(counts, hit, [*keys, "_bin"]).withColumn("_to", F.col("_before") + F.sum("_c").over(w))
 
     def at(rank: Column) -> Column:
         inside = (F.col("_to") >= rank) & (F.col("_to") - F.col("_c") < rank)
@@ -83,6 +94,7 @@ def describe(
     return out.select(*lead, *[c for c in out.columns if c not in lead])
 
 
+# --- fixed values: names of the statistics -----------------------------------
 STAT_COLUMNS = (
     "sample_count", "mean_forward_return", "median_forward_return", "min_forward_return", "max_forward_return",
     "positive_count", "negative_count", "zero_count",

@@ -33,29 +33,41 @@ def local_session(cores: int | str = 8, app: str = "barloom") -> SparkSession:
     return spark
 
 
-# folders made here for sessions that name none (tests, single machines)
-_OWN_FOLDER: dict[str, str] = {}
+# copies written by this process, per application
+_COPIES: dict[str, list[str]] = {}
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN_FOLDER.get(spark.sparkContext.applicationId)
+    """The shared folder: what the caller set last, else ``spark.checkpoint.dir``; a cluster must name one."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        _OWN_FOLDER[spark.sparkContext.applicationId] = folder
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def materialize(df, label: str = "table"):
     """Write ``df`` once to the shared folder and read it back.
 
     For results that several later passes read: lineage is cut, the columns stay
-    prunable, and a lost executor only re-reads files.
+    prunable, and a lost executor only re-reads files. ``release`` removes the
+    copies once the results built on them are no longer needed.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _COPIES.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the copies that ``materialize`` has written so far and return their number."""
+    paths = _COPIES.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+    return len(paths)
