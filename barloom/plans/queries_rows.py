@@ -7,24 +7,31 @@ from dataclasses import replace
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barloom.definitions import feature
 from barloom.functions import text as tx
 from barloom.operators import documents as dc
 from barloom.operators import validation as vl
 from barloom.operators.assess import REASON_ORDER, ordered_codes
+from barloom.operators.features import with_features
 from barloom.operators.hypotheses import HYPOTHESES, observe, verdict_issues
+from barloom.operators.layout import Layout
 from barloom.operators.quality import implausible, normalize_bars
+from barloom.operators.runs import episodes
 from barloom.operators.scanner import rank_order
 from barloom.plans import study as st
-from barloom.plans.fixtures import DAILY_SQL, bars_daily, table
+from barloom.plans.fixtures import DAILY_SQL, as_bars, bars_daily, table
 from barloom.plans.queries_bars import folder
 from barloom.plans.queries_features import SCAN_SQL, scan_suppliers
 from barloom.plans.queries_study import STUDY, study_rows
-from barloom.plans.registry import clock, clock_sql, query
+from barloom.plans.registry import clock, clock_sql, query, rounded, rounded_sql
 from barloom.plans.sql_steps import FRAMED, MEASURED, OBSERVED, WILDER, steps
 from barloom.session import materialize
 from barloom.sources import bars as sb
 from barloom.sources import records as rc
 
+#: always cut, into blocks of the production size
+CUT = Layout("blocks")
+
 
 @query("normalized_bars", f"WITH {DAILY_SQL} SELECT symbol, source, count(*) AS bars FROM bars GROUP BY ALL")
 def normalized_bars(spark, sf):
@@ -248,3 +255,69 @@ def missed_sessions(spark, sf):
         for rule in (ninth == 1, ninth.isin(1, 2))
     ]
     return vl.missed_sessions(runs[0].unionByName(runs[1])).groupBy("symbol").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+# ---- long series of irregular spacing: their positions come from the cut layout ----
+
+TICKS_SQL = """ticks AS MATERIALIZED (SELECT symbol, t, min(price) AS close, sum(qty) AS volume FROM (
+  SELECT CASE WHEN l_orderkey % 6 < 5 THEN 'HOT' ELSE l_returnflag END AS symbol, epoch_ms(CAST(l_shipdate AS TIMESTAMP)) + l_orderkey * 10 + l_linenumber AS t,
+    l_extendedprice / l_quantity AS price, l_quantity AS qty FROM lineitem) GROUP BY symbol, t)"""
+
+
+def ticks(spark, sf):
+    """Lines as ticks of few series, five sixths of them in one; milliseconds tell most lines of a day apart."""
+    k = F.col("l_orderkey")
+    lines = table(spark, sf, "lineitem").select(
+        F.when(k % 6 < 5, "HOT").otherwise(F.col("l_returnflag")).alias("symbol"),
+        F.timestamp_millis(F.unix_millis(F.col("l_shipdate").cast("timestamp")) + k * 10 + F.col("l_linenumber")).alias("timestamp"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity",
+    )
+    each = lines.groupBy("symbol", "timestamp").agg(F.min("price").alias("close"), F.sum("l_quantity").alias("volume"))
+    return as_bars(each.withColumns({f: F.col("close") for f in ("open", "high", "low")}), "tick", "lineitem")
+
+
+@query(
+    "tick_averages",
+    f"""WITH {TICKS_SQL} SELECT symbol, t, {rounded_sql("CASE WHEN row_number() OVER w >= 20 THEN avg(close) OVER (w ROWS 19 PRECEDING) END", 4)} AS average,
+  {rounded_sql("close / lag(close) OVER w - 1")} AS change FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY t)""",
+)
+def tick_averages(spark, sf):
+    """Frames that reach over the edges of blocks."""
+    average, change = feature("sma", period=20), feature("simple_return")
+    rows = with_features(materialize(ticks(spark, sf), "ticks"), [average, change], layout=CUT)
+    return rows.select(
+        "symbol", F.unix_millis("timestamp").alias("t"), rounded(F.col(f"`{average.key}`"), 4).alias("average"),
+        rounded(F.col(f"`{change.key}`")).alias("change"),
+    )
+
+
+@query(
+    "tick_runs",
+    f"""WITH {TICKS_SQL}, m AS (SELECT symbol, t, close > 1500 AS up, lag(close > 1500) OVER (PARTITION BY symbol ORDER BY t) AS before FROM ticks),
+r AS (SELECT symbol, up, sum(CASE WHEN before IS DISTINCT FROM up THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY t) AS run FROM m),
+e AS (SELECT symbol, up, run, count(*) AS length FROM r GROUP BY ALL)
+SELECT symbol, CASE WHEN up THEN 'up' ELSE 'down' END AS state, count(*) AS runs, max(length) AS longest, CAST(max(run) - 1 AS BIGINT) AS last_index FROM e GROUP BY ALL""",
+)
+def tick_runs(spark, sf):
+    """Runs numbered over all blocks of a series."""
+    state = F.when(F.col("close") > 1500, "up").otherwise("down")
+    runs = episodes(materialize(ticks(spark, sf).withColumn("state", state), "ticks"), ("symbol",), layout=CUT)
+    return runs.groupBy("symbol", "state").agg(
+        F.count(F.lit(1)).alias("runs"), F.max("length").alias("longest"), F.max("episode_index").alias("last_index"))
+
+
+@query(
+    "tick_strength",
+    f"""WITH {TICKS_SQL}, g AS (SELECT symbol, row_number() OVER w AS rn, greatest(close - lag(close) OVER w, 0) AS up, greatest(lag(close) OVER w - close, 0) AS down
+  FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY t)),
+s AS (SELECT symbol, avg(up) FILTER (WHERE rn <= 15) AS u0, avg(down) FILTER (WHERE rn <= 15) AS d0, list(up ORDER BY rn) FILTER (WHERE rn > 15) AS u,
+  list(down ORDER BY rn) FILTER (WHERE rn > 15) AS d FROM g WHERE rn > 1 GROUP BY symbol),
+e AS (SELECT symbol, list_reduce(list_prepend(u0, u), lambda a, x: (a * 13 + x) / 14) AS ag, list_reduce(list_prepend(d0, d), lambda a, x: (a * 13 + x) / 14) AS al FROM s)
+SELECT symbol, {rounded_sql("100 - 100 / (1 + ag / al)")} AS last_rsi FROM e""",
+)
+def tick_strength(spark, sf):
+    """The recursive average at the end of every series, carried over all blocks."""
+    rsi = feature("rsi")
+    rows = with_features(materialize(ticks(spark, sf), "ticks"), [rsi], layout=CUT)
+    last = rows.groupBy("symbol").agg(F.max_by(F.col(f"`{rsi.key}`"), "timestamp").alias("v"))
+    return last.select("symbol", rounded(F.col("v")).alias("last_rsi"))
