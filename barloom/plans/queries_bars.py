@@ -332,7 +332,7 @@ def decision_points(spark, sf):
 
 @query(
     "study_files",
-    TO_ROWS + """SELECT hypothesis_id, CASE WHEN dayofyear(ts) % 70 = 1 THEN 'unknown_state' WHEN dayofyear(ts) % 70 = 2 THEN 'identity_mismatch' ELSE 'accepted' END AS result,
+    TO_ROWS + """SELECT hypothesis_id, CASE WHEN dayofyear(ts) % 70 = 1 THEN 'unknown_state' WHEN dayofyear(ts) % 70 = 2 THEN 'identity_mismatch,unknown_state' ELSE 'accepted' END AS result,
   count(*) AS observations FROM rows WHERE horizon_bars = 1 GROUP BY ALL""",
 )
 def study_files(spark, sf):
@@ -341,7 +341,7 @@ def study_files(spark, sf):
     doy = day_number(F.col("timestamp")) % 70
     table_ = table_.withColumns(
         {
-            "state": F.when((doy == 1) & (F.col("state") != "insufficient_data"), "odd").otherwise(F.col("state")),
+            "state": F.when(doy.isin(1, 2) & (F.col("state") != "insufficient_data"), "odd").otherwise(F.col("state")),
             "hypothesis_version": F.when(doy == 2, 9).otherwise(F.col("hypothesis_version")),
         }
     )
@@ -352,7 +352,7 @@ def study_files(spark, sf):
         [(h.hypothesis_id, h.version, h.fingerprint) for h in STUDY.hypotheses], STUDY.symbols,
     )
     judged = good.select("hypothesis_id", F.lit("accepted").alias("result")).unionByName(
-        bad.select("hypothesis_id", F.element_at("issues", 1).alias("result"))
+        bad.select("hypothesis_id", F.array_join("issues", ",").alias("result"))
     )
     return judged.groupBy("hypothesis_id", "result").agg(F.count(F.lit(1)).alias("observations"))
 

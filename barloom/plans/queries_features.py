@@ -9,7 +9,7 @@ from barloom.operators import features as ft
 from barloom.operators.assess import assess, ensemble_issues
 from barloom.operators.hypotheses import HYPOTHESES, TREND_ALIGNMENT, observe
 from barloom.operators.features import quoted, with_features, with_true_range
-from barloom.operators.scanner import scan, scan_counters, universe
+from barloom.operators.scanner import in_history, scan, scan_counters, universe
 from barloom.plans.fixtures import DAILY_SQL, HOURLY_SQL, SUPPLIER_SQL, bars_daily, bars_hourly, bars_supplier, table
 from barloom.plans.registry import clock, clock_sql, query, rounded, rounded_sql
 from barloom.plans.sql_steps import FRAMED, OBSERVED, TO_FEATURES, TO_OBSERVATIONS, WILDER, steps
@@ -249,7 +249,11 @@ def assessments(spark, sf):
     )
 
 
-SCAN_SQL = SUPPLIER_ASSESSED + f""", latest AS (SELECT * FROM reasoned QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1),
+SCAN_DAY = "2001-11-15"
+# the scan reads the history window of its interval only
+SCAN_SQL = SUPPLIER_ASSESSED.replace(
+    "FROM lineitem)", f"FROM lineitem WHERE date_trunc('day', l_shipdate) >= TIMESTAMP '{SCAN_DAY}' - INTERVAL 730 DAY)"
+) + f""", latest AS (SELECT * FROM reasoned QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1),
 members AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol FROM supplier),
 scanned AS (SELECT m.symbol, CASE WHEN state IS NULL THEN 'no_data' WHEN state = 'insufficient_data' THEN 'insufficient_evidence'
     ELSE 'eligible' END AS eligibility, state,
@@ -262,10 +266,11 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY CASE category WHEN 'unanimous_d
 """
 
 
-def scan_suppliers(spark, sf):
+def scan_suppliers(spark, sf, failures=None):
     members = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"))
-    bars = materialize(bars_supplier(spark, sf), "bars")
-    return scan(members, bars)
+    now = F.lit(SCAN_DAY).cast("timestamp")
+    bars = materialize(in_history(bars_supplier(spark, sf), now), "bars")
+    return scan(members, bars, failures=failures, now=now)
 
 
 @query(
@@ -280,13 +285,15 @@ def universe_scan(spark, sf):
 
 @query(
     "scan_counters",
-    SCAN_SQL + """SELECT count(*) AS total, count(*) FILTER (WHERE eligibility = 'eligible') AS eligible,
-  count(*) FILTER (WHERE eligibility = 'no_data') AS no_data,
-  count(*) FILTER (WHERE eligibility = 'insufficient_evidence') AS insufficient_evidence,
-  CAST(0 AS BIGINT) AS failed, 'all_ok' AS status, true AS balanced FROM scanned""",
+    SCAN_SQL + """, marked AS (SELECT CASE WHEN CAST(symbol AS BIGINT) % 10 = 3 THEN 'failed' ELSE eligibility END AS e FROM scanned)
+SELECT count(*) AS total, count(*) FILTER (WHERE e = 'eligible') AS eligible, count(*) FILTER (WHERE e = 'no_data') AS no_data,
+  count(*) FILTER (WHERE e = 'insufficient_evidence') AS insufficient_evidence, count(*) FILTER (WHERE e = 'failed') AS failed,
+  'partial' AS status, true AS balanced FROM marked""",
 )
 def scan_counter_row(spark, sf):
-    return scan_counters(scan_suppliers(spark, sf))
+    """Every tenth symbol could not be fetched."""
+    names = table(spark, sf, "supplier").filter("s_suppkey % 10 = 3").select(F.col("s_suppkey").cast("string").alias("symbol"))
+    return scan_counters(scan_suppliers(spark, sf, names.withColumn("kind", F.lit("provider"))))
 
 
 @query(
