@@ -11,9 +11,13 @@ shingles that may be missing by ``EVIDENCE``: two sets that link then share
 verified on the whole sets.
 
 Rare shingles have short lists by definition. A long list is searched by
-pivots: each round every member is compared with one member of the list and
-lists whose members are all connected drop out; what is left after a few rounds
-is compared in full across components. So a large group of near copies costs
+pivots, first the member with the fewest rare shingles, which is the most
+central one: each round every member is compared with one member of the list
+and lists whose members are all connected drop out; what is left after a few
+rounds is compared in full across components. Two members that share no rare
+shingle cannot share more than their frequent ones, which rules most pairs of a
+loose group out; pairs that share a few rare ones are known from the short lists
+and judged there with that number added. So a large group of near copies costs
 its size and not its square, and no link that would join two components is lost.
 """
 
@@ -192,7 +196,7 @@ def _beginning(rare: np.ndarray, frequent: np.ndarray, need: int, classes: int)
 
 
 def _signatures(n: int, percent: int, table):
-    """Rows (paired, sig, k1, size) of every distinct set of a task."""
+    """Rows (paired, sig, k1, size, common) of every distinct set of a task; ``common`` counts the frequent shingles of a set that has pairs."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = table.value
         seen: set[int] = set()
@@ -233,9 +237,11 @@ def _signatures(n: int, percent: int, table):
                         sig.append(pair)
                         whose.append(np.full(len(pair), i))
                         paired.append(np.ones(len(pair), bool))
-                who = np.concatenate(whose)
-                columns = [pa.array(np.concatenate(paired)), pa.array(np.concatenate(sig).view(np.int64)), pa.array(k1[who]), pa.array(size[who].astype(np.int32))]
-                out = pa.record_batch(columns, ["paired", "sig", "k1", "size"])
+                who, pairs = np.concatenate(whose), np.concatenate(paired)
+                common = np.where(pairs, size[who] - np.diff(before[begins])[who], size[who])
+                columns = [pa.array(pairs), pa.array(np.concatenate(sig).view(np.int64)), pa.array(k1[who])]
+                columns += [pa.array(x.astype(np.int32)) for x in (size[who], common)]
+                out = pa.record_batch(columns, ["paired", "sig", "k1", "size", "common"])
                 for at in range(0, len(out), 1 << 16):
                     yield out.slice(at, 1 << 16)
 
@@ -335,22 +341,25 @@ def verified(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node either is a centre or has one centre, so that each component is one star."""
+    ends = edges.select("u", F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+    roles = ends.groupBy("u").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+    return roles.where("leaf + centre > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every linked node, by alternating large and small stars until nothing changes."""
+    """(node, component) of every linked node, by alternating large and small stars until stars are left."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = written(edges, "edges")
-    state = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def _labelled(lists: DataFrame, found: DataFrame) -> DataFrame:
@@ -361,7 +370,9 @@ def _labelled(lists: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _fitting(percent: int):
-    return F.expr(f"100 * least(size, other) >= {percent} * greatest(size, other)")
+    """Whether two members can be similar: by their sizes, and by the frequent shingles that they can share at most."""
+    most = "least(common, other_common)"
+    return F.expr(f"100 * {most} >= {percent} * (size + other - {most})")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT,
@@ -382,7 +393,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     named = docs.where("doc_id is not null and text is not null")
     table = spark.sparkContext.broadcast(frequent_shingles(named, total, n, rare, most_frequent))
     signatures = written(
-        named.select("text").mapInArrow(_signatures(n, percent, table), "paired boolean, sig bigint, k1 bigint, size int"), "signatures", "paired",
+        named.select("text").mapInArrow(_signatures(n, percent, table), "paired boolean, sig bigint, k1 bigint, size int, common int"), "signatures", "paired",
     )
     short = written(
         signatures.where(~F.col("paired")).select("sig", "k1", "size").repartition("sig").sortWithinPartitions("sig", "k1")
@@ -392,20 +403,29 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         "pairs",
     )
     by_key = nodes.select("k1", "node")
+    few = signatures.where("paired").select("k1", "size", "common").distinct()
+    most = "(least(x.common, y.common) + n)"
+    # without a pair of frequent shingles too few rare ones rule a link out, so only sets that have pairs are asked
+    weak = (
+        short.where(f"sig is null and n < {EVIDENCE}").select("a", "b", "n")
+        .join(few.alias("x"), F.expr("a = x.k1")).join(few.alias("y"), F.expr("b = y.k1"))
+        .where(f"100 * {most} >= {percent} * (x.size + y.size - {most})").select("a", "b")
+    )
     pairs = (
-        short.where(f"sig is null and n >= {EVIDENCE}")
+        short.where(f"sig is null and n >= {EVIDENCE}").select("a", "b").unionByName(weak)
         .join(by_key.select(F.col("k1").alias("a"), F.col("node").alias("na")), "a")
         .join(by_key.select(F.col("k1").alias("b"), F.col("node").alias("nb")), "b")
         .select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).where("a <> b").distinct()
     )
     pairs = written(pairs, "candidates")
     long = (
-        signatures.where("paired").select("sig", "k1", "size")
-        .unionByName(short.where("sig is not null").select("sig", F.col("a").alias("k1"), "size"))
+        signatures.where(F.col("paired") & (F.expr(f"100 * common >= {percent} * size"))).select("sig", "k1", "size", "common")
+        # what is counted of the rare shingles of a long list is not known
+        .unionByName(short.where("sig is not null").select("sig", F.col("a").alias("k1"), "size", F.col("size").alias("common")))
     )
     shared = long.groupBy("sig").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select("sig")
     lists = written(
-        long.join(shared, "sig", "left_semi").join(by_key, "k1").select("sig", "node", "size").distinct(), "lists",
+        long.join(shared, "sig", "left_semi").join(by_key, "k1").select("sig", "node", "size", "common").distinct(), "lists",
     )
     asked = pairs.select("a").union(pairs.select("b")).union(lists.select("node")).toDF("node").distinct()
     asked = asked.join(nodes.select("node", "k1", "k2"), "node")
@@ -422,16 +442,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         if open_lists.isEmpty():
             break
         if turn < ROUNDS:
-            pivot = open_lists.groupBy("sig").agg(F.min_by(F.struct("node", "component", "size"), F.xxhash64("node", F.lit(turn))).alias("p"))
-            new = open_lists.join(pivot, "sig").select("node", "size", F.col("component"), F.col("p.node").alias("with"), F.col("p.component").alias("theirs"), F.col("p.size").alias("other")).where("component <> theirs")
+            turned = F.struct(F.col("size") - F.col("common"), "node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+            member = F.struct(F.col("node").alias("with"), F.col("component").alias("theirs"), F.col("size").alias("other"), F.col("common").alias("other_common"))
+            pivot = open_lists.groupBy("sig").agg(F.min_by(member, turned).alias("p")).select("sig", "p.*")
+            new = open_lists.join(pivot, "sig").where("component <> theirs")
         else:
-            mate = open_lists.select("sig", F.col("node").alias("with"), F.col("component").alias("theirs"), F.col("size").alias("other"))
+            mate = open_lists.select(
+                "sig", F.col("node").alias("with"), F.col("component").alias("theirs"), F.col("size").alias("other"), F.col("common").alias("other_common"))
             new = open_lists.join(mate, "sig").where("component < theirs")
         new = new.where(_fitting(percent)).select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
         new = written(new.join(tried, ["a", "b"], "left_anti"), "candidates")
-        links = links.unionByName(written(verified(new, blobs, percent), "links"))
+        more = written(verified(new, blobs, percent), "links")
         tried = tried.unionByName(new)
-        found = components(links)
+        if more.isEmpty():
+            continue  # another pivot, or the full comparison
+        # what is connected so far is one star per component
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named_rows = real.join(nodes, ["k1", "k2"]).join(found, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     others = rows.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
