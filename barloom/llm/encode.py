@@ -23,7 +23,9 @@ import pyarrow as pa
 from barloom.llm.words import Spans, chunks
 
 #: distinct stretches kept by one worker, and the bytes of one kept stretch
-KNOWN, LONGEST = 1 << 22, 64
+KNOWN, LONGEST = 1 << 21, 64
+#: bytes of text encoded at once; new stretches are sorted in once per piece
+PIECE = 1 << 20
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 MARK = np.zeros(256, bool)
@@ -177,6 +179,6 @@ def encoder(path: str) -> Encoder:
 def encoded(texts: pa.Array, path: str):
     """(first row, flat ids, offsets of the rows' ids) per chunk of a batch; a null text is empty."""
     known = encoder(path)
-    for row, data, offsets in chunks(texts):
+    for row, data, offsets in chunks(texts, PIECE):
         ids, begins = known.chunk(data, offsets)
         yield row, ids, begins

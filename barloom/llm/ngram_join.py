@@ -40,7 +40,7 @@ WORDS, PERCENT = 4, 85
 RARE, FREQUENT, EVIDENCE = 32, 1 << 20, 4
 ROUNDS = 2
 #: shingles counted at once by a task, and their bits that are counted
-FLUSH, BITS = 1 << 22, 40
+FLUSH, BITS = 1 << 21, 40
 NO_FREQUENT = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 PROFILE = StructType([StructField(x, LongType()) for x in ("n_shingles", "k1", "k2")])

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.llm.encode import encoder, tokenizer
+from barloom.llm.encode import PIECE, encoder, tokenizer
 from barloom.llm.words import CONTINUATION, chunks
 
 RULES = ("first", "last", "most")
@@ -125,7 +125,7 @@ def attributed(docs: DataFrame, path: str, rule: str = "first", id_col: str = "d
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in chunks(batch.column(1)):
+            for first, data, offsets in chunks(batch.column(1), PIECE):
                 n = len(offsets) - 1
                 own = given(batch.column(2).slice(first, n)) if sections_col else lines(data, offsets)
                 tokens = token_spans(data, offsets, path)

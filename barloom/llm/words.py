@@ -8,14 +8,13 @@ per chunk and then mixed; two different spans agree with probability 2^-64.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: bytes of text worked on at once; a longer single text is its own chunk
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 SEPARATOR = np.zeros(256, bool)
@@ -36,19 +35,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2^64."""
-    def table(base: int) -> np.ndarray:
-        out = np.ones(size, np.uint64)
-        out[1:] = np.uint64(base)
-        return np.cumprod(out, dtype=np.uint64)
-
-    return table(MULTIPLIER), table(pow(MULTIPLIER, -1, 1 << 64))
+_POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(CHUNK_BYTES.bit_length(), n.bit_length()))
+    """Powers of the multiplier and of its inverse modulo 2^64, more than n of each."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = 1 << max(CHUNK_BYTES.bit_length(), n.bit_length())
+        _POWERS.clear()
+        for base in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            _POWERS.append(np.cumprod(table, dtype=np.uint64))
+    return _POWERS[0], _POWERS[1]
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
