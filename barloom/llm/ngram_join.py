@@ -17,7 +17,8 @@ and lists whose members are all connected drop out; what is left after a few
 rounds is compared in full across components. Two members that share no rare
 shingle cannot share more than their frequent ones, which rules most pairs of a
 loose group out; pairs that share a few rare ones are known from the short lists
-and judged there with that number added. So a large group of near copies costs
+and judged there with that number added. Parity bitmaps of the sets bound what
+two members share from above before the sets themselves are fetched. So a large group of near copies costs
 its size and not its square, and no link that would join two components is lost.
 """
 
@@ -39,6 +40,8 @@ WORDS, PERCENT = 4, 85
 #: longest list of a rare shingle; entries of the table of frequent ones (16 bytes each); shared rare shingles asked for
 RARE, FREQUENT, EVIDENCE = 32, 1 << 20, 4
 ROUNDS = 2
+#: 64-bit words of a set's parity bitmap
+BITMAP = 8
 #: shingles counted at once by a task, and their bits that are counted
 FLUSH, BITS = 1 << 21, 40
 NO_FREQUENT = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -317,6 +320,17 @@ def _set_blobs(n: int):
     return blobs
 
 
+@arrow_udf(StructType([StructField(f"b{k}", LongType()) for k in range(BITMAP)]))
+def bitmap(blobs: pa.Array) -> pa.Array:
+    """Parity of the number of shingles at each of 64 * BITMAP places; each place where two sets differ is a shingle that they do not share."""
+    out = np.zeros((len(blobs), BITMAP * 8), np.uint8)
+    for row, blob in enumerate(blobs):
+        places = (np.frombuffer(blob.as_py(), np.uint64) % np.uint64(64 * BITMAP)).astype(np.int64)
+        out[row] = np.packbits(np.bincount(places, minlength=64 * BITMAP) & 1)
+    words = out.view(np.int64)
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(words[:, k])) for k in range(BITMAP)], [f"b{k}" for k in range(BITMAP)])
+
+
 def similar(percent: int):
     """Whether two sets reach the similarity, exactly."""
     @arrow_udf(BooleanType())
@@ -370,9 +384,10 @@ def _labelled(lists: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _fitting(percent: int):
-    """Whether two members can be similar: by their sizes, and by the frequent shingles that they can share at most."""
-    most = "least(common, other_common)"
-    return F.expr(f"100 * {most} >= {percent} * (size + other - {most})")
+    """Whether two members can be similar: by the frequent shingles that they can share at most, and by their bitmaps."""
+    apart = " + ".join(f"bit_count(b{k} ^ w{k})" for k in range(BITMAP))
+    bounds = ("least(common, other_common)", f"shiftright(size + other - ({apart}), 1)")
+    return F.expr(" and ".join(f"100 * {most} >= {percent} * (size + other - {most})" for most in bounds))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT,
@@ -437,19 +452,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     links = written(verified(pairs, blobs, percent), "links")
     found = components(links)
     tried = pairs
+    lists = written(lists.join(blobs.select("node", bitmap("blob").alias("b")), "node").select(*lists.columns, "b.*"), "lists")
+    mate = [F.col(a).alias(b) for a, b in (("node", "with"), ("component", "theirs"), ("size", "other"), ("common", "other_common"))]
+    mate += [F.col(f"b{k}").alias(f"w{k}") for k in range(BITMAP)]
     for turn in range(ROUNDS + 1):
         open_lists = written(_labelled(lists, found), "open")
         if open_lists.isEmpty():
             break
         if turn < ROUNDS:
             turned = F.struct(F.col("size") - F.col("common"), "node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            member = F.struct(F.col("node").alias("with"), F.col("component").alias("theirs"), F.col("size").alias("other"), F.col("common").alias("other_common"))
+            member = F.struct(*mate)
             pivot = open_lists.groupBy("sig").agg(F.min_by(member, turned).alias("p")).select("sig", "p.*")
             new = open_lists.join(pivot, "sig").where("component <> theirs")
         else:
-            mate = open_lists.select(
-                "sig", F.col("node").alias("with"), F.col("component").alias("theirs"), F.col("size").alias("other"), F.col("common").alias("other_common"))
-            new = open_lists.join(mate, "sig").where("component < theirs")
+            new = open_lists.join(open_lists.select("sig", *mate), "sig").where("component < theirs")
         new = new.where(_fitting(percent)).select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
         new = written(new.join(tried, ["a", "b"], "left_anti"), "candidates")
         more = written(verified(new, blobs, percent), "links")
