@@ -3,10 +3,12 @@
 Lengths are whole numbers up to the capacity, so how the pieces fill sequences
 depends on the number of pieces of each length only: one histogram of at most
 ``capacity`` rows, whatever the size of the corpus. Best-fit decreasing on it is
-the incumbent. If it needs more sequences than the tokens alone, bin completion
-searches: around the largest length left it tries undominated fillings, least
-waste first, and gives up a branch whose waste exceeds what a better packing
-could have. The plan, groups of equally filled sequences, is then dealt to the
+the incumbent. If it needs more sequences than the lower bound, bin completion
+searches by branch and bound: around the largest length left it branches over the
+undominated fillings, least waste first, and over how often each is used, and
+steps back from a branch whose waste exceeds what a better packing could have.
+It ends with an optimal packing, or keeps the best one known where ``NODES``
+fillings were tried for one number of sequences. The plan, groups of equally filled sequences, is then dealt to the
 pieces by their rank among those of their length.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,8 @@ from barloom.llm.encode import encoded
 from barloom.llm.shared import written
 
 CAPACITY = 2048
-#: pieces of one length that are ranked in one task; fillings tried by the search
-RANKED, NODES = 50_000, 20_000
+#: pieces of one length that are ranked in one task; steps of the search for one number of sequences, and fillings a branch holds
+RANKED, NODES, BATCH = 50_000, 20_000, 64
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -77,74 +80,164 @@ def best_fit(counts: dict[int, int], capacity: int) -> Groups:
     return [group for own in room.values() for group in own]
 
 
-def fillings(space: int, below: int, lengths: list[int], counts: dict[int, int], budget: list[int]) -> Iterator[list[tuple[int, int]]]:
-    """Undominated fillings of a space, from the largest lengths on; one that fills it ends the search."""
-    def grow(space: int, at: int, items: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
-        budget[0] -= 1
-        if budget[0] < 0:
+def least(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound on the sequences: pieces over half the capacity need one each, and smaller ones fill only what these leave."""
+    lengths = np.array(sorted(counts), np.int64)
+    number = np.array([counts[int(k)] for k in lengths], np.int64)
+    bound = 0
+    for small in {0, *(int(k) for k in lengths if 2 * k <= capacity)}:
+        alone, large = lengths > capacity - small, (2 * lengths > capacity) & (lengths <= capacity - small)
+        rest = (2 * lengths <= capacity) & (lengths >= small)
+        room = int(((capacity - lengths) * number)[large].sum())
+        over = int((lengths * number)[rest].sum()) - room
+        bound = max(bound, int(number[alone | large].sum()) + max(0, -(-over // capacity)))
+    return bound
+
+
+def fillings(space: int, below: int, counts: dict[int, int], spare: int, budget: list[int]) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+    """(waste, items) of the undominated fillings of a space beside one piece ``below``, by waste and then from the largest lengths on.
+
+    A filling is dominated where a piece that is left can take the place of none,
+    one or several of its items whose sum is smaller, or of several of equal sum:
+    these then fit where that piece was. Sums are bits of whole numbers.
+    """
+    lengths = sorted((k for k in counts if k <= space), reverse=True)
+    many = [counts[k] - (k == below) for k in lengths]
+    reach = [1] * (len(lengths) + 1)  # sums that the lengths from this one on can make
+    for k in range(len(lengths) - 1, -1, -1):
+        sums, left, part = reach[k + 1], min(many[k], space // lengths[k]), 1
+        while left > 0:
+            part = min(part, left)
+            sums |= sums << part * lengths[k]
+            left -= part
+            part *= 2
+        reach[k] = sums & ((2 << space) - 1)
+    stock = sum(1 << length for length, n in zip(lengths, many, strict=True) if n)
+    of = dict(zip(lengths, many, strict=True))
+
+    def exact(k: int, left: int, items: tuple[tuple[int, int], ...]) -> Iterator[tuple[tuple[int, int], ...]]:
+        if not left:
+            yield items
             return
-        fits = False
-        for k in range(at, len(lengths)):
-            length = lengths[k]
-            if length > space:
-                continue
-            many = min(counts[length] - (length == below), space // length)
-            if many <= 0:
-                continue
-            fits = True
-            for number in range(many, 0, -1):
-                yield from grow(space - number * length, k + 1, [*items, (length, number)])
+        while reach[k] >> left & 1:
+            for n in range(min(many[k], left // lengths[k]), 0, -1):
+                if reach[k + 1] >> left - n * lengths[k] & 1:
+                    yield from exact(k + 1, left - n * lengths[k], (*items, (lengths[k], n)))
+            k += 1
+
+    def dominated(items: tuple[tuple[int, int], ...], waste: int) -> bool:
+        free, one, more = stock, 0, 0
+        for length, n in items:
+            if of[length] == n:
+                free ^= 1 << length
+            for _ in range(n):
+                more |= (more | one) << length
+                one |= 1 << length
+        wide, span = (1 | one | more) << 1 if waste else 0, 1
+        while span < waste:
+            step = min(span, waste - span)
+            wide |= wide << step
+            span += step
+        return bool(free & (wide | more))
+
+    for waste in range(min(space, spare) + 1):
+        if reach[0] >> space - waste & 1:
+            for items in exact(0, space - waste, ()):
+                budget[0] -= 1
                 if budget[0] < 0:
                     return
-        if not fits:  # nothing that is left fits in: no other filling holds this one and more
-            yield items
+                if not dominated(items, waste):
+                    yield waste, items
+
+
+class Branch:
+    """The sequences around one largest length: the filling now tried, how often, and those that were tried before it."""
+
+    def __init__(self, largest: int, tried: frozenset) -> None:
+        self.largest, self.tried = largest, tried
+        self.batch: list[tuple[int, tuple[tuple[int, int], ...]]] = []
+        self.seen, self.times, self.waste = 0, 0, 0
+        self.need: dict[int, int] = {}
+
+    def choose(self, counts: dict[int, int], capacity: int, spare: int, budget: list[int]) -> bool:
+        """Take the next filling. All sequences around this length waste as much or more, so too much for one ends the branch."""
+        while True:
+            if not self.batch:  # made anew from the same counts, so that deep branches hold a few fillings only
+                own = fillings(capacity - self.largest, self.largest, counts, spare, budget)
+                self.batch = list(islice(own, self.seen, self.seen + min(max(1, self.seen), BATCH)))
+                self.seen += len(self.batch)
+                if not self.batch:
+                    return False
+            self.waste, items = self.batch.pop(0)
+            if -(-counts[self.largest] // (capacity // self.largest)) * self.waste > spare:
+                return False
+            if items in self.tried:
+                continue
+            self.tried |= {items}
+            self.need = {self.largest: 1}
+            for length, number in items:
+                self.need[length] = self.need.get(length, 0) + number
+            self.times = min(counts[k] // n for k, n in self.need.items())
+            return True
 
-    yield from grow(space, 0, [])
 
+def complete(counts: dict[int, int], capacity: int, most: int, budget: list[int]) -> tuple[Groups | None, bool]:
+    """A packing into at most ``most`` sequences, and whether the search came to its end.
 
-def complete(counts: dict[int, int], capacity: int, most: int, nodes: int = NODES) -> Groups | None:
-    """A packing into fewer than ``most`` sequences, or None where the search finds none."""
+    Depth first over the fillings of the largest length left and over how often
+    each is used; a step back wherever the waste exceeds what ``most`` allows.
+    (None, True) proves that there is none, (None, False) says that the budget of
+    fillings was spent.
+    """
     counts = dict(counts)
-    spare = (most - 1) * capacity - sum(k * n for k, n in counts.items())
-    out: Groups = []
-    budget = [nodes]
-    while counts:
-        largest = max(counts)
-        lengths = sorted(counts, reverse=True)
-        best, waste = [], capacity - largest
-        share = [min(budget[0], 400)]
-        budget[0] -= share[0]
-        for items in fillings(capacity - largest, largest, lengths, counts, share):
-            left = capacity - largest - sum(k * n for k, n in items)
-            if left < waste:
-                best, waste = items, left
-            if not left:
-                break
-        budget[0] += max(0, share[0])
-        need: dict[int, int] = {largest: 1}
-        for length, number in best:
-            need[length] = need.get(length, 0) + number
-        times = min(counts[k] // n for k, n in need.items())
-        spare -= times * waste
-        if spare < 0:
-            return None
-        out.append((times, sorted(need.items(), reverse=True)))
-        for k, n in need.items():
-            counts[k] -= times * n
+    spare = most * capacity - sum(k * n for k, n in counts.items())
+    if spare < 0 or not counts:
+        return (None if spare < 0 else []), True
+    stack = [Branch(max(counts), frozenset())]
+    while stack:
+        now = stack[-1]
+        if now.times:  # back from below: the same filling once less
+            for k, n in now.need.items():
+                counts[k] = counts.get(k, 0) + now.times * n
+            spare += now.times * now.waste
+            now.times -= 1
+        if not now.times and not now.choose(counts, capacity, spare, budget):
+            stack.pop()
+            if budget[0] < 0:
+                return None, False
+            continue
+        budget[0] -= 1
+        if budget[0] < 0:
+            return None, False
+        for k, n in now.need.items():
+            counts[k] -= now.times * n
             if not counts[k]:
                 del counts[k]
-    return out
+        spare -= now.times * now.waste
+        if not counts:
+            return [(b.times, sorted(b.need.items(), reverse=True)) for b in stack], True
+        stack.append(Branch(max(counts), now.tried if now.largest in counts else frozenset()))
+    return None, True
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Groups:
-    """How the lengths fill sequences: the incumbent, or what bin completion finds below it."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Groups:
+    """How the lengths fill sequences: the incumbent, or what bin completion finds below it.
+
+    The search begins at the lower bound. A number of sequences that is proved
+    too small raises the bound by one; where its share of ``nodes`` is spent
+    first, half of the way to the incumbent is tried next. Without a spent share
+    the plan is optimal.
+    """
     found = best_fit(counts, capacity)
-    least = -(-sum(k * n for k, n in counts.items()) // capacity)
-    while (now := sum(n for n, _ in found)) > least:
-        better = complete(counts, capacity, now)
-        if better is None:
-            break
-        found = better
+    now, target = sum(n for n, _ in found), least(counts, capacity) if counts else 0
+    while target < now:
+        better, ended = complete(counts, capacity, target, [nodes])
+        if better is not None:
+            found, now = better, sum(n for n, _ in better)
+        elif ended:
+            target += 1
+        else:
+            target += max(1, (now - target) // 2)
     return found
 
 

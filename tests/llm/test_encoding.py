@@ -107,6 +107,38 @@ def test_bin_completion_mends_what_best_fit_wastes():
     assert sum(n for n, _ in packing.plan(hard, 12)) == 2
 
 
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying every place of every piece."""
+    states = {()}
+    for length in sorted(lengths, reverse=True):
+        grown = set()
+        for bins in states:
+            grown.add(tuple(sorted((*bins, capacity - length))))
+            for k, free in enumerate(bins):
+                if free >= length:
+                    grown.add(tuple(sorted((*bins[:k], free - length, *bins[k + 1 :]))))
+        states = grown
+    return min(map(len, states))
+
+
+def test_bin_completion_returns_to_other_fillings():
+    counts = {37: 1, 31: 1, 30: 1, 26: 1, 24: 2, 22: 1, 17: 1, 12: 1, 11: 1}  # the least waste around the largest leads to five
+    assert sum(n for n, _ in packing.plan(counts, 60)) == 4
+    rng = np.random.default_rng(8)
+    for _ in range(120):
+        capacity = int(rng.integers(10, 60))
+        lengths = rng.integers(max(1, capacity // 6), capacity * 2 // 3 + 1, rng.integers(1, 8)).tolist()
+        counts = {k: lengths.count(k) for k in lengths}
+        want = fewest(lengths, capacity)
+        assert packing.least(counts, capacity) <= want == sum(n for n, _ in packing.plan(counts, capacity)), (lengths, capacity)
+
+
+def test_a_spent_search_keeps_the_incumbent():
+    counts = {37: 1, 31: 1, 30: 1, 26: 1, 24: 2, 22: 1, 17: 1, 12: 1, 11: 1}
+    assert packing.complete(counts, 60, 4, [2]) == (None, False) and packing.complete(counts, 60, 3, [2]) == (None, True)
+    assert sum(n for n, _ in packing.plan(counts, 60, nodes=2)) == 5
+
+
 def test_plans_hold_every_piece_once():
     rng = np.random.default_rng(1)
     for _ in range(20):
