@@ -7,7 +7,7 @@ standard deviation of the smoothed ratios, their mean at most) cluster into
 content regions. A region belongs to its innermost article or main element;
 where there is one, the whole element is the content, so that short paragraphs
 stay; elsewhere short lines between two lines of a region, and a heading right
-before it, are kept. Elements that are never content (menus, adverts, forms,
+before it, are kept. End tags that HTML lets a page omit are implied. Elements that are never content (menus, adverts, forms,
 comments and the like) are left out before.
 """
 
@@ -42,7 +42,22 @@ NEVER_NAMES = frozenset(
     "recommended newsletter subscribe subscription signup login search footer masthead topbar pagination pager widget".split()
 )
 CONTENT = frozenset("article main".split())
-#: an end tag of these is implied when the next of their kind begins
+#: an open element of these names ends where the element begins, unless one of the others lies between
+_P_ENDS = (frozenset(["p"]), frozenset("table caption td th button object template body html".split()))
+IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
+    "li": (frozenset(["li"]), frozenset("ul ol menu dir table td th".split())),
+    **dict.fromkeys(("dt", "dd"), (frozenset(["dt", "dd"]), frozenset("dl table td th".split()))),
+    **dict.fromkeys(("td", "th"), (frozenset(["td", "th"]), frozenset(["tr", "table"]))),
+    "tr": (frozenset(["tr"]), frozenset(["table"])),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (frozenset("thead tbody tfoot tr caption colgroup".split()), frozenset(["table"]))),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist", "optgroup"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
+}
+ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
+    "hr li dt dd main menu nav ol p pre section table ul".split()
+)
+IN_HEAD = frozenset("base link meta title script style noscript template".split())
 SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
@@ -83,9 +98,26 @@ class Lines(HTMLParser):
                     return True
         return False
 
+    def end_implied(self, names: frozenset[str], stops: frozenset[str]) -> None:
+        """End the outermost open element of these names that lies inside the innermost of the stops."""
+        found = None
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] in names:
+                found = k
+            elif self.open[k][0] in stops:
+                break
+        if found is not None:
+            del self.open[found:]
+
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.line()
+            if tag in IMPLIED:
+                self.end_implied(*IMPLIED[tag])
+            if tag in ENDS_P:
+                self.end_implied(*_P_ENDS)
+        if self.open and self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self.open.pop()
         self.tags += 1
         if tag == "br":
             self.text.append(" ")

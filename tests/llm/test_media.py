@@ -108,6 +108,21 @@ def test_main_text(html, want):
     assert html_main.main_text(html) == "\n".join(want)
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<article><p class=ad>Buy<p>Real words<p>More</article>", "Real words\nMore"),
+    ("<article><p class=ad>Buy<h2>Head</h2><div>Words</div></article>", "Head\nWords"),
+    ("<article><ul><li class=share>x<li>Words<ul><li class=share>y<li>Inner</ul><li>Last</ul></article>", "Words\nInner\nLast"),
+    ("<article><ul><li class=share>x<ul><li>still x</ul>and x<li>Words</ul></article>", "Words"),
+    ("<article><dl><dt class=ad>x<dd>Words<dd class=ad>y<dt>Term</dl></article>", "Words\nTerm"),
+    ("<article><table><tr class=ad><td>x<tr><td class=ad>y<td>Words<th>Cell<tbody><tr><td>Last</table></article>", "Words\nCell\nLast"),
+    ("<article><table><tr><td class=ad>x<table><tr><td>still x</table>x<td>Words</table></article>", "Words"),
+    ("<head><title>T</title><body><article><p>Words</article>", "Words"),
+    ("<head><title>T</title><article><p>Words</article>", "Words"),
+])
+def test_omitted_end_tags(html, want):
+    assert html_main.main_text(html) == want
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<p>a  b\n c</p>", "x", 1), (1, "u", "<p>a  b\n c</p>", "x", 1), (None, None, None, "x", 1), (3, "v", "<p>" + "é" * 10**5, "x", 1)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")
