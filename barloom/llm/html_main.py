@@ -7,8 +7,10 @@ standard deviation of the smoothed ratios, their mean at most) cluster into
 content regions. A region belongs to its innermost article or main element;
 where there is one, the whole element is the content, so that short paragraphs
 stay; elsewhere short lines between two lines of a region, and a heading right
-before it, are kept. End tags that HTML lets a page omit are implied. Elements that are never content (menus, adverts, forms,
-comments and the like) are left out before.
+before it, are kept. End tags that HTML lets a page omit are implied. Elements
+that are never content (menus, adverts, forms, comments and the like) are left
+out before. Where only a class or an id says so, the lines are set aside, and a region in one such element that has ``DENSE``
+characters and ``OVERRULE`` times those of the other content overrules the name.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 SIGMA, REACH = 1.0, 2
+#: least characters of a region that overrules a name, and least multiple of what is found without it
+DENSE, OVERRULE = 200, 4
 
 #: fixed sets of element and class names
 BLOCKS = frozenset(
@@ -62,24 +66,31 @@ SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
 
+Line = tuple[str, int, int, bool, int]
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, container, heading) of every line outside the elements that are never content."""
+    """Collects (text, tags, container, heading, named) of every line outside the elements that are never content.
+
+    ``named`` is the number of the innermost element whose class or id is that of
+    something that is not content, 0 outside of these.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.open: list[tuple[str, bool, int]] = []  # (name, left out, container)
+        self.lines: list[Line] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # (name, left out, container, named)
         self.text: list[str] = []
-        self.tags, self.containers, self.heading = 0, 0, False
+        self.tags, self.containers, self.names, self.heading = 0, 0, 0, False
 
-    def state(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def state(self) -> tuple[bool, int, int]:
+        return self.open[-1][1:] if self.open else (False, 0, 0)
 
     def line(self) -> None:
         if self.text:
             text = SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                self.lines.append((text, max(1, self.tags), self.state()[1], self.heading))
+                self.lines.append((text, max(1, self.tags), self.state()[1], self.heading, self.state()[2]))
             self.text = []
         self.tags = 0
 
@@ -93,11 +104,17 @@ class Lines(HTMLParser):
                 return True
             if key == "role" and (value or "").lower() in NEVER_ROLES:
                 return True
-            if key in ("class", "id") and value:
-                if any(NEVER_NAMES.intersection(SPLIT_NAME.split(x)) or x.lower() in NEVER_NAMES for x in value.split()):
-                    return True
         return False
 
+    def named(self, tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+        """Whether a whole token of the class or id, or its leading part, names what is never content."""
+        if tag in ("html", "body", *CONTENT):
+            return False
+        return any(
+            x.lower() in NEVER_NAMES or SPLIT_NAME.split(x)[0].lower() in NEVER_NAMES
+            for key, value in attributes if key in ("class", "id") and value for x in value.split()
+        )
+
     def end_implied(self, names: frozenset[str], stops: frozenset[str]) -> None:
         """End the outermost open element of these names that lies inside the innermost of the stops."""
         found = None
@@ -123,18 +140,21 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        out, container = self.state()
-        if out and tag in CONTENT and not self.left_out(tag, attributes, 1):
-            while self.open and self.open[-1][1]:  # an element that was left out and never closed
+        out, container, named = self.state()
+        if (out or named) and tag in CONTENT and not self.left_out(tag, attributes, 1):
+            while self.open and (self.open[-1][1] or self.open[-1][3]):  # an element that was left out and never closed
                 self.open.pop()
-            out, container = self.state()
+            out, container, named = self.state()
         if not out:
             out = self.left_out(tag, attributes, container)
+        if not out and self.named(tag, attributes):
+            self.names += 1
+            named = self.names
         if not out and tag in CONTENT:
             self.containers += 1
             container = self.containers
         self.heading = tag in HEADINGS if tag in BLOCKS else self.heading
-        self.open.append((tag, out, container))
+        self.open.append((tag, out, container, named))
 
     def handle_startendtag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attributes)
@@ -166,11 +186,25 @@ def smoothed(values: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np
     return full / np.convolve(np.ones(len(values)), weights)[reach : reach + len(values)]
 
 
-def chosen(lines: list[tuple[str, int, int, bool]]) -> list[str]:
-    """The lines of the content regions."""
+def chosen(lines: list[Line]) -> list[str]:
+    """The lines of the content regions, those of a named element only where it overrules its name."""
+    found = regions([line for line in lines if not line[4]])
+    named: dict[int, list[Line]] = {}
+    for line in lines:
+        if line[4]:
+            named.setdefault(line[4], []).append(line)
+    sizes = {k: sum(map(len, regions(own))) for k, own in named.items()}
+    largest = max(sizes, key=sizes.__getitem__, default=0)
+    if largest and sizes[largest] >= max(DENSE, OVERRULE * sum(map(len, found))):
+        return regions([line for line in lines if line[4] in (0, largest)])
+    return found
+
+
+def regions(lines: list[Line]) -> list[str]:
+    """The lines of the content regions, whatever their names."""
     if not lines:
         return []
-    raw = np.array([len(text) / tags for text, tags, _, _ in lines])
+    raw = np.array([len(text) / tags for text, tags, *_ in lines])
     ratio = smoothed(raw)
     threshold = min(ratio.std(), ratio.mean())
     high = ratio >= threshold
@@ -180,12 +214,12 @@ def chosen(lines: list[tuple[str, int, int, bool]]) -> list[str]:
             outside = (outside or not high[k]) and raw[k] < threshold
             high[k] &= not outside
     weight: dict[int, int] = {}
-    for (text, _, container, _), above in zip(lines, high, strict=True):
+    for (text, _, container, *_), above in zip(lines, high, strict=True):
         if above:
             weight[container] = weight.get(container, 0) + len(text)
     inner = {c: n for c, n in weight.items() if c}
     if inner and max(inner.values()) >= weight.get(0, 0) / 2:
-        return [text for text, _, container, _ in lines if container in inner]
+        return [text for text, _, container, *_ in lines if container in inner]
     at = np.flatnonzero(high)
     keep = high.copy()
     for a, b in zip(at[:-1], at[1:], strict=True):

@@ -123,6 +123,27 @@ def test_omitted_end_tags(html, want):
     assert html_main.main_text(html) == want
 
 
+STORY = ["Head line", ("Long words of the story go on and on here. " * 6).strip(), "Short one.", ("More of the same story is told in this part. " * 5).strip()]
+
+
+@pytest.mark.parametrize("html", [
+    f'<body><div id=page class="has-sidebar"><h1>Head line</h1>{BODY}</div>', f'<body><div class="no-sidebar"><h1>Head line</h1>{BODY}</div>',
+    f'<body><article class="post category-search tag-advertising"><h1>Head line</h1>{BODY}</article>',
+    f'<body><article class="related"><h1>Head line</h1>{BODY}</article>',
+    f'<body><div class="widget page"><h1>Head line</h1>{BODY}<div class="comments"><p>{"I think so too. " * 9}</p></div></div><p>Tail</p>',
+])
+def test_a_name_does_not_cost_the_article(html):
+    assert html_main.main_text(html).split("\n")[:4] == STORY
+    assert "think" not in html_main.main_text(html)
+
+
+def test_names_still_leave_out():
+    side = "side words " * 40
+    for name in ("sidebar", "comments-list", "relatedPosts", "x ad"):
+        assert html_main.main_text(f"<body><div class='{name}'><p>{side}</p></div><div><h1>Head line</h1>{BODY}</div>") == "\n".join(STORY)
+    assert html_main.main_text("<div class=ad>Buy now</div>") == ""
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<p>a  b\n c</p>", "x", 1), (1, "u", "<p>a  b\n c</p>", "x", 1), (None, None, None, "x", 1), (3, "v", "<p>" + "é" * 10**5, "x", 1)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")
