@@ -1,7 +1,9 @@
 """Secrets by patterns and by a battery of randomness tests.
 
-Candidates are runs of at least ``SHORTEST`` characters of the usual encodings.
-For its inferred encoding a candidate is tested for being drawn uniformly: the
+Candidates are runs of at least ``SHORTEST`` characters of the usual encodings,
+an equals sign being padding at their end only, and the parts of such a run
+between slashes, between hyphens and underscores, and between any of these; so a
+finding can lie within another. For its inferred encoding a candidate is tested for being drawn uniformly: the
 chi-squared statistic of its symbols, Wald-Wolfowitz runs about the middle of
 the alphabet, and the correlation of neighbours, the smallest p-value times
 three. Candidates that pass are held against ordinary writing: under the
@@ -39,7 +41,9 @@ SHORTEST, LEVEL, RATE = 20, 0.01, 0.05
 #: least lengths of the classes within which false findings are controlled
 CLASSES = (20, 32, 48, 96)
 STEPS, LAST = 8, 4000
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}=*")
+#: parts of a run that are candidates of their own
+PARTS = tuple(re.compile(f"[^{signs}]{{20,}}") for signs in ("/", "_-", "/_-"))
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: alphabets in the order they are tried; a run of letters of one case is writing and has none
@@ -123,19 +127,20 @@ def shares_of(counts: dict[int, int]) -> dict[str, np.ndarray]:
 def candidates(text: str, shares: dict[str, np.ndarray]) -> Iterator[tuple[str, int, int, int, int]]:
     """(kind, start, end, class of length, step of its p-value) of the runs that pass the battery."""
     for m in RUN.finditer(text):
-        name = encoding(m[0])
-        if name is None:
-            continue
-        alphabet = _PLACES[name]
-        places = np.array([alphabet[c] for c in m[0].rstrip("=")])
-        if len(places) < SHORTEST:
-            continue
-        p_uniform, chi = battery(places, len(alphabet))
-        if p_uniform < LEVEL:
-            continue
-        p = as_writing(chi, len(places), shares[name])
-        step = min(LAST, int(-STEPS * math.log2(p))) if p > 0 else LAST
-        yield "random", m.start(), m.end(), sum(len(places) >= x for x in CLASSES) - 1, step
+        run = m[0].rstrip("=")
+        for start, end in sorted({(0, len(run)), *(x.span() for cut in PARTS for x in cut.finditer(run))}):
+            name = encoding(run[start:end])
+            if name is None:
+                continue
+            alphabet = _PLACES[name]
+            places = np.array([alphabet[c] for c in run[start:end]])
+            p_uniform, chi = battery(places, len(alphabet))
+            if p_uniform < LEVEL:
+                continue
+            p = as_writing(chi, len(places), shares[name])
+            step = min(LAST, int(-STEPS * math.log2(p))) if p > 0 else LAST
+            stop = m.end() if end == len(run) else m.start() + end  # padding belongs to the last part
+            yield "random", m.start() + start, stop, sum(len(places) >= x for x in CLASSES) - 1, step
 
 
 def base_spans(text: str) -> Iterator[tuple[str, int, int]]:

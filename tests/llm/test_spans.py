@@ -110,6 +110,22 @@ def test_base_secrets_as_by_the_plain_patterns(spark, shared):
     assert secrets.digest(secrets.scan(docs.where("false"))).count() == 0
 
 
+def test_keys_behind_a_name_or_a_path_are_found(spark, shared):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    prose = "the sun rose over the quiet harbour while two boats left for the open sea and someone sang "
+    forms = ("AWS_KEY={}", "see https://h.example/x?sig={}&v=1", "Cookie: id={};", "https://h.example/com/download/{}", "live_{}", "A_NAME_OF_TWENTY_SIGNS={}==")
+    rows = [(k, prose * 2 + form, "".join(rng.choice(letters) for _ in range(40))) for k, form in enumerate(forms * 10)]
+    docs = spark.createDataFrame([(k, form.format(key), "x", 1) for k, form, key in rows], SCHEMA)
+    got = {r.doc_id: [(x["start"], x["end"]) for x in r.spans if x["kind"] == "random"] for r in secrets.scan(docs).collect()}
+    for own in range(len(forms)):
+        found = 0
+        for k, form, key in rows[own :: len(forms)]:
+            start = form.index("{}")
+            found += (start, start + 40 + 2 * form.endswith("==")) in got[k]
+        assert found >= 8, forms[own]
+
+
 def test_the_battery_accepts_random_draws_and_refuses_patterns():
     import numpy as np
 
