@@ -6,10 +6,12 @@ loosest to the strictest; a cut-off is certified while the exact binomial bound
 on its share of rejected good documents stays at or under the rule's share of
 ``risk``, at a level divided by the number of rules and strata (Bonferroni
 across them, fixed-sequence testing along the cut-offs). So with probability
-``1 - error`` no stratum loses more than ``risk`` of its good documents. Of the
+``1 - error`` no labelled stratum loses more than ``risk`` of its good documents. Of the
 certified cut-offs the one that serves best on the labels is taken, the loosest
 on a tie; where none can be certified the rule rejects nothing. Strata with
-fewer than ``least`` good labels share one pooled stratum.
+fewer than ``least`` good labels choose together, in one pooled stratum, and each
+takes the pooled cut-off only as far as its own good labels certify it too. A
+stratum without any labels takes the pooled cut-offs as they are and has no bound.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -126,10 +128,10 @@ def _tail(n: int, k: int, p: float) -> float:
 
 
 def certify(risk: float, error: float):
-    """Choose the cut-off of one stratum and rule from its counts per cut-off."""
+    """Choose the cut-off of one stratum and rule from its counts per cut-off, and name the strictest certified one."""
     def chosen(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
-        grid, best, gain = GRIDS[first.rule], None, 0.0
+        grid, best, strictest, gain = GRIDS[first.rule], None, None, 0.0
         good, bad = np.zeros(len(grid), np.int64), np.zeros(len(grid), np.int64)
         for step, g, b in zip(rows.step, rows.good, rows.bad, strict=True):
             if step < len(grid):  # above cut-off number step and all stricter ones
@@ -139,9 +141,11 @@ def certify(risk: float, error: float):
         for k in range(len(grid)):
             if _tail(int(first.n_good), int(good[k]), risk / len(GRIDS)) > error / (len(GRIDS) * first.n_strata):
                 break
+            strictest = grid[k]
             if (now := bad[k] - COST * good[k]) > gain:
                 best, gain = grid[k], now
-        return pd.DataFrame({"stratum": [first.stratum], "rule": [first.rule], "cutoff": [best]}).astype({"cutoff": float})
+        found = {"stratum": [first.stratum], "rule": [first.rule], "cutoff": [best], "strictest": [strictest], "n_good": [first.n_good]}
+        return pd.DataFrame(found).astype({"cutoff": float, "strictest": float})
 
     return chosen
 
@@ -155,7 +159,7 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR, least
     ]
     counted = (
         labelled.join(own, "stratum", "left")
-        .withColumn("stratum", F.when(F.col("own"), F.col("stratum")).otherwise(F.lit(POOLED)))
+        .withColumn("stratum", F.explode(F.when(F.col("own"), F.array("stratum")).otherwise(F.array("stratum", F.lit(POOLED)))))
         .select("stratum", "good", F.explode(F.array(*steps)).alias("s"))
         .groupBy("stratum", "s.rule", "s.step")
         .agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad"))
@@ -163,10 +167,15 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR, least
     counted = written(counted, "counted")
     totals = counted.groupBy("stratum", "rule").agg(F.sum("good").alias("n_good"))
     strata = counted.agg(F.count_distinct("stratum").alias("n_strata"))
-    return (
-        counted.join(totals, ["stratum", "rule"]).join(F.broadcast(strata))
-        .groupBy("stratum", "rule").applyInPandas(certify(risk, error), "stratum string, rule string, cutoff double")
+    each = (
+        counted.join(totals, ["stratum", "rule"]).join(F.broadcast(strata)).groupBy("stratum", "rule")
+        .applyInPandas(certify(risk, error), "stratum string, rule string, cutoff double, strictest double, n_good bigint")
     )
+    # a row per stratum and rule
+    pooled = F.max(F.when(F.col("stratum") == POOLED, F.col("cutoff"))).over(Window.partitionBy("rule"))
+    both = F.when(pooled.isNotNull() & F.col("strictest").isNotNull(), F.greatest(pooled, "strictest"))
+    small = (F.col("n_good") < least) & (F.col("stratum") != POOLED)
+    return each.select("stratum", "rule", F.when(small, both).otherwise(F.col("cutoff")).alias("cutoff"))
 
 
 def _step(value, grid: list[float]):

@@ -68,6 +68,16 @@ def test_bad_documents_go_and_good_ones_stay(spark, shared):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_a_small_stratum_keeps_what_only_the_pool_certifies(spark, shared):
+    rows, labels = corpus()
+    rng = random.Random(3)
+    rows += [(5000 + k, " ".join(f"v{rng.randrange(10**6)}***" for _ in range(60)), "sp", "x", "y", 1) for k in range(30)]
+    labels += [(5000 + k, 1, 0) for k in range(30)]  # 30 good documents of some 2,000 with the habits of bad ones
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality.judged(docs, marks, risk=0.2, least=10**6).collect()}
+    assert all(got[i] == (q == 1) for i, q, _ in labels)
+
+
 def test_few_labels_reject_nothing(spark, shared):
     rows, labels = corpus(120)
     docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
