@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import html_main, idstore, mixing, ngram_join, packing, pii, prefix_trie, quality, secrets, spelling, tiff, tokens
+from barloom.llm import context_tree, html_main, idstore, mixing, ngram_join, packing, pii, prefix_trie, quality, secrets, spelling, tiff, tokens
 from barloom.llm.shared import place
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,11 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.scored(table(spark, sf_dir, "documents"))
+
+
 #: CRC-32 of a list of bytes in SQL; ``t`` is the table of its 256 steps
 CRC_TABLE = ("SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),"
              " lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t")
