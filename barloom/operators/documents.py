@@ -106,7 +106,7 @@ def latest_revisions(docs: DataFrame, as_of: Column | None = None, item: Sequenc
 
 def classify_revisions(
     stored: DataFrame | None, incoming: DataFrame, item: Sequence[str] = ITEM, signature: str = "immutable_signature",
-    content: str = "content_hash", seq: str = "seq", rows_per_slice: int = 8192, layout: Layout = AUTO,
+    content: str = "content_hash", seq: str = "seq", layout: Layout = AUTO,
 ) -> DataFrame:
     """Outcome and revision number of every arriving record.
 
@@ -123,10 +123,7 @@ def classify_revisions(
         rows = rows.unionByName(newest.select(*cols, F.lit(0).alias("_stage"), F.col("revision").cast("int").alias("_rev")))
     first = rows.groupBy(*item).agg(F.min_by(F.struct(F.col(signature).alias("s")), F.struct("_stage", seq)).alias("_first"))
     judged = rows.join(first, item).withColumn("_conflict", ~F.col("_first.s").eqNullSafe(F.col(signature))).drop("_first")
-    bucket = (F.col("_stage") * (1 << 40) + F.floor(F.col(seq) / rows_per_slice)).cast("long")
-    arranged = arrange(
-        judged.filter(~F.col("_conflict")), item, ("_stage", seq), bucket=bucket, before=1, layout=layout
-    )
+    arranged = arrange(judged.filter(~F.col("_conflict")), item, ("_stage", seq), before=1, layout=layout)
     previous = F.lag(content).over(arranged.window)
     changed = previous.isNull() | (previous == "") | ~previous.eqNullSafe(F.col(content))
     step = F.when(F.col("_stage") == 0, F.col("_rev")).when(changed, 1).otherwise(0)

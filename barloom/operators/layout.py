@@ -1,12 +1,15 @@
 """Ordered series laid out so that no task ever holds an unbounded series.
 
-A window over ``partitionBy(series key)`` puts a whole series into one task. One
-series may hold a third of all rows, so ``arrange`` numbers the rows of every
-series globally and cuts each series into blocks of a fixed number of rows. Rows
-near a block edge are copied into the neighbouring block ("halo" rows, ``_own``
-false) so that bounded frames, ``lag`` and ``lead`` see exactly what they would
-see in the uncut series. When a count shows that every series is short, the
-series itself is the block and the copies are skipped.
+A window over ``partitionBy(series key)`` puts a whole series into one task, and
+one series may hold a third of all rows. ``arrange`` therefore lays every input
+out in one way, whatever its size and the spacing of its rows: one range
+exchange by (series, order), each sorted partition written once to the shared
+folder with the number that a row has in it, and one small table with a row per
+series and partition that turns these numbers into positions in the series.
+Positions cut each series into blocks of a fixed number of rows; rows near a
+block edge are copied into the neighbouring block ("halo" rows, ``_own`` false),
+so bounded frames, ``lag`` and ``lead`` see exactly what they would see in the
+uncut series. A series shorter than a block is one block without copies.
 
 Quantities that run over the whole series (running counts, recursive averages)
 are computed per block and joined with what the earlier blocks carry over.
@@ -21,22 +24,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.schemas import INTERVAL_SECONDS, SERIES_KEY
+from barloom.session import materialize
 
 SUPER = 4096
-SLICE_SECONDS = 3600
 
 
 @dataclass(frozen=True)
 class Layout:
-    """How to cut series.
+    """Rows of a block."""
 
-    ``mode``: ``auto`` counts rows per series first, ``blocks`` always cuts,
-    ``whole`` never does (for callers that know their series are short).
-    """
-
-    mode: str = "auto"
     block_rows: int = 8192
-    whole_rows: int = 32768
 
 
 AUTO = Layout()
@@ -49,7 +46,7 @@ class Arranged:
     df: DataFrame
     keys: tuple[str, ...]
     part: tuple[str, ...]
-    block_rows: int | None
+    block_rows: int
 
     @property
     def window(self):
@@ -64,14 +61,10 @@ class Arranged:
 
     def own(self) -> "Arranged":
         """Drop the halo copies."""
-        if self.block_rows is None:
-            return self
         return replace(self, df=self.df.filter("_own"))
 
     def again(self, before: int = 0, after: int = 0) -> "Arranged":
         """Fresh halo copies of already numbered rows."""
-        if self.block_rows is None:
-            return self
         rows = self.own().df.drop("_own", "_blk")
         return replace(self, df=cut(rows, self.block_rows, before, after))
 
@@ -86,22 +79,13 @@ def interval_seconds(interval: Column) -> Column:
     return out
 
 
-def time_bucket(rows: int, interval: str | Column | None = "interval", timestamp: str = "timestamp") -> Column:
-    """Time slice that holds at most ``rows`` bars of a well spaced series.
-
-    Rows of unknown spacing are sliced by the hour: a slice is then small for
-    bars of any interval, and positions are summed over slices in two levels.
-    """
-    width = F.lit(SLICE_SECONDS).cast("long")
-    if interval is not None:
-        known = interval_seconds(F.col(interval) if isinstance(interval, str) else interval)
-        width = F.coalesce(known * rows, width)
-    return F.floor(F.unix_timestamp(F.col(timestamp)) / width).cast("long")
-
-
-def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the longest series (one pass over the key columns)."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, null being equal to null."""
+    own = [F.col(x).alias(f"_k_{x}") if x in keys else F.col(x) for x in right.columns]
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(right.select(*own), same).drop(*[f"_k_{k}" for k in keys])
 
 
 def exclusive_prefix(
@@ -121,14 +105,14 @@ def exclusive_prefix(
         *keys, "_sup", *[fns[fn](f"_t_{o}").over(upper).alias(f"_c_{o}") for o, (_, fn) in columns.items()]
     )
     lower = Window.partitionBy(*keys, "_sup").orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
-    joined = df.join(tops, [*keys, "_sup"])
+    rows = joined(df, tops, [*keys, "_sup"])
     outs = {}
     for o, (v, fn) in columns.items():
         before, inside = F.col(f"_c_{o}"), fns[fn](v).over(lower)
         outs[o] = (
             F.coalesce(before, F.lit(0)) + F.coalesce(inside, F.lit(0)) if fn == "sum" else F.greatest(before, inside)
         )
-    return joined.withColumns(outs).drop("_sup", *[f"_c_{o}" for o in columns])
+    return rows.withColumns(outs).drop("_sup", *[f"_c_{o}" for o in columns])
 
 
 def cut(df: DataFrame, block_rows: int, before: int, after: int) -> DataFrame:
@@ -143,35 +127,35 @@ def cut(df: DataFrame, block_rows: int, before: int, after: int) -> DataFrame:
     return df.withColumn("_own", F.col("_blk") == F.floor(i / block_rows))
 
 
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "_rn") -> DataFrame:
+    """Add the 1-based position of every row in its series; without keys all rows are one series.
+
+    Partitions of the range exchange follow one another in the order, so a row's
+    position is its number within its partition plus the rows of its series in
+    the partitions before, of which there is one count per series and partition.
+    """
+    keys = list(keys)
+    ordered = [*map(F.col, keys), *[F.col(x) if isinstance(x, str) else x for x in order]]
+    rows = df.repartitionByRange(*ordered).sortWithinPartitions(*ordered).withColumn("_id", F.monotonically_increasing_id())
+    rows = materialize(rows, "ordered").withColumn("_prt", F.shiftright("_id", 33))
+    counts = rows.groupBy(*keys, "_prt").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_prt").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    starts = counts.select(*keys, "_prt", (before - F.col("_first") + 1).alias("_shift"))
+    return joined(rows, starts, [*keys, "_prt"]).withColumn(name, F.col("_id") + F.col("_shift")).drop("_id", "_prt", "_shift")
+
+
 def arrange(
     df: DataFrame,
     keys: Sequence[str] = SERIES_KEY,
     order: Sequence[str | Column] = ("timestamp",),
-    bucket: Column | None = None,
     before: int = 0,
     after: int = 0,
     layout: Layout = AUTO,
 ) -> Arranged:
-    """Number the rows of every series and lay them out in bounded blocks.
-
-    ``bucket`` is a long that never decreases along ``order`` and holds about
-    ``block_rows`` rows of a series (default: a time slice).
-    """
+    """Number the rows of every series and lay them out in bounded blocks."""
     keys = tuple(keys)
-    whole = layout.mode == "whole" or (
-        layout.mode == "auto" and longest_series(df, keys) <= layout.whole_rows
-    )
-    if whole:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return Arranged(df.withColumn("_rn", F.row_number().over(w).cast("long")), keys, keys, None)
-    if bucket is None:
-        bucket = time_bucket(layout.block_rows, "interval" if "interval" in df.columns else None)
-    df = df.withColumn("_bkt", bucket)
-    counts = df.groupBy(*keys, "_bkt").count()
-    starts = exclusive_prefix(counts, keys, "_bkt", {"_start": ("count", "sum")}).drop("count")
-    inside = Window.partitionBy(*keys, "_bkt").orderBy(*order)
-    numbered = df.join(starts, [*keys, "_bkt"]).withColumn("_rn", F.col("_start") + F.row_number().over(inside))
-    rows = cut(numbered.drop("_bkt", "_start"), layout.block_rows, before, after)
+    rows = cut(placed(df, keys, order), layout.block_rows, before, after)
     return Arranged(rows, keys, (*keys, "_blk"), layout.block_rows)
 
 
@@ -183,18 +167,16 @@ def running(arranged: Arranged, columns: dict[str, tuple[str, str]]) -> Arranged
     fns = {"sum": F.sum, "max": F.max}
     arranged = arranged.own()
     frame = arranged.window.rowsBetween(Window.unboundedPreceding, 0)
-    if arranged.block_rows is None:
-        return arranged.with_columns({o: fns[fn](v).over(frame) for o, (v, fn) in columns.items()})
     totals = arranged.df.groupBy(*arranged.part).agg(
         *[fns[fn](v).alias(f"_v_{o}") for o, (v, fn) in columns.items()]
     )
     carried = exclusive_prefix(
         totals, arranged.keys, "_blk", {f"_p_{o}": (f"_v_{o}", fn) for o, (_, fn) in columns.items()}
     ).drop(*[f"_v_{o}" for o in columns])
-    joined = replace(arranged, df=arranged.df.join(carried, list(arranged.part)))
+    carrying = replace(arranged, df=joined(arranged.df, carried, arranged.part))
     outs = {}
     for o, (v, fn) in columns.items():
         inside, carry = fns[fn](v).over(frame), F.col(f"_p_{o}")
         outs[o] = F.coalesce(inside, F.lit(0)) + carry if fn == "sum" else F.greatest(inside, carry)
-    joined = joined.with_columns(outs)
-    return replace(joined, df=joined.df.drop(*[f"_p_{o}" for o in columns]))
+    carrying = carrying.with_columns(outs)
+    return replace(carrying, df=carrying.df.drop(*[f"_p_{o}" for o in columns]))

@@ -125,8 +125,7 @@ def audit_log(log: DataFrame, policy: ProvenancePolicy, layout: Layout = AUTO) -
     findings = finding(flagged, F.col("reason"), "run_log", None, F.col("position"))
     accepted = rows.filter("_accepted").select(*log.columns)
     arranged = arrange(
-        log.select("position", "record_type", "run_id", "started_at"), (), ("position",),
-        bucket=F.floor(F.col("position") / 8192).cast("long"), after=1, layout=layout,
+        log.select("position", "record_type", "run_id", "started_at"), (), ("position",), after=1, layout=layout,
     )
     ends = arranged.with_columns({"window_end": F.lead("started_at").over(arranged.window)}).result()
     interrupted = (

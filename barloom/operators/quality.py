@@ -64,7 +64,7 @@ def bar_issues(bars: DataFrame) -> DataFrame:
 
 def series_issues(
     bars: DataFrame, batch: Sequence[str] = (), seq: str = "seq", expected: dict[str, str] | None = None,
-    rows_per_slice: int = 8192, layout: Layout = AUTO,
+    layout: Layout = AUTO,
 ) -> DataFrame:
     """Sequence rules in arrival order (``seq``) within each ``batch``.
 
@@ -75,9 +75,7 @@ def series_issues(
     expected = expected or {}
     key = [*batch, "timestamp"]
     first_at = bars.groupBy(*key).agg(F.min(seq).alias("_first_seq"))
-    arranged = arrange(
-        bars, batch, order=(seq,), bucket=F.floor(F.col(seq) / rows_per_slice).cast("long"), before=1, layout=layout
-    )
+    arranged = arrange(bars, batch, order=(seq,), before=1, layout=layout)
     rows = arranged.with_columns({"_prev": F.lag("timestamp").over(arranged.window)}).result()
     names = ("symbol", "interval", "source")
     if all(n in expected for n in names):

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.layout import Arranged, cut
+from barloom.operators.layout import Arranged, cut, joined
 
 RUN_ROWS = 512
 RUNS_PER_BLOCK = 4096
@@ -49,7 +49,7 @@ def scan(arranged: Arranged, recursions: list[Recursion]) -> Arranged:
     if not recursions:
         return arranged.own()
     run_rows = RUN_ROWS
-    if arranged.block_rows is not None and arranged.block_rows % RUN_ROWS:
+    if arranged.block_rows % RUN_ROWS:
         run_rows = min(arranged.block_rows, RUN_ROWS)
         if arranged.block_rows % run_rows:
             raise ValueError("block_rows must be a multiple of 512 or below 512")
@@ -71,31 +71,26 @@ def scan(arranged: Arranged, recursions: list[Recursion]) -> Arranged:
     )
     reach = max(r.reach(run_rows) for r in recursions)
     runs = ends.withColumn("_rn", F.col("_run") + 1)
-    if arranged.block_rows is None:
-        order = Window.partitionBy(*arranged.keys).orderBy("_rn")
-    else:
-        # the runs of a long series are cut into blocks as well
-        runs = cut(runs.withColumnRenamed("_blk", "_row_blk"), RUNS_PER_BLOCK, reach, 0)
-        order = Window.partitionBy(*arranged.keys, "_blk").orderBy("_rn")
+    # the runs of a long series are cut into blocks as well
+    runs = cut(runs.withColumnRenamed("_blk", "_row_blk"), RUNS_PER_BLOCK, reach, 0)
+    order = Window.partitionBy(*arranged.keys, "_blk").orderBy("_rn")
     carries = {}
     for i, r in enumerate(recursions):
         earlier = F.collect_list(f"_d_{i}").over(order.rowsBetween(-r.reach(run_rows), -1))
         carries[f"_y_{i}"] = F.aggregate(earlier, F.lit(0.0), decayed(r.decay**run_rows))
-    runs = runs.withColumns(carries)
-    if arranged.block_rows is not None:
-        runs = runs.filter("_own").drop("_blk", "_own").withColumnRenamed("_row_blk", "_blk")
+    runs = runs.withColumns(carries).filter("_own").drop("_blk", "_own").withColumnRenamed("_row_blk", "_blk")
     names = [f"_y_{i}" for i in range(len(recursions))]
     # at most block_rows / run_rows entries per block
     carried = runs.groupBy(*part).agg(
         F.min("_run").alias("_run0"),
         F.sort_array(F.collect_list(F.struct("_run", *names))).alias("_carry"),
     )
-    joined = Arranged(arranged.df.join(carried, part), arranged.keys, arranged.part, arranged.block_rows)
+    rows = Arranged(joined(arranged.df, carried, part), arranged.keys, arranged.part, arranged.block_rows)
     inside = (
         Window.partitionBy(*arranged.part, "_run").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
     )
     carry = F.get(F.col("_carry"), (F.col("_run") - F.col("_run0")).cast("int"))
-    joined = joined.with_columns({"_cin": carry})
+    rows = rows.with_columns({"_cin": carry})
     outs = {}
     for i, r in enumerate(recursions):
         if r.decay == 0.0:
@@ -105,6 +100,6 @@ def scan(arranged: Arranged, recursions: list[Recursion]) -> Arranged:
             local = power * F.sum(F.col(f"_u_{i}") * F.pow(F.lit(r.decay), -F.col("_pos"))).over(inside)
             value = local + power * F.lit(r.decay) * F.col("_cin").getField(f"_y_{i}")
         outs[r.out] = F.when(rn >= r.first, value)
-    joined = joined.with_columns(outs)
+    rows = rows.with_columns(outs)
     drop = ["_run", "_pos", "_run0", "_carry", "_cin"] + list(inputs)
-    return Arranged(joined.df.drop(*drop), joined.keys, joined.part, joined.block_rows)
+    return Arranged(rows.df.drop(*drop), rows.keys, rows.part, rows.block_rows)

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.definitions import feature
+from barloom.definitions import OutcomeSpec, feature
 from barloom.functions import text as tx
 from barloom.operators import documents as dc
 from barloom.operators import validation as vl
 from barloom.operators.assess import REASON_ORDER, ordered_codes
 from barloom.operators.features import with_features
 from barloom.operators.hypotheses import HYPOTHESES, observe, verdict_issues
-from barloom.operators.layout import Layout
+from barloom.operators.layout import arrange, placed, running
+from barloom.operators.outcomes import measure_forward
 from barloom.operators.quality import implausible, normalize_bars
 from barloom.operators.runs import episodes
 from barloom.operators.scanner import rank_order
@@ -29,10 +29,6 @@ from barloom.session import materialize
 from barloom.sources import bars as sb
 from barloom.sources import records as rc
 
-#: always cut, into blocks of the production size
-CUT = Layout("blocks")
-
-
 @query("normalized_bars", f"WITH {DAILY_SQL} SELECT symbol, source, count(*) AS bars FROM bars GROUP BY ALL")
 def normalized_bars(spark, sf):
     """Untidy names come out as the tidy ones."""
@@ -167,12 +163,9 @@ def verdict_violations(spark, sf):
 )
 def scan_order(spark, sf):
     """The place of every row, among all and among the eligible ones."""
-    rows = scan_suppliers(spark, sf)
-    own = F.row_number().over(Window.partitionBy("eligibility").orderBy(*rank_order()))
-    return rows.select(
-        "symbol", "eligibility", F.row_number().over(Window.orderBy(*rank_order())).alias("place"),
-        F.when(F.col("eligibility") == "eligible", own).alias("eligible_place"),
-    )
+    rows = placed(scan_suppliers(spark, sf), (), rank_order(), "place").select("symbol", "eligibility", "place")
+    return placed(rows, ("eligibility",), ("place",), "own").select(
+        "symbol", "eligibility", "place", F.when(F.col("eligibility") == "eligible", F.col("own")).alias("eligible_place"))
 
 
 @query(
@@ -257,7 +250,7 @@ def missed_sessions(spark, sf):
     return vl.missed_sessions(runs[0].unionByName(runs[1])).groupBy("symbol").agg(F.count(F.lit(1)).alias("sessions"))
 
 
-# ---- long series of irregular spacing: their positions come from the cut layout ----
+# ---- long series of irregular spacing, cut into blocks of the production size ----
 
 TICKS_SQL = """ticks AS MATERIALIZED (SELECT symbol, t, min(price) AS close, sum(qty) AS volume FROM (
   SELECT CASE WHEN l_orderkey % 6 < 5 THEN 'HOT' ELSE l_returnflag END AS symbol, epoch_ms(CAST(l_shipdate AS TIMESTAMP)) + l_orderkey * 10 + l_linenumber AS t,
@@ -284,7 +277,7 @@ def ticks(spark, sf):
 def tick_averages(spark, sf):
     """Frames that reach over the edges of blocks."""
     average, change = feature("sma", period=20), feature("simple_return")
-    rows = with_features(materialize(ticks(spark, sf), "ticks"), [average, change], layout=CUT)
+    rows = with_features(ticks(spark, sf), [average, change])
     return rows.select(
         "symbol", F.unix_millis("timestamp").alias("t"), rounded(F.col(f"`{average.key}`"), 4).alias("average"),
         rounded(F.col(f"`{change.key}`")).alias("change"),
@@ -301,7 +294,7 @@ SELECT symbol, CASE WHEN up THEN 'up' ELSE 'down' END AS state, count(*) AS runs
 def tick_runs(spark, sf):
     """Runs numbered over all blocks of a series."""
     state = F.when(F.col("close") > 1500, "up").otherwise("down")
-    runs = episodes(materialize(ticks(spark, sf).withColumn("state", state), "ticks"), ("symbol",), layout=CUT)
+    runs = episodes(ticks(spark, sf).withColumn("state", state), ("symbol",))
     return runs.groupBy("symbol", "state").agg(
         F.count(F.lit(1)).alias("runs"), F.max("length").alias("longest"), F.max("episode_index").alias("last_index"))
 
@@ -318,6 +311,51 @@ SELECT symbol, {rounded_sql("100 - 100 / (1 + ag / al)")} AS last_rsi FROM e""",
 def tick_strength(spark, sf):
     """The recursive average at the end of every series, carried over all blocks."""
     rsi = feature("rsi")
-    rows = with_features(materialize(ticks(spark, sf), "ticks"), [rsi], layout=CUT)
+    rows = with_features(ticks(spark, sf), [rsi])
     last = rows.groupBy("symbol").agg(F.max_by(F.col(f"`{rsi.key}`"), "timestamp").alias("v"))
     return last.select("symbol", rounded(F.col("v")).alias("last_rsi"))
+
+
+@query(
+    "tick_recursions",
+    f"""WITH {TICKS_SQL}, g AS (SELECT symbol, row_number() OVER w AS rn, close, volume, coalesce(abs(close - lag(close) OVER w), 0) AS tr FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY t)),
+s AS (SELECT symbol, avg(close) FILTER (WHERE rn <= 12) AS e0, list(close ORDER BY rn) FILTER (WHERE rn > 12) AS e, avg(tr) FILTER (WHERE rn <= 14) AS a0, list(tr ORDER BY rn) FILTER (WHERE rn > 14) AS a,
+  count(*) AS ticks FROM g GROUP BY symbol)
+SELECT symbol, {rounded_sql("list_reduce(list_prepend(e0, e), lambda y, x: y + (x - y) * 2 / 13)", 4)} AS last_ema, {rounded_sql("list_reduce(list_prepend(a0, a), lambda y, x: (y * 13 + x) / 14)", 4)} AS last_atr, ticks FROM s""",
+)
+def tick_recursions(spark, sf):
+    """Exponential average and average true range at the end of every series."""
+    ema, atr = feature("ema", period=12), feature("atr", period=14)
+    rows = with_features(ticks(spark, sf), [ema, atr])
+    last = rows.groupBy("symbol").agg(
+        *[F.max_by(F.col(f"`{x.key}`"), "timestamp").alias(name) for x, name in ((ema, "e"), (atr, "a"))], F.count(F.lit(1)).alias("ticks"))
+    return last.select("symbol", rounded(F.col("e"), 4).alias("last_ema"), rounded(F.col("a"), 4).alias("last_atr"), "ticks")
+
+
+@query(
+    "tick_sums",
+    f"""WITH {TICKS_SQL} SELECT symbol, t, CAST(sum(volume) OVER w AS BIGINT) AS volume_so_far, CAST(row_number() OVER w AS BIGINT) AS place,
+  {rounded_sql("max(close) OVER w", 4)} AS highest FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY t)""",
+)
+def tick_sums(spark, sf):
+    """Running sum and maximum of every tick, over all blocks before its own."""
+    rows = running(arrange(ticks(spark, sf)), {"_sum": ("volume", "sum"), "_max": ("close", "max")}).df
+    return rows.select(
+        "symbol", F.unix_millis("timestamp").alias("t"), F.col("_sum").cast("long").alias("volume_so_far"), F.col("_rn").alias("place"),
+        rounded(F.col("_max"), 4).alias("highest"))
+
+
+@query(
+    "tick_outcomes",
+    f"""WITH {TICKS_SQL}, h AS (SELECT unnest([1, 20]) AS horizon_bars),
+f AS (SELECT symbol, t, horizon_bars, lead(close) OVER w AS reference, lead(close, CAST(horizon_bars AS INT)) OVER w AS future FROM ticks, h WINDOW w AS (PARTITION BY symbol, horizon_bars ORDER BY t)),
+o AS (SELECT symbol, horizon_bars, CASE WHEN reference IS NULL THEN 'no_reference_bar' WHEN future IS NULL THEN 'insufficient_future_data' ELSE 'evaluated' END AS status, future / reference - 1 AS v FROM f)
+SELECT symbol, CAST(horizon_bars AS BIGINT) AS horizon_bars, status, count(*) AS points, {rounded_sql("avg(CASE WHEN status = 'evaluated' THEN v END)")} AS mean FROM o GROUP BY ALL""",
+)
+def tick_outcomes(spark, sf):
+    """Outcomes whose reference or future tick lies in the next block."""
+    bars = ticks(spark, sf)
+    points = bars.select("symbol", "interval", "source", "basis", "timestamp")
+    found = measure_forward(points, bars, (OutcomeSpec(1), OutcomeSpec(20)))
+    return found.groupBy("symbol", F.col("horizon_bars").cast("bigint").alias("horizon_bars"), "status").agg(
+        F.count(F.lit(1)).alias("points"), rounded(F.avg("outcome_value")).alias("mean"))

@@ -30,9 +30,7 @@ def numbered_lines(spark: SparkSession, path: str, layout: Layout = AUTO) -> Dat
         F.monotonically_increasing_id().alias("_place"),
         F.col("value").alias("line"),
     )
-    arranged = arrange(
-        lines, ("file",), ("_split", "_place"), bucket=F.floor(F.col("_split") / 1024).cast("long"), layout=layout
-    ).own()
+    arranged = arrange(lines, ("file",), ("_split", "_place"), layout=layout).own()
     totals = arranged.df.groupBy("file").agg(F.max("_rn").alias("_total"))
     return arranged.df.join(totals, "file").select(
         "file", F.col("_rn").alias("line_number"), (F.col("_rn") == F.col("_total")).alias("is_last"), "line"

@@ -1,17 +1,18 @@
 """Features against plain loops, in whole and in cut series."""
 
 import math
+import random
 import statistics
 
 import pytest
 
 from barloom.definitions import DefinitionError, feature
 from barloom.operators.features import field_values, prefix, ready_from, with_features
-from barloom.operators.layout import Layout
+from barloom.operators.layout import Layout, arrange, placed, running
 from tests.conftest import bars_frame, closes_frame, walk_bars
 
-CUT = Layout("blocks", block_rows=16)
-WHOLE = Layout("whole")
+CUT = Layout(16)
+WHOLE = Layout()
 
 # a published example of the Wilder RSI (14 periods, exact arithmetic 70.4641)
 WILDER_CLOSES = [
@@ -115,18 +116,34 @@ def test_long_series_across_many_runs(spark):
     rows = walk_bars(2600)
     specs = [feature("ema", period=200), feature("rsi")]
     whole = table(with_features(bars_frame(spark, rows), specs, layout=WHOLE))
-    cut = table(with_features(bars_frame(spark, rows), specs, layout=Layout("blocks", 1024)))
+    cut = table(with_features(bars_frame(spark, rows), specs, layout=Layout(1024)))
     closes = [r[8] for r in rows]
     close_to(column(whole, specs[0]), loop_ema(closes, 200))
     close_to(column(cut, specs[0]), loop_ema(closes, 200))
     close_to(column(cut, specs[1]), loop_rsi(closes, 14))
 
 
-def test_auto_layout_cuts_only_long_series(spark):
-    bars = bars_frame(spark, walk_bars(60, ("A", "B")))
-    spec = feature("sma", period=5)
-    assert "_blk" in str(with_features(bars, [spec], layout=Layout("auto", 16, 50))._jdf.queryExecution().optimizedPlan().toString())
-    assert "_blk" not in str(with_features(bars, [spec], layout=Layout("auto", 16, 100))._jdf.queryExecution().optimizedPlan().toString())
+def test_positions_over_range_partitions(spark):
+    """One busy series over several partitions, single rows, null keys and equal instants."""
+    draw = random.Random(3)
+    rows = [("hot", draw.random()) for _ in range(400)] + [(f"s{k}", 0.5) for k in range(30)] + [(None, draw.random()) for _ in range(60)] + [("tie", 1.0)] * 20
+    draw.shuffle(rows)
+    df = spark.createDataFrame([(s, x, k) for k, (s, x) in enumerate(rows)], "s string, x double, k int")
+    got = placed(df, ("s",), ("x",)).collect()
+    assert len(got) == len(rows) and sorted(r.k for r in got) == list(range(len(rows)))
+    for s in {r[0] for r in rows}:
+        own = sorted((r._rn, r.x) for r in got if r.s == s)
+        assert [n for n, _ in own] == list(range(1, len(own) + 1)) and [x for _, x in own] == sorted(x for _, x in own)
+    everything = sorted((r._rn, r.k) for r in placed(df, (), ("k",)).collect())
+    assert everything == [(k + 1, k) for k in range(len(rows))]
+    assert placed(df.limit(0), ("s",), ("x",)).collect() == []
+
+
+def test_null_series_keep_their_running_sums(spark):
+    rows = [(None if k % 2 else "a", k, 1) for k in range(40)]
+    arranged = arrange(spark.createDataFrame(rows, "s string, k int, v int"), ("s",), ("k",), layout=Layout(4))
+    got = {r.k: r.total for r in running(arranged, {"total": ("v", "sum")}).df.collect()}
+    assert got == {k: k // 2 + 1 for k in range(40)}
 
 
 @pytest.mark.parametrize("layout", [WHOLE, CUT], ids=["whole", "cut"])

@@ -18,7 +18,7 @@ from barloom.operators.stats import describe
 from barloom.plans.study import StudyDefinition, coverage, coverage_issues, observation_rows, result_groups, study_issues
 from tests.conftest import bars_frame, walk_bars
 
-CUT = Layout("blocks", block_rows=16)
+CUT = Layout(16)
 
 
 def test_pinned_fingerprints():
@@ -40,7 +40,7 @@ def test_bad_definitions():
 def test_cut_and_whole_series_classify_alike(spark):
     bars = bars_frame(spark, walk_bars(150, ("A", "B", "C")))
     key = ["symbol", "timestamp", "hypothesis_id", "state", "reason_codes"]
-    one = observe(bars, layout=Layout("whole")).select(*key).collect()
+    one = observe(bars, layout=Layout()).select(*key).collect()
     two = observe(bars, layout=CUT).select(*key).collect()
     assert len(one) == 3 * 450 and sorted(map(str, one)) == sorted(map(str, two))
     assert verdict_issues(observe(bars)).count() == 0
@@ -56,7 +56,7 @@ def test_lookback_over_a_recursive_feature(spark):
     h = Hypothesis("rising", 1, (rsi,), read, lookback=1)
     bars = bars_frame(spark, walk_bars(90))
     pick = lambda layout: [r.state for r in observe(bars, (h,), layout=layout).orderBy("timestamp").collect()]
-    whole = pick(Layout("whole"))
+    whole = pick(Layout())
     assert whole == pick(CUT)
     assert whole[:6] == ["insufficient_data"] * 6 and "bullish" in whole
 
@@ -147,7 +147,7 @@ def test_exact_median_with_ties_and_a_hot_group(spark):
 STATES = "nbbnnnrrbbbbnrnrrrbnnb"
 
 
-@pytest.mark.parametrize("layout", [Layout("whole"), Layout("blocks", 4)], ids=["whole", "cut"])
+@pytest.mark.parametrize("layout", [Layout(), Layout(4)], ids=["whole", "cut"])
 def test_runs_against_brute_force(spark, layout):
     rows = [(k, datetime(2024, 1, 1) + timedelta(days=i), s) for k in ("x", "y") for i, s in enumerate(STATES)]
     df = spark.createDataFrame(rows, "k string, timestamp timestamp, state string")
