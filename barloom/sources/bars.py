@@ -12,6 +12,8 @@ from barloom.functions.times import localize
 from barloom.operators.adjust import merge_bars
 from barloom.operators.quality import bar_issues, clip, require_empty
 from barloom.schemas import BARS, BASES, BAR_FIELDS, OBSERVATION_STATES, OUTCOME_STATUSES, RAW, SERIES_KEY
+from barloom.session import materialize
+from barloom.sources.store import GROUP, Change, Store, bucket, bucket_of
 
 # --- fixed values: accepted column names per bar field ----------------------
 ALIASES: Mapping[str, tuple[str, ...]] = {
@@ -31,14 +33,45 @@ class SchemaProblem(ValueError):
     """Columns are missing, repeated or not understood."""
 
 
+#: hash buckets of symbols per source, interval and basis
+BUCKETS = 256
+
+
+def grouped(bars: DataFrame) -> DataFrame:
+    """Bars with the group of their file: source, interval, basis and a bucket of symbols."""
+    return bars.withColumn(GROUP, F.concat_ws("~", *PARTITIONS, bucket(BUCKETS, "symbol")))
+
+
+def _wanted(**key: str):
+    """Which groups can hold a series; a source may contain any character."""
+    def wanted(group: str) -> bool:
+        held = dict(zip(("source", "interval", "basis", "bucket"), group.rsplit("~", 3), strict=True))
+        return all(held[k] == v for k, v in key.items() if k in PARTITIONS) and ("symbol" not in key or held["bucket"] == bucket_of(BUCKETS, key["symbol"]))
+
+    return wanted
+
+
+def _plain(spark: SparkSession, path: str) -> DataFrame | None:
+    """Bars of a folder without a manifest, if there are any."""
+    try:
+        return spark.read.schema(BARS).parquet(path)
+    except AnalysisException:
+        return None
+
+
 def read_bars(
     spark: SparkSession, path: str, start: str | None = None, end: str | None = None, **key: str
 ) -> DataFrame:
-    """Bars of a partitioned table; key filters prune folders, the time window reaches the scan."""
-    bars = spark.read.schema(BARS).parquet(path)
-    for name, value in key.items():
+    """Bars of a stored table; only files of groups that the key can meet are opened, the time window reaches the scan.
+
+    A plain folder of Parquet files is read as it is.
+    """
+    for name in key:
         if name not in SERIES_KEY:
             raise SchemaProblem(f"unknown key column {name!r}")
+    store = Store(spark, path)
+    bars = store.read("bars", _wanted(**key)) if store.exists() else spark.read.schema(BARS).parquet(path)
+    for name, value in key.items():
         bars = bars.filter(F.col(name) == value)
     return clip(bars, start, end)
 
@@ -46,27 +79,27 @@ def read_bars(
 def write_bars(bars: DataFrame, path: str, check: bool = True) -> None:
     """Validate, then replace exactly the series present in ``bars``.
 
-    Symbols share folders, so the folder count does not grow with the universe.
-    Only folders that ``bars`` touches are rewritten: their other series are
-    carried over, and the new files take the place of the old ones when all are
-    written. Rows are spread by symbol and year, so a folder or symbol with a
-    third of all rows is written by many tasks. A table has one writer at a time.
+    ``bars`` is evaluated once, into new files; the check reads these. Other
+    series of the same groups are carried over, files of other groups stay as
+    they are, and one swap of the manifest makes the result visible: a writer
+    that fails or dies before it leaves the table as it was. Rows are spread
+    over several tasks per group. A table has one writer at a time.
     """
+    spark = bars.sparkSession
+    store = Store(spark, path)
+    if not store.exists():
+        held = _plain(spark, path)
+        store.define(bars=bars.select(*SERIES_KEY, "timestamp", *BAR_FIELDS).schema)
+        if held is not None:
+            store.commit([Change("bars", grouped(held.select(*SERIES_KEY, "timestamp", *BAR_FIELDS)))])
+    written = store.write("bars", grouped(bars.select(*SERIES_KEY, "timestamp", *BAR_FIELDS)))
+    if not written:
+        return
+    fresh = store.open(written)
     if check:
-        require_empty(bar_issues(bars).select(*SERIES_KEY, "timestamp", "issues"), "invalid bars")
-    try:
-        held = bars.sparkSession.read.schema(BARS).parquet(path)
-    except AnalysisException:  # no table yet
-        held = None
-    if held is not None:
-        series = bars.select(*SERIES_KEY).distinct()
-        touched = held.join(series.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_semi")
-        bars = bars.select(*held.columns).unionByName(touched.join(series, list(SERIES_KEY), "left_anti"))
-    (
-        bars.repartition(*PARTITIONS, "symbol", F.date_trunc("year", "timestamp"))
-        .sortWithinPartitions(*SERIES_KEY, "timestamp")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
-    )
+        require_empty(bar_issues(fresh).select(*SERIES_KEY, "timestamp", "issues"), "invalid bars")
+    carried = store.read("bars", written).join(fresh.select(*SERIES_KEY).distinct(), list(SERIES_KEY), "left_anti")
+    store.commit([Change("bars", grouped(carried), list(written))], written={"bars": written})
 
 
 def read_bar_csv(spark: SparkSession, path: str, header: Sequence[str], **key: str) -> tuple[DataFrame, DataFrame]:
@@ -98,18 +131,14 @@ def read_bar_csv(spark: SparkSession, path: str, header: Sequence[str], **key: s
     return good, bad
 
 
-def merge_into(spark: SparkSession, path: str, incoming: DataFrame, staging: str) -> DataFrame:
-    """Merge bars into a stored table and return the conflicts.
-
-    The merged folders are staged first: a job cannot overwrite what it reads.
-    """
-    stored = spark.read.schema(BARS).parquet(path)
-    touched = incoming.select(*PARTITIONS).distinct()
-    merged, conflicts = merge_bars(stored.join(touched, list(PARTITIONS), "left_semi"), incoming)
-    merged.write.mode("overwrite").parquet(staging)
-    conflicts.write.mode("overwrite").parquet(staging + "-conflicts")
-    write_bars(spark.read.parquet(staging), path)
-    return spark.read.parquet(staging + "-conflicts")
+def merge_into(spark: SparkSession, path: str, incoming: DataFrame) -> DataFrame:
+    """Merge bars into a stored table and return the conflicts; groups that ``incoming`` does not touch keep their files."""
+    store = Store(spark, path)
+    incoming = materialize(grouped(incoming), "incoming")
+    touched = [r[0] for r in incoming.select(GROUP).distinct().collect()]  # at most BUCKETS per source, interval and basis
+    merged, conflicts = merge_bars(store.read("bars", touched), incoming.drop(GROUP))
+    store.commit([Change("bars", grouped(merged.select(*SERIES_KEY, "timestamp", *BAR_FIELDS)), touched)])
+    return conflicts
 
 
 def resolve_columns(columns: Sequence[str], aliases: Mapping[str, Sequence[str]] = ALIASES) -> dict[str, str]:
