@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from barloom.operators.ledger import new_outcomes, track
 from barloom.operators.outcomes import SPECS
@@ -13,6 +12,7 @@ from barloom.plans.queries_documents import ITEM, JUDGED_SQL, document_versions
 from barloom.plans.queries_ledger import TO_CLAIMS, doy_sql, day_of_year, ledger_claims, new_york_bars
 from barloom.plans.registry import query
 from barloom.session import materialize
+from barloom.sources.store import Store
 from barloom.streaming import jobs
 
 
@@ -30,8 +30,8 @@ def in_slices(spark, df, slice_column, slices: int, start) -> None:
         start(spark.readStream.schema(rows.schema).parquet(path), checkpoint).awaitTermination()
 
 
-def tables(spark, **schemas):
-    return [jobs.BatchTable(spark, folder(spark, name)).prepare(schema) for name, schema in schemas.items()]
+def store_of(spark, **schemas):
+    return Store(spark, folder(spark, "store")).define(**schemas)
 
 
 REASONS = "symbol string, interval string, source string, basis string, timestamp timestamp, reason string"
@@ -57,12 +57,11 @@ def streamed_bars(spark, sf):
         "volume", F.when(doy % 50 == 2, F.col("volume") + 1).otherwise(F.col("volume"))
     )
     sliced = first.withColumn("k", F.when(F.year("timestamp") < 1998, 0).otherwise(1)).unionByName(again.withColumn("k", F.lit(2)))
-    waiting = StructType([*bars.schema.fields, StructField("arrived", LongType())])
-    stored, refused, pending = tables(spark, bars=bars.schema, refused=REASONS, pending=waiting)
+    store = store_of(spark, bars=bars.schema, refused=REASONS, pending=bars.schema)
     clocks = iter([F.lit(f"{day} 00:00:00").cast("timestamp") for day in ("1995-01-01", "1999-06-01", "2001-06-01")])
-    in_slices(spark, sliced, F.col("k"), 3, lambda s, c: jobs.ingest_bars(s.drop("k"), stored, refused, next(clocks), c, pending))
-    kept = stored.read().select("symbol", F.lit("stored").alias("result"))
-    side = refused.read().select("symbol", F.col("reason").alias("result"))
+    in_slices(spark, sliced, F.col("k"), 3, lambda s, c: jobs.ingest_bars(s.drop("k"), store, next(clocks), c))
+    kept = store.read("bars").select("symbol", F.lit("stored").alias("result"))
+    side = store.read("refused").select("symbol", F.col("reason").alias("result"))
     return kept.unionByName(side).groupBy("symbol", "result").agg(F.count(F.lit(1)).alias("bars"))
 
 
@@ -79,9 +78,9 @@ def streamed_revisions(spark, sf):
     counters = (
         "source string, fetched bigint, accepted bigint, duplicate bigint, errors bigint, rejected bigint, revision bigint"
     )
-    ledger, counted = tables(spark, documents=ledger_schema, counters=counters)
-    in_slices(spark, sliced, F.col("k"), 3, lambda s, c: jobs.ingest_documents(s.drop("k"), ledger, counted, c, item=ITEM))
-    return ledger.read().groupBy("source_item_id").agg(
+    store = store_of(spark, documents=ledger_schema, counters=counters)
+    in_slices(spark, sliced, F.col("k"), 3, lambda s, c: jobs.ingest_documents(s.drop("k"), store, c, item=ITEM))
+    return store.read("documents").groupBy("source_item_id").agg(
         F.count(F.lit(1)).alias("stored"), F.max("revision").cast("double").alias("last_revision")
     )
 
@@ -98,10 +97,10 @@ def streamed_claims(spark, sf):
     k = F.when(F.col("timestamp") < F.lit("1999-01-01").cast("timestamp"), 0).otherwise(1)
     repeats = sent.filter(F.month("timestamp") == 3).withColumn("k", F.lit(1))
     both = sent.withColumn("k", k).unionByName(repeats)
-    ledger, refused = tables(spark, claims=claims.schema, refused="artifact_key string, reason string")
-    in_slices(spark, both, F.col("k"), 2, lambda s, c: jobs.register_claims(s.drop("k"), ledger, refused, c))
-    kept = ledger.read().select("artifact_key", F.lit("registered").alias("result"))
-    side = refused.read().select("artifact_key", F.col("reason").alias("result")).distinct()
+    store = store_of(spark, claims=claims.schema, refused="artifact_key string, reason string")
+    in_slices(spark, both, F.col("k"), 2, lambda s, c: jobs.register_claims(s.drop("k"), store, c))
+    kept = store.read("claims").select("artifact_key", F.lit("registered").alias("result"))
+    side = store.read("refused").select("artifact_key", F.col("reason").alias("result")).distinct()
     judged = kept.unionByName(side).join(claims.select("artifact_key", "kind"), "artifact_key")
     return judged.groupBy("kind", "result").agg(F.count(F.lit(1)).alias("claims"))
 
@@ -118,6 +117,6 @@ def streamed_outcomes(spark, sf):
     slices = F.when(year < 1998, 0).when(year < 2000, 1).otherwise(2)
     now = F.lit("2002-01-01 00:00:00").cast("timestamp")
     schema = new_outcomes(track(claims, bars, SPECS, None, now)).schema
-    stored, outcomes, refused = tables(spark, bars=bars.schema, outcomes=schema, refused=REASONS)
-    in_slices(spark, bars, slices, 3, lambda s, c: jobs.mature_outcomes(s, stored, lambda: claims, outcomes, SPECS, now, c, refused))
-    return outcomes.read().groupBy("symbol", "horizon_bars").agg(F.count(F.lit(1)).alias("outcomes"))
+    store = store_of(spark, bars=bars.schema, outcomes=schema, refused=REASONS)
+    in_slices(spark, bars, slices, 3, lambda s, c: jobs.mature_outcomes(s, store, lambda: claims, SPECS, now, c))
+    return store.read("outcomes").groupBy("symbol", "horizon_bars").agg(F.count(F.lit(1)).alias("outcomes"))

@@ -8,7 +8,8 @@ from barloom.operators import ledger as lg
 from barloom.operators import provenance as pv
 from barloom.operators.hypotheses import TREND_ALIGNMENT, observe
 from barloom.operators.outcomes import SPECS
-from barloom.streaming.jobs import BatchTable, ingest_bars, observed_feed, register_claims
+from barloom.sources.store import Store
+from barloom.streaming.jobs import ingest_bars, ingest_feed, register_claims
 from tests.conftest import bars_frame, walk_bars
 
 REASONS = "symbol string, interval string, source string, basis string, timestamp timestamp, reason string"
@@ -23,31 +24,31 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
     landing, check = str(tmp_path / "landing"), str(tmp_path / "check")
     rows = walk_bars(20)
     bars_frame(spark, rows[:12]).coalesce(1).write.mode("append").parquet(landing)
-    stored = BatchTable(spark, str(tmp_path / "bars")).prepare(bars_frame(spark, rows[:1]).schema)
-    refused = BatchTable(spark, str(tmp_path / "refused")).prepare(REASONS)
-    waiting = BatchTable(spark, str(tmp_path / "waiting")).prepare(bars_frame(spark, rows[:1]).withColumn("arrived", F.lit(0).cast("long")).schema)
+    schema = bars_frame(spark, rows[:1]).schema
+    store = Store(spark, str(tmp_path / "store")).define(bars=schema, refused=REASONS, pending=schema)
 
     def run(folder, day=15):
         now = F.lit(f"2020-01-{day} 12:00:00").cast("timestamp")
         stream = spark.readStream.schema(bars_frame(spark, rows[:1]).schema).parquet(landing)
-        ingest_bars(stream, stored, refused, now, folder, waiting).awaitTermination()
+        ingest_bars(stream, store, now, folder).awaitTermination()
 
     run(check)
-    assert stored.read().count() == 12
+    assert store.read("bars").count() == 12 and store.read("pending").count() == 0
     changed = (*rows[11][:9], rows[11][9] + 1)
     bars_frame(spark, rows[10:11] + [changed] + rows[12:]).coalesce(1).write.mode("append").parquet(landing)
     run(check)
     # bars after "now" are not settled yet
-    assert stored.read().count() == 14
-    assert [r.reason for r in refused.read().collect()] == ["conflict"]
+    assert store.read("bars").count() == 14 and store.read("pending").count() == 6
+    assert [r.reason for r in store.read("refused").collect()] == ["conflict"]
     # a fresh checkpoint replays everything and adds nothing
     run(str(tmp_path / "other"))
-    assert stored.read().count() == 14 == stored.read().dropDuplicates(["symbol", "timestamp"]).count()
+    assert store.read("bars").count() == 14 == store.read("bars").dropDuplicates(["symbol", "timestamp"]).count()
     # the clock moves on: what waited is stored with the next batch, whatever that holds
     bars_frame(spark, rows[:1]).coalesce(1).write.mode("append").parquet(landing)
     run(check, day=31)
-    assert stored.read().count() == 20 == stored.read().dropDuplicates(["symbol", "timestamp"]).count()
-    assert len(refused.read().select("timestamp").distinct().collect()) == 1
+    assert store.read("pending").count() == 0
+    assert store.read("bars").count() == 20 == store.read("bars").dropDuplicates(["symbol", "timestamp"]).count()
+    assert len(store.read("refused").select("timestamp").distinct().collect()) == 1
 
 
 def claims_for(spark, bars, hours=27.5):
@@ -60,13 +61,12 @@ def test_late_claims_go_to_the_side(spark, tmp_path):
     claims = claims_for(spark, bars)
     late = claims.withColumn("recorded_at", F.when(F.col("timestamp") < "2024-01-06", F.expr("recorded_at + INTERVAL 9 DAYS")).otherwise(F.col("recorded_at")))
     late.coalesce(1).write.parquet(str(tmp_path / "in"))
-    ledger = BatchTable(spark, str(tmp_path / "ledger")).prepare(claims.schema)
-    refused = BatchTable(spark, str(tmp_path / "late")).prepare("artifact_key string, reason string")
+    store = Store(spark, str(tmp_path / "store")).define(claims=claims.schema, refused="artifact_key string, reason string")
     stream = spark.readStream.schema(claims.schema).parquet(str(tmp_path / "in"))
-    register_claims(stream, ledger, refused, str(tmp_path / "check")).awaitTermination()
-    assert ledger.read().count() == 55 and refused.read().filter("reason = 'late_claim'").count() == 5
+    register_claims(stream, store, str(tmp_path / "check")).awaitTermination()
+    assert store.read("claims").count() == 55 and store.read("refused").filter("reason = 'late_claim'").count() == 5
     # the same claims again, and one that now says something else
-    again = lg.register(claims.withColumn("state", F.when(F.col("timestamp") == F.lit(NEW_YORK_MIDNIGHT + timedelta(days=59)), "odd").otherwise(F.col("state"))), ledger.read())
+    again = lg.register(claims.withColumn("state", F.when(F.col("timestamp") == F.lit(NEW_YORK_MIDNIGHT + timedelta(days=59)), "odd").otherwise(F.col("state"))), store.read("claims"))
     counts = {r.status: r["count"] for r in again.groupBy("status").count().collect()}
     assert counts == {"duplicate": 54, "conflict": 1, "written": 5}
 
@@ -141,6 +141,40 @@ def test_provenance_cases(spark):
     }
 
 
-def test_feed_metrics(spark):
-    rows = spark.createDataFrame([("a", None), ("b", "no_title")], "feed_item_id string, rejected string")
-    assert observed_feed(rows).count() == 2
+def test_feed_counts_are_stored_with_the_entries(spark, tmp_path):
+    schema = "feed_id string, feed_item_id string, rejected string"
+    store = Store(spark, str(tmp_path / "store")).define(entries=schema, counts="feed_id string, seen bigint, kept bigint, rejected bigint")
+    for k, rows in enumerate([[("f", "a", None), ("f", "b", "no_title"), ("g", "c", None)], [("f", "d", "no_link")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest_feed(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "check")).awaitTermination()
+    totals = store.read("counts").groupBy("feed_id").agg(*[F.sum(x).alias(x) for x in ("seen", "kept", "rejected")])
+    assert sorted(map(tuple, totals.collect())) == [("f", 3, 1, 2), ("g", 1, 1, 0)] and store.read("entries").count() == 2
+
+
+def test_a_batch_opens_the_files_of_its_buckets_only(spark, tmp_path, monkeypatch):
+    """Twelve symbols are stored; a batch of one symbol reads one bucket, and a replayed batch nothing."""
+    symbols = tuple(f"S{k}" for k in range(12))
+    schema = bars_frame(spark, walk_bars(1)).schema
+    store = Store(spark, str(tmp_path / "store")).define(bars=schema, refused=REASONS, pending=schema)
+    landing, now = str(tmp_path / "in"), F.lit("2021-01-01 00:00:00").cast("timestamp")
+    opened, plain = [], Store.read
+
+    def read(self, table, groups=None):
+        opened.append((table, len(self.folders(table, groups))))
+        return plain(self, table, groups)
+
+    monkeypatch.setattr(Store, "read", read)
+
+    def run(rows):
+        opened.clear()
+        if rows:
+            bars_frame(spark, rows).coalesce(1).write.mode("append").parquet(landing)
+        ingest_bars(spark.readStream.schema(schema).parquet(landing), store, now, str(tmp_path / "check")).awaitTermination()
+        return [n for table, n in opened if table == "bars"]
+
+    assert run(walk_bars(4, symbols)) == [0]
+    stored = len(store.folders("bars"))
+    assert run(walk_bars(6, ("S3",))[4:]) == [1] and stored > 6
+    query = next(iter(store.manifest()["batches"]))
+    assert store.applied(query, 1) and not store.applied(query, 2)
+    assert plain(store, "bars").count() == 50

@@ -17,7 +17,8 @@ from barloom.schemas import ADJUSTED
 from barloom.session import checkpoint_folder, materialize, release
 from barloom.sources.bars import SchemaProblem, in_columns, price_frame, read_bars, write_bars
 from barloom.sources.records import NEWS_JSON, normalize_news
-from barloom.streaming.jobs import BatchTable, mature_outcomes
+from barloom.sources.store import Store
+from barloom.streaming.jobs import mature_outcomes
 from tests.conftest import bars_frame, walk_bars
 
 def now():
@@ -75,18 +76,18 @@ def test_a_second_source_does_not_double_claims(spark):
 
 def test_revised_and_repeated_bars_of_a_batch(spark, tmp_path):
     rows = walk_bars(6)
-    table = lambda name, schema: BatchTable(spark, str(tmp_path / name)).prepare(schema)
     bars = bars_frame(spark, rows)
     claims = lg.claims_from_observations(observe(bars, (TREND_ALIGNMENT,)), bars, F.col("timestamp"))
-    stored, refused = table("bars", bars.schema), table("refused", "symbol string, interval string, source string, basis string, timestamp timestamp, reason string")
-    outcomes = table("outcomes", lg.new_outcomes(lg.track(claims, bars, (OutcomeSpec(1),), None, now())).schema)
+    outcomes = lg.new_outcomes(lg.track(claims, bars, (OutcomeSpec(1),), None, now())).schema
+    reasons = "symbol string, interval string, source string, basis string, timestamp timestamp, reason string"
+    store = Store(spark, str(tmp_path / "store")).define(bars=bars.schema, refused=reasons, outcomes=outcomes)
     landing = str(tmp_path / "in")
     for batch in (rows[:3] + rows[:1], [(*rows[2][:9], rows[2][9] + 1), *rows[3:], rows[4]]):
         bars_frame(spark, batch).coalesce(1).write.mode("append").parquet(landing)
         stream = spark.readStream.schema(bars.schema).parquet(landing)
-        mature_outcomes(stream, stored, lambda: claims, outcomes, (OutcomeSpec(1),), now(), str(tmp_path / "check"), refused).awaitTermination()
-    assert stored.read().count() == 6
-    assert [r.reason for r in refused.read().collect()] == ["conflict"]
+        mature_outcomes(stream, store, lambda: claims, (OutcomeSpec(1),), now(), str(tmp_path / "check")).awaitTermination()
+    assert store.read("bars").count() == 6
+    assert [r.reason for r in store.read("refused").collect()] == ["conflict"]
 
 
 def test_named_zones_are_fixed_offsets(spark):
