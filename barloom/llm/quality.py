@@ -200,7 +200,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     by_stratum, one = _limits(measures, labels, id_col, risk, error, least)
     return (
         _verdict(measures, by_stratum, one)
-        .select("doc_id", *COUNTS, "base_failed", "kept", "failed_rules")
+        .select("doc_id", *COUNTS[:5], "base_failed", "kept", *COUNTS[5:], "failed_rules")
     )
 
 
@@ -208,19 +208,18 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
          risk: float = RISK, error: float = ERROR, least: int = LEAST) -> DataFrame:
     """The documents, with all their columns, that ``judged`` keeps.
 
-    Only labelled rows are measured for the cut-offs; then every row is
-    measured in one pass, without a join by id, so repeated and null ids and
-    columns of any name do no harm.
+    Every row is measured once and kept beside its counts in the shared folder;
+    cut-offs read the counts alone and the rows are filtered on the second
+    read, so repeated and null ids and columns of any name do no harm.
     """
-    labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("lang"))
-    labelled = labelled.join(_marks(labels, id_col).select("doc_id"), "doc_id", "left_semi")
-    measures = labelled.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"),
-                               measured("text").alias("m")).select("doc_id", "stratum", "m.*")
-    by_stratum, one = _limits(measures, labels, id_col, risk, error, least)
-    rows = docs.select(
-        F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"),
-        F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), measured(F.col(text_col)).alias("m"),
-    ).select("row", "stratum", "m.*")
+    rows = written(
+        docs.select(
+            F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"),
+            F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), measured(F.col(text_col)).alias("m"),
+        ).select("row", "stratum", "m.*"),
+        "quality",
+    )
+    by_stratum, one = _limits(rows.select(F.col("row").getField(id_col).alias("doc_id"), "stratum", *COUNTS), labels, id_col, risk, error, least)
     return _verdict(rows, by_stratum, one).where("kept").select("row.*")
 
 
