@@ -31,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from barloom.llm.shared import written
 from barloom.llm.words import MULTIPLIER, Spans, chunks, mixed
@@ -40,6 +40,8 @@ WORDS, PERCENT = 4, 85
 #: longest list of a rare shingle; entries of the table of frequent ones (16 bytes each); shared rare shingles asked for
 RARE, FREQUENT, EVIDENCE = 32, 1 << 20, 4
 ROUNDS = 2
+#: parts of a list that a pivot meets apart, and members of a block of the last comparison
+SALTS, MEMBERS = 16, 256
 #: 64-bit words of a set's parity bitmap
 BITMAP = 8
 #: shingles counted at once by a task, and their bits that are counted
@@ -107,18 +109,19 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 
 def _count_blobs(n: int, buckets: int):
-    """All shingles of a task as sorted blobs per bucket of their hashes."""
+    """The shingles of a task as sorted blobs per bucket of their hashes, each once per hand-over with its count."""
     low = BITS - (buckets.bit_length() - 1)
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            values = np.sort(np.concatenate(held)) >> np.uint64(64 - BITS)
-            values = values.astype(np.int64)
+            values, counts = np.unique((np.concatenate(held) >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
             edges = np.searchsorted(values, np.arange(buckets + 1, dtype=np.int64) << low)
             full = np.flatnonzero(np.diff(edges))
+            own = [slice(edges[b], edges[b + 1]) for b in full.tolist()]
             return pa.record_batch([
-                pa.array(full.astype(np.int32)), pa.array([_packed(values[edges[b] : edges[b + 1]]) for b in full.tolist()], pa.binary()),
-            ], ["bucket", "blob"])
+                pa.array(full.astype(np.int32)), pa.array([_packed(values[x]) for x in own], pa.binary()),
+                pa.array([zstandard.ZstdCompressor(level=1).compress(counts[x].astype("<u4").tobytes()) for x in own], pa.binary()),
+            ], ["bucket", "blob", "counts"])
 
         held, size = [], 0
         for batch in batches:
@@ -135,32 +138,41 @@ def _count_blobs(n: int, buckets: int):
 
 
 def _frequent(rare: int):
-    """Shingles of a sorted stream of buckets that are counted more often than ``rare`` times."""
-    def counted(blobs: list[bytes]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate([_unpacked(x) for x in blobs]), return_counts=True)
-        often = counts > rare
-        return pa.record_batch([pa.array(values[often]), pa.array(counts[often].astype(np.int64))], ["shingle", "n"])
+    """Shingles of a sorted stream of buckets that are counted more often than ``rare`` times; a task holds the distinct ones of a bucket."""
+    def merged(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        distinct, place = np.unique(np.concatenate(values), return_inverse=True)
+        return distinct, np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+        bucket, values, counts, size = None, [], [], 0
+
+        def out() -> pa.RecordBatch:
+            distinct, n = merged(values, counts)
+            return pa.record_batch([pa.array(distinct[n > rare]), pa.array(n[n > rare])], ["shingle", "n"])
+
         for batch in batches:
-            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if b != bucket and held:
-                    yield counted(held)
-                    held = []
+            for b, blob, times in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if b != bucket and values:
+                    yield out()
+                    values, counts, size = [], [], 0
                 bucket = b
-                held.append(blob.as_py())
-        if held:
-            yield counted(held)
+                values.append(_unpacked(blob.as_py()))
+                counts.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(times.as_py()), "<u4"))
+                size += len(values[-1])
+                if size > FLUSH and size > 2 * len(values[0]):
+                    distinct, n = merged(values, counts)
+                    values, counts, size = [distinct], [n], len(distinct)
+        if values:
+            yield out()
 
     return over
 
 
 def frequent_shingles(docs: DataFrame, total: int, n: int, rare: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The frequent shingles and their counts, at most ``most``: where more are counted, the count that makes one frequent doubles until they fit."""
-    buckets = 1 << max(6, (total >> 23).bit_length())
+    buckets = 1 << max(6, (total >> 21).bit_length())
     counted = written(
-        docs.select("text").mapInArrow(_count_blobs(n, buckets), "bucket int, blob binary")
+        docs.select("text").mapInArrow(_count_blobs(n, buckets), "bucket int, blob binary, counts binary")
         .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent(rare), "shingle bigint, n bigint"),
         "frequent",
     )
@@ -180,9 +192,9 @@ def frequent_shingles(docs: DataFrame, total: int, n: int, rare: int, most: int)
 # --- signatures
 
 
-def _levels(size: int, percent: int) -> set[int]:
+def _levels(size: int, percent: int) -> range:
     """Size classes of the sets that one of this size can link with."""
-    return {(-(-percent * size // 100)).bit_length(), (100 * size // percent).bit_length()}
+    return range((-(-percent * size // 100)).bit_length(), (100 * size // percent).bit_length() + 1)
 
 
 def _beginning(rare: np.ndarray, frequent: np.ndarray, need: int, classes: int) -> Iterator[tuple[int, list[int]]]:
@@ -209,7 +221,9 @@ def _signatures(n: int, percent: int, table):
                 k1 = set_keys(keys, begins)[0]
                 size = np.diff(begins)
                 need = size - (percent * size + 99) // 100 + EVIDENCE
-                live = size > EVIDENCE + 1  # smaller sets link with equal ones only
+                least = (percent * size + 99) // 100  # shingles that a link needs at least
+                # a set of which the nearest other one, a shingle more or less, is too far links with equal ones only
+                live = (100 * size >= percent * (size + 1)) | ((size > 1) & (100 * (size - 1) >= percent * size))
                 for i, key in enumerate(k1.tolist()):
                     if live[i]:
                         live[i] = key not in seen
@@ -236,10 +250,16 @@ def _signatures(n: int, percent: int, table):
                             for k in range(1, len(held)):
                                 first += held[:-k]
                                 second += held[k:]
+                        if not first:  # known as one whose rare shingles may be too few to tell
+                            first, second = [int(k1[i].view(np.uint64))], [level]
                         pair = mixed(mixed(np.array(first, np.uint64) + np.uint64(level)) * np.uint64(MULTIPLIER) + np.array(second, np.uint64))
                         sig.append(pair)
                         whose.append(np.full(len(pair), i))
                         paired.append(np.ones(len(pair), bool))
+                    if least[i] <= 1:  # one shared shingle may be a link
+                        sig.append(common)
+                        whose.append(np.full(len(common), i))
+                        paired.append(np.ones(len(common), bool))
                 who, pairs = np.concatenate(whose), np.concatenate(paired)
                 common = np.where(pairs, size[who] - np.diff(before[begins])[who], size[who])
                 columns = [pa.array(pairs), pa.array(np.concatenate(sig).view(np.int64)), pa.array(k1[who])]
@@ -303,9 +323,9 @@ def _list_pairs(percent: int, longest: int):
 # --- verification and components
 
 
-def _set_blobs(n: int):
+def _members(n: int):
     """The set of each asked-for document; a row whose text is not the one asked for is left out."""
-    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in chunks(batch.column(0)):
                 _, keys, begins = sets(data, offsets, n)
@@ -313,45 +333,32 @@ def _set_blobs(n: int):
                 part = batch.slice(row, len(offsets) - 1)
                 same = (part.column(2).to_numpy() == k1) & (part.column(3).to_numpy() == k2)
                 at = np.flatnonzero(same)
-                yield pa.record_batch([
-                    part.column(1).take(pa.array(at)), pa.array([keys[begins[i] : begins[i + 1]].tobytes() for i in at.tolist()], pa.binary()),
-                ], ["node", "blob"])
+                size = np.diff(begins)
+                own = keys[np.repeat(same, size)].view(np.int64)
+                edges = np.append(0, np.cumsum(size[at]))
+                yield pa.record_batch([part.column(1).take(pa.array(at)), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(own))], ["node", "members"])
 
-    return blobs
+    return rows
 
 
 @arrow_udf(StructType([StructField(f"b{k}", LongType()) for k in range(BITMAP)]))
-def bitmap(blobs: pa.Array) -> pa.Array:
+def bitmap(members: pa.Array) -> pa.Array:
     """Parity of the number of shingles at each of 64 * BITMAP places; each place where two sets differ is a shingle that they do not share."""
-    out = np.zeros((len(blobs), BITMAP * 8), np.uint8)
-    for row, blob in enumerate(blobs):
-        places = (np.frombuffer(blob.as_py(), np.uint64) % np.uint64(64 * BITMAP)).astype(np.int64)
-        out[row] = np.packbits(np.bincount(places, minlength=64 * BITMAP) & 1)
-    words = out.view(np.int64)
+    sizes = np.diff(members.offsets.to_numpy())
+    places = members.flatten().to_numpy().view(np.uint64) % np.uint64(64 * BITMAP)
+    out = np.bincount(np.repeat(np.arange(len(sizes)) * 64 * BITMAP, sizes) + places.astype(np.int64), minlength=len(sizes) * 64 * BITMAP) & 1
+    words = np.packbits(out.astype(bool).reshape(-1, 64 * BITMAP), axis=1).view(np.int64)
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(words[:, k])) for k in range(BITMAP)], [f"b{k}" for k in range(BITMAP)])
 
 
-def similar(percent: int):
-    """Whether two sets reach the similarity, exactly."""
-    @arrow_udf(BooleanType())
-    def check(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for a, b in zip(left, right, strict=True):
-            x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-            place = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[place] == x).sum())
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pa.array(out, pa.bool_())
-
-    return check
-
-
-def verified(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, exactly."""
+    both = F.size(F.array_intersect("x", "y"))
     return (
-        pairs.join(blobs.select(F.col("node").alias("a"), F.col("blob").alias("x")), "a")
-        .join(blobs.select(F.col("node").alias("b"), F.col("blob").alias("y")), "b")
-        .where(similar(percent)("x", "y")).select("a", "b")
+        pairs.join(members.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
+        .join(members.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
+        .select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), both.alias("both"))
+        .where(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("a", "b")
     )
 
 
@@ -444,15 +451,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     )
     asked = pairs.select("a").union(pairs.select("b")).union(lists.select("node")).toDF("node").distinct()
     asked = asked.join(nodes.select("node", "k1", "k2"), "node")
-    blobs = written(
+    sets_of = written(
         named.join(asked.withColumnRenamed("node", "doc_id"), "doc_id").select("text", "doc_id", "k1", "k2")
-        .mapInArrow(_set_blobs(n), "node bigint, blob binary").groupBy("node").agg(F.first("blob").alias("blob")),
+        .mapInArrow(_members(n), "node bigint, members array<bigint>").groupBy("node").agg(F.first("members").alias("members")),
         "sets",
     )
-    links = written(verified(pairs, blobs, percent), "links")
+    links = written(verified(pairs, sets_of, percent), "links")
     found = components(links)
     tried = pairs
-    lists = written(lists.join(blobs.select("node", bitmap("blob").alias("b")), "node").select(*lists.columns, "b.*"), "lists")
+    lists = written(lists.join(sets_of.select("node", bitmap("members").alias("b")), "node").select(*lists.columns, "b.*"), "lists")
     mate = [F.col(a).alias(b) for a, b in (("node", "with"), ("component", "theirs"), ("size", "other"), ("common", "other_common"))]
     mate += [F.col(f"b{k}").alias(f"w{k}") for k in range(BITMAP)]
     for turn in range(ROUNDS + 1):
@@ -461,14 +468,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
             break
         if turn < ROUNDS:
             turned = F.struct(F.col("size") - F.col("common"), "node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            member = F.struct(*mate)
-            pivot = open_lists.groupBy("sig").agg(F.min_by(member, turned).alias("p")).select("sig", "p.*")
-            new = open_lists.join(pivot, "sig").where("component <> theirs")
+            member, salts = F.struct(*mate), F.array(*map(F.lit, range(SALTS)))
+            salted = open_lists.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+            # the first of each part of a list, then the first of these
+            firsts = salted.groupBy("sig", "salt").agg(F.min(turned).alias("turned"), F.min_by(member, turned).alias("p"))
+            pivot = firsts.groupBy("sig").agg(F.min_by("p", "turned").alias("p")).select("sig", F.explode(salts).alias("salt"), "p.*")
+            new = salted.join(pivot, ["sig", "salt"]).where("component <> theirs")
         else:
-            new = open_lists.join(open_lists.select("sig", *mate), "sig").where("component < theirs")
+            # blocks of members against blocks, so that a long list is many keys
+            sizes = open_lists.groupBy("sig").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
+            cut = open_lists.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("all", F.expr("sequence(0L, blocks - 1)"))
+            left = cut.select("sig", *open_lists.columns[1:], F.col("own").alias("x"), F.explode("all").alias("y"))
+            new = left.join(cut.select("sig", *mate, F.col("own").alias("y"), F.explode("all").alias("x")), ["sig", "x", "y"]).where("component < theirs")
         new = new.where(_fitting(percent)).select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
         new = written(new.join(tried, ["a", "b"], "left_anti"), "candidates")
-        more = written(verified(new, blobs, percent), "links")
+        more = written(verified(new, sets_of, percent), "links")
         tried = tried.unionByName(new)
         if more.isEmpty():
             continue  # another pivot, or the full comparison

@@ -15,12 +15,13 @@ def shingles(text, n=4):
     return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1)))
 
 
-def brute(rows):
-    """{(doc_id, set): component} by comparing every pair."""
+def brute(rows, n=4, percent=85):
+    """{set: component} by comparing every pair."""
     nodes = {}
     for i, text, *_ in rows:
-        if i is not None and shingles(text):
-            nodes[shingles(text)] = min(i, nodes.get(shingles(text), i))
+        own = shingles(text, n)
+        if i is not None and own:
+            nodes[own] = min(i, nodes.get(own, i))
     parent = {s: s for s in nodes}
 
     def root(x):
@@ -32,7 +33,7 @@ def brute(rows):
     for k, a in enumerate(own):
         for b in own[k + 1 :]:
             both = len(a & b)
-            if 100 * both >= 85 * (len(a) + len(b) - both):
+            if 100 * both >= percent * (len(a) + len(b) - both):
                 parent[root(a)] = root(b)
     low = {}
     for s, i in nodes.items():
@@ -79,6 +80,31 @@ def test_every_component_as_by_brute_force(spark, shared, words, options):
         assert got[i].component_id == (want[own] if own else i)
 
 
+@pytest.mark.parametrize(("n", "percent", "options"), [(5, 80, {}), (4, 50, {}), (5, 80, {"rare": 2}), (4, 50, {"rare": 1})])
+def test_small_sets_and_lower_similarities(spark, shared, words, n, percent, options):
+    rng = random.Random(percent)
+    texts = [words(k, rng.randrange(1, 14), vocabulary=30) for k in range(40)]
+    for k in range(160):
+        own = rng.choice(texts).split()
+        own = own[rng.randrange(3) :] + [f"w{rng.randrange(30)}" for _ in range(rng.randrange(3))]
+        texts.append(" ".join(own) or "one")
+    rows = [(i, t, "s", "c", 1) for i, t in enumerate(texts)] + corpus(words, seed=2, group=8)[:60]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(spark.createDataFrame(rows, SCHEMA), n=n, percent=percent, **options).collect()}
+    want = brute(rows, n, percent)
+    assert len(set(want.values())) < len(want) - 20
+    assert got == {r[0]: want[shingles(r[1], n)] if shingles(r[1], n) else r[0] for r in rows}
+
+
+def test_blocks_of_a_long_list(spark, shared, words, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MEMBERS", 4)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    rows = corpus(words, seed=5)
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(spark.createDataFrame(rows, SCHEMA), rare=4).collect()}
+    want = brute(rows)
+    assert got == {r[0]: want[shingles(r[1])] if shingles(r[1]) else r[0] for r in rows}
+
+
 def test_null_ids_repeated_rows_and_empty_tables(spark, shared, words):
     text = words(1, 60)
     rows = [(None, text, "s", "c", 1), (5, text, "s", "c", 1), (5, text, "s", "c", 1), (2, text + " end", None, None, None), (7, None, "s", "c", 1)]
