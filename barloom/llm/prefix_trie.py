@@ -29,7 +29,7 @@ from barloom.llm.shared import written
 #: fixed values of the rebuilding rule: conversations that share a beginning, and the divisor of its length
 FAMILY, BEGINNINGS = 5, 9
 #: turns that a container may hold, ids in one piece of a list of members, turns summed at once in a long chain
-CONTAINER, PIECE, STRETCH = 4096, 1 << 16, 4096
+CONTAINER, PIECE, STRETCH = 1024, 1 << 16, 1024
 
 NODE = "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ended bigint, ended_m bigint"
 
