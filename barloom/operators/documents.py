@@ -117,10 +117,12 @@ def classify_revisions(
     """
     item = list(item)
     cols = [*item, signature, content, seq]
-    rows = incoming.select(*cols, F.lit(1).alias("_stage"), F.lit(0).alias("_rev"))
+    # an arriving record is carried through the order as it is and gets its verdict there
+    carried = F.struct(*[F.col(c) for c in incoming.columns if c != "revision"])
+    rows = incoming.select(*cols, F.lit(1).alias("_stage"), F.lit(0).alias("_rev"), carried.alias("_row"))
     if stored is not None:
         newest = latest_revisions(stored, item=item, seq=seq)
-        rows = rows.unionByName(newest.select(*cols, F.lit(0).alias("_stage"), F.col("revision").cast("int").alias("_rev")))
+        rows = rows.unionByName(newest.select(*cols, F.lit(0).alias("_stage"), F.col("revision").cast("int").alias("_rev"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row")))
     first = rows.groupBy(*item).agg(F.min_by(F.struct(F.col(signature).alias("s")), F.struct("_stage", seq)).alias("_first"))
     judged = rows.join(first, item).withColumn("_conflict", ~F.col("_first.s").eqNullSafe(F.col(signature))).drop("_first")
     arranged = arrange(judged.filter(~F.col("_conflict")), item, ("_stage", seq), before=1, layout=layout)
@@ -129,12 +131,11 @@ def classify_revisions(
     step = F.when(F.col("_stage") == 0, F.col("_rev")).when(changed, 1).otherwise(0)
     arranged = running(arranged.with_columns({"_changed": changed, "_step": step.cast("long")}), {"_revision": ("_step", "sum")})
     outcome = F.when(F.col("_rn") == 1, "accepted").when(F.col("_changed"), "revision").otherwise("duplicate")
-    kept = arranged.df.filter("_stage = 1").select(*item, seq, outcome.alias("outcome"), F.col("_revision").alias("revision"))
+    kept = arranged.df.filter("_stage = 1").select("_row.*", outcome.alias("outcome"), F.col("_revision").alias("revision"))
     refused = judged.filter("_conflict AND _stage = 1").select(
-        *item, seq, F.lit("id_reuse_conflict").alias("outcome"), F.lit(None).cast("long").alias("revision")
+        "_row.*", F.lit("id_reuse_conflict").alias("outcome"), F.lit(None).cast("long").alias("revision")
     )
-    verdicts = kept.unionByName(refused)
-    return incoming.drop("revision").join(verdicts, [*item, seq])
+    return kept.unionByName(refused)
 
 
 def to_append(classified: DataFrame) -> DataFrame:

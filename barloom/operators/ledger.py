@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.definitions import OutcomeSpec
 from barloom.functions.identity import artifact_key, bar_fingerprint, digest, outcome_key
 from barloom.functions.times import new_york_date
-from barloom.operators.layout import AUTO, Layout, arrange
+from barloom.operators.layout import AUTO, Layout, arrange, placed
 from barloom.operators.outcomes import forward_columns, outcome_structs, rows_ahead
 from barloom.operators.quality import finite
 from barloom.operators.stats import describe, fraction, null_safe
@@ -265,9 +265,9 @@ def ledger_metrics(claims: DataFrame, outcomes: DataFrame, specs: Sequence[Outco
     )
 
 
-def summary_order(df: DataFrame) -> DataFrame:
-    """Requested spec order, then producer, state and source."""
-    return df.orderBy("spec_order", *[F.col(c).asc_nulls_first() for c in PRODUCER], "state", "source")
+def summary_places(df: DataFrame) -> DataFrame:
+    """Adds ``place``: requested spec order, then producer, state and source; numbered over range partitions."""
+    return placed(df, (), ["spec_order", *[F.col(c).asc_nulls_first() for c in PRODUCER], "state", "source"], "place")
 
 
 def missed_tails(bars: DataFrame, claims: DataFrame, activated_at: Column) -> DataFrame:

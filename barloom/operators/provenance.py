@@ -25,6 +25,8 @@ EXACT_STATUSES = ("ok", "duplicate_already_exists", "insufficient_history")
 REFRESHED_STATUSES = EXACT_STATUSES + ("refresh_failure", "corrupt_ledger")
 BACKWARD_SECONDS = 5
 MAX_SPAN_SECONDS = 3600
+#: width of the time bins in which loose rows meet interrupted runs
+BIN_SECONDS = 60
 LEDGER_FILES = ("artifacts.jsonl", "outcomes.jsonl")
 IGNORED_NAMES = (".DS_Store",)
 
@@ -155,12 +157,21 @@ def symbol_runs(accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
 def interrupted_for(rows: DataFrame, clock: str, key: str, interrupted: DataFrame) -> DataFrame:
     """The latest interrupted run that can explain each row's clock.
 
-    An as-of join: equal New York date, then the run's interval; the run log is
-    small next to the ledger and is joined on the date.
+    An interval join on equal New York dates: a run's window, an hour at most,
+    is spread over the time bins that it meets, a row lies in one bin, and only
+    rows and runs of one bin are compared, so a day of many rows and many runs
+    costs the pairs that overlap and its bins are spread over tasks.
     """
-    candidates = rows.select(key, F.col(clock).alias("_t"), new_york_date(F.col(clock)).alias("run_day")).join(
-        interrupted.select("run_id", "position", "started_at", "window_end", "run_day"), "run_day"
-    )
+    def binned(micros: Column) -> Column:
+        return F.floor(micros / (BIN_SECONDS * 1_000_000)).cast("long")
+
+    begin = F.unix_micros("started_at") - BACKWARD_SECONDS * 1_000_000
+    end = F.least(F.unix_micros("started_at") + MAX_SPAN_SECONDS * 1_000_000, F.unix_micros("window_end"))
+    runs = interrupted.filter(end >= begin).select(
+        "run_id", "position", "started_at", "window_end", "run_day", F.explode(F.sequence(binned(begin), binned(end))).alias("_bin"))
+    candidates = rows.select(
+        key, F.col(clock).alias("_t"), new_york_date(F.col(clock)).alias("run_day"), binned(F.unix_micros(clock)).alias("_bin")
+    ).join(runs, ["_bin", "run_day"])
     fits = (
         (plus_seconds(F.col("started_at"), -BACKWARD_SECONDS) <= F.col("_t"))
         & (F.col("window_end").isNull() | (F.col("_t") < F.col("window_end")))

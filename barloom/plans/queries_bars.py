@@ -43,6 +43,21 @@ def stored_bars(spark, sf):
     )
 
 
+@query(
+    "rewritten_series",
+    f"""WITH {DAILY_SQL} SELECT symbol, count(*) FILTER (WHERE symbol <> 'R' OR ts < '1997-01-01') AS bars, symbol = 'R' AS rewritten FROM bars GROUP BY symbol""",
+)
+def rewritten_series(spark, sf):
+    """One series of three is written again with fewer bars; which series' files changed."""
+    path = folder(spark, "bars")
+    bars = materialize(bars_daily(spark, sf), "bars")
+    sb.write_bars(bars, path)
+    before = {s: set(sb.read_bars(spark, path, symbol=s).inputFiles()) for s in "ANR"}
+    sb.write_bars(bars.filter((F.col("symbol") == "R") & (F.col("timestamp") < "1997-01-01")), path)
+    changed = [s for s in "ANR" if before[s] != set(sb.read_bars(spark, path, symbol=s).inputFiles())]
+    return sb.read_bars(spark, path).groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.max(F.col("symbol").isin(changed)).alias("rewritten"))
+
+
 @query(
     "bar_files",
     f"""WITH {DAILY_SQL}, m AS (SELECT symbol, CASE WHEN dayofyear(ts) % 40 = 1 THEN 'missing_basis' WHEN dayofyear(ts) % 40 = 2 THEN 'unknown_basis'

@@ -439,23 +439,29 @@ def feed_entries(spark, sf):
     "atom_entries",
     f"""SELECT 'urn:' || page_id AS feed_item_id, url AS canonical_url,
   {clock_sql("TIMESTAMP '2024-03-01 00:00:00' + page_id * INTERVAL 1 MINUTE + CASE WHEN page_id % 2 = 0 THEN INTERVAL 0 MINUTE ELSE INTERVAL 5 MINUTE END")} AS available_from,
-  CASE WHEN page_id % 2 = 0 THEN 'source_published' ELSE 'source_updated' END AS availability_basis FROM pages""",
+  CASE WHEN page_id % 2 = 0 THEN 'source_published' ELSE 'source_updated' END AS availability_basis,
+  CASE page_id % 4 WHEN 0 THEN 's' WHEN 1 THEN 'Some bold & plain text ' || page_id WHEN 2 THEN 'a <b> in text' ELSE 'from content' END AS excerpt FROM pages""",
 )
 def atom_entries(spark, sf):
     pages = table(spark, sf, "pages")
     base = plus_seconds(at("2024-03-01 00:00:00"), 0) + F.expr("make_dt_interval(0, 0, CAST(page_id AS INT))")
+    k = F.col("page_id") % 4
     iso = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
     entry = F.concat(
         F.lit("<entry><title>Page</title><id>urn:"), F.col("page_id").cast("string"),
         F.lit('</id><link rel="self" href="https://example.com/self"/><link rel="alternate" href="'), escaped(F.col("url")),
-        F.lit('"/><summary>s</summary><author><name>desk</name></author>'),
+        F.lit('"/>'),
+        F.when(k == 0, "<summary>s</summary>").when(k == 1, F.concat(
+            F.lit('<summary type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml">Some <b>bold</b> &amp; <i>plain</i> text '), F.col("page_id").cast("string"), F.lit("</div></summary>")))
+        .when(k == 2, '<summary type="html">a &lt;b&gt; in text</summary>').otherwise('<content type="xhtml"><div>from <em>content</em></div></content>'),
+        F.lit("<author><name>desk</name></author>"),
         F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<published>"), iso(base), F.lit("</published>"))).otherwise(""),
         F.lit("<updated>"), iso(plus_seconds(base, 300)), F.lit("</updated></entry>"),
     )
     path = folder(spark, "atom")
     land_documents(pages, entry, path, '<feed>', "</feed>")
     out = rc.normalize_feed(rc.read_feed(spark, path, "atom"), at(NOW))
-    return out.select("feed_item_id", "canonical_url", clock(F.col("available_from")).alias("available_from"), "availability_basis")
+    return out.select("feed_item_id", "canonical_url", clock(F.col("available_from")).alias("available_from"), "availability_basis", "excerpt")
 
 
 @query(

@@ -9,7 +9,7 @@ from barloom.operators import features as ft
 from barloom.operators.assess import assess, ensemble_issues
 from barloom.operators.hypotheses import HYPOTHESES, TREND_ALIGNMENT, observe
 from barloom.operators.features import quoted, with_features, with_true_range
-from barloom.operators.scanner import in_history, scan, scan_counters, universe
+from barloom.operators.scanner import in_history, scan, scan_counters, universe, universe_issues
 from barloom.plans.fixtures import DAILY_SQL, HOURLY_SQL, SUPPLIER_SQL, bars_daily, bars_hourly, bars_supplier, table
 from barloom.plans.registry import clock, clock_sql, query, rounded, rounded_sql
 from barloom.plans.sql_steps import FRAMED, OBSERVED, TO_FEATURES, TO_OBSERVATIONS, WILDER, steps
@@ -308,6 +308,23 @@ def universe_members(spark, sf):
     return universe(raw)
 
 
+@query(
+    "universe_refusals",
+    """WITH u AS (SELECT c_mktsegment AS universe_id, CASE c_nationkey % 6 WHEN 0 THEN 'A B' WHEN 1 THEN repeat('X', 33) ELSE 'S' || c_nationkey END AS symbol, c_custkey FROM customer
+  WHERE c_mktsegment <> 'MACHINERY' OR c_nationkey % 6 > 1),
+m AS (SELECT universe_id, symbol, count(*) AS k FROM u WHERE universe_id <> 'BUILDING' OR symbol IN ('S2', 'S3') GROUP BY ALL)
+SELECT universe_id, count(*) AS symbols, CAST(sum(k - 1) AS BIGINT) AS duplicates, count(*) FILTER (WHERE symbol = 'A B' OR symbol LIKE 'XXX%') AS bad_symbols,
+  CASE WHEN count(*) > 17 THEN 'too_many_symbols' WHEN count(*) FILTER (WHERE symbol = 'A B' OR symbol LIKE 'XXX%') > 0 THEN 'bad_symbol' END AS issue FROM m GROUP BY universe_id""",
+)
+def universe_refusals(spark, sf):
+    """Segments as universes: bad symbols in most, one without, one small, one too large for the caller."""
+    k, segment = F.col("c_nationkey") % 6, F.col("c_mktsegment")
+    symbol = F.when(k == 0, " a b").when(k == 1, F.repeat(F.lit("x"), 33)).otherwise(F.concat(F.lit("s"), F.col("c_nationkey").cast("string")))
+    raw = table(spark, sf, "customer").filter((segment != "MACHINERY") | (k > 1)).select(segment.alias("universe_id"), symbol.alias("symbol"))
+    raw = raw.filter((F.col("universe_id") != "BUILDING") | F.col("symbol").isin("s2", "s3"))
+    return universe_issues(raw, most=17).select("universe_id", "symbols", "duplicates", "bad_symbols", "issue")
+
+
 @query(
     "ensemble_issues",
     f"""WITH {DAILY_SQL}, d AS (SELECT symbol, dayofyear(ts) % 30 AS k FROM bars)

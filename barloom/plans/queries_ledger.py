@@ -172,17 +172,18 @@ COVERED = """cov AS (SELECT h.h, kind, hypothesis_id, state, count(*) AS artifac
     TO_CLAIMS + ", " + COVERED + f"""SELECT CAST(h AS INT) AS horizon_bars, kind, coalesce(hypothesis_id, '') AS hypothesis_id, state,
   artifacts_registered, artifacts_evaluable, artifacts_completed, {clock_sql('first_ts')} AS first_ts, {clock_sql('last_ts')} AS last_ts,
   {rounded_sql('artifacts_completed / artifacts_registered')} AS raw_coverage,
-  CASE WHEN artifacts_evaluable > 0 THEN {rounded_sql('artifacts_completed / artifacts_evaluable')} END AS evaluable_coverage FROM cov""",
+  CASE WHEN artifacts_evaluable > 0 THEN {rounded_sql('artifacts_completed / artifacts_evaluable')} END AS evaluable_coverage,
+  row_number() OVER (ORDER BY h, kind, hypothesis_id NULLS FIRST, state) AS place FROM cov""",
 )
 def ledger_coverage_rows(spark, sf):
     _, claims, records = ledger(spark, sf)
-    out = lg.summary_order(lg.ledger_coverage(claims, records, SPECS))
+    out = lg.summary_places(lg.ledger_coverage(claims, records, SPECS))
     return out.select(
         "horizon_bars", "kind", F.coalesce("hypothesis_id", F.lit("")).alias("hypothesis_id"), "state",
         "artifacts_registered", "artifacts_evaluable", "artifacts_completed",
         clock(F.col("first_artifact_timestamp")).alias("first_ts"), clock(F.col("last_artifact_timestamp")).alias("last_ts"),
         rounded(F.col("raw_coverage_fraction")).alias("raw_coverage"),
-        rounded(F.col("evaluable_coverage_fraction")).alias("evaluable_coverage"),
+        rounded(F.col("evaluable_coverage_fraction")).alias("evaluable_coverage"), "place",
     )
 
 
@@ -599,3 +600,28 @@ FROM d CROSS JOIN (SELECT unnest(['A', 'N', 'R']) AS symbol) s LEFT JOIN bars b
 def run_status_histogram(spark, sf):
     bars, _, records = ledger(spark, sf)
     return lg.status_histogram(run_log(bars, records).filter("record_type = 'record'"))
+
+
+@query(
+    "orphan_runs",
+    f"""WITH r AS (SELECT c_custkey AS position, TIMESTAMP '2024-01-10 05:00:00' + c_custkey * INTERVAL 40 SECOND AS started_at,
+    CASE WHEN c_custkey % 10 <> 0 THEN TIMESTAMP '2024-01-10 05:00:00' + (c_custkey * 40 + 55) * INTERVAL 1 SECOND END AS window_end FROM customer),
+e AS (SELECT event_id, TIMESTAMP '2024-01-10 05:00:00' + (event_id * 7 % 70000) * INTERVAL 1 SECOND AS t FROM events),
+m AS (SELECT event_id, max(position) AS position FROM e JOIN r ON started_at - INTERVAL {pv.BACKWARD_SECONDS} SECOND <= t AND (window_end IS NULL OR t < window_end)
+    AND t <= started_at + INTERVAL {pv.MAX_SPAN_SECONDS} SECOND AND CAST(t - INTERVAL 5 HOUR AS DATE) = CAST(started_at - INTERVAL 5 HOUR AS DATE) GROUP BY event_id)
+SELECT 'r' || position AS orphan_run, count(*) AS loose_rows FROM m GROUP BY position""",
+)
+def orphan_runs(spark, sf):
+    """A crowded day: every event is a loose row, every customer an interrupted run, one in ten without an end."""
+    from barloom.plans.fixtures import table
+
+    def seconds_after(moment, n):
+        return F.timestamp_seconds(F.unix_timestamp(moment) + n)
+
+    day = F.lit("2024-01-10 05:00:00").cast("timestamp")
+    start = seconds_after(day, F.col("c_custkey") * 40)
+    runs = table(spark, sf, "customer").select(
+        F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("run_id"), F.col("c_custkey").alias("position"), start.alias("started_at"),
+        F.when(F.col("c_custkey") % 10 != 0, seconds_after(start, F.lit(55))).alias("window_end"), times.new_york_date(start).alias("run_day"))
+    loose = table(spark, sf, "events").select("event_id", seconds_after(day, F.col("event_id") * 7 % 70000).alias("t"))
+    return pv.interrupted_for(loose, "t", "event_id", runs).groupBy("orphan_run").agg(F.count(F.lit(1)).alias("loose_rows"))

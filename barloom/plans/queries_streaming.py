@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.ledger import new_outcomes, track
 from barloom.operators.outcomes import SPECS
-from barloom.plans.fixtures import DAILY_SQL, bars_daily
+from barloom.plans.fixtures import DAILY_SQL, bars_daily, table
 from barloom.plans.queries_bars import folder
 from barloom.plans.queries_documents import ITEM, JUDGED_SQL, document_versions
 from barloom.plans.queries_ledger import TO_CLAIMS, doy_sql, day_of_year, ledger_claims, new_york_bars
@@ -120,3 +120,21 @@ def streamed_outcomes(spark, sf):
     store = store_of(spark, bars=bars.schema, outcomes=schema, refused=REASONS)
     in_slices(spark, bars, slices, 3, lambda s, c: jobs.mature_outcomes(s, store, lambda: claims, SPECS, now, c))
     return store.read("outcomes").groupBy("symbol", "horizon_bars").agg(F.count(F.lit(1)).alias("outcomes"))
+
+
+@query(
+    "streamed_feed_counts",
+    """WITH e AS (SELECT 'feed-' || page_id % 7 AS feed_id, page_id % 3 AS k, CASE WHEN page_id % 10 = 0 THEN 'no_title' WHEN url NOT LIKE 'https:%' THEN 'bad_url' END AS rejected FROM pages)
+SELECT feed_id, count(*) AS seen, count(*) FILTER (WHERE rejected IS NULL) AS kept, count(rejected) AS rejected,
+  count(*) FILTER (WHERE rejected IS NULL) AS stored, count(DISTINCT k) AS batches FROM e GROUP BY feed_id""",
+)
+def streamed_feed_counts(spark, sf):
+    """What three batches counted per feed, read back from the store beside the entries they kept."""
+    rejected = F.when(F.col("page_id") % 10 == 0, "no_title").when(~F.col("url").startswith("https:"), "bad_url")
+    rows = table(spark, sf, "pages").select(
+        F.concat(F.lit("feed-"), (F.col("page_id") % 7).cast("string")).alias("feed_id"), "page_id", rejected.alias("rejected"))
+    store = store_of(spark, entries=rows.schema, counts="feed_id string, seen bigint, kept bigint, rejected bigint")
+    in_slices(spark, rows, F.col("page_id") % 3, 3, lambda s, c: jobs.ingest_feed(s, store, c))
+    counted = store.read("counts").groupBy("feed_id").agg(*[F.sum(x).alias(x) for x in ("seen", "kept", "rejected")], F.count(F.lit(1)).alias("batches"))
+    return counted.join(store.read("entries").groupBy("feed_id").agg(F.count(F.lit(1)).alias("stored")), "feed_id", "left").select(
+        "feed_id", "seen", "kept", "rejected", F.coalesce("stored", F.lit(0)).alias("stored"), "batches")

@@ -92,7 +92,8 @@ RSS_ITEM = (
     "source STRUCT<_VALUE: STRING, _url: STRING>, pubDate STRING"
 )
 ATOM_ENTRY = (
-    "title STRING, id STRING, summary STRING, content STRING, author STRUCT<name: STRING>, "
+    "title STRING, id STRING, summary STRUCT<_VALUE: STRING, _type: STRING, div: STRING>, "
+    "content STRUCT<_VALUE: STRING, _type: STRING, div: STRING>, author STRUCT<name: STRING>, "
     "link ARRAY<STRUCT<_href: STRING, _rel: STRING>>, published STRING, updated STRING"
 )
 
@@ -109,6 +110,12 @@ def rss_fields(items: DataFrame) -> DataFrame:
     )
 
 
+def atom_text(name: str) -> Column:
+    """A text construct: as it stands, or what stands between the tags of one that holds markup."""
+    inside = F.regexp_replace(F.col(f"{name}.div"), r"</?[A-Za-z][^<>]*>", "")
+    return F.coalesce(inside, F.col(f"{name}._VALUE"))
+
+
 def atom_fields(entries: DataFrame) -> DataFrame:
     """Atom 1.0 entries as raw entries; the first alternate link wins."""
     alternate = F.filter("link", lambda x: (F.coalesce(x["_rel"], F.lit("alternate")) == "alternate") & x["_href"].isNotNull())
@@ -117,7 +124,7 @@ def atom_fields(entries: DataFrame) -> DataFrame:
     return entries.select(
         F.col("file").alias("feed_file"), "title", link.alias("link"),
         F.when(F.coalesce(ident, F.lit("")) != "", ident).otherwise(link).alias("feed_item_id"),
-        F.col("author.name").alias("publisher"), F.coalesce("summary", "content").alias("excerpt"),
+        F.col("author.name").alias("publisher"), F.coalesce(atom_text("summary"), atom_text("content")).alias("excerpt"),
         offset_instant(F.col("published")).alias("published"), offset_instant(F.col("updated")).alias("updated"),
     )
 
