@@ -6,10 +6,12 @@ common table expression by the comparison queries.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.session import pin_utc
+from barloom.session import checkpoint_folder, pin_utc
 
 TIE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, price"
 
@@ -18,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A fresh place in the shared folder."""
+    return f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def bars_from_lineitem(spark: SparkSession, sf_dir: str, symbol: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         F.col(symbol).cast("string").alias("symbol"),

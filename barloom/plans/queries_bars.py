@@ -7,24 +7,18 @@ from pyspark.sql import functions as F
 from barloom.functions import times
 from barloom.operators import adjust as ad
 from barloom.operators import quality as ql
-from barloom.plans.fixtures import DAILY_SQL, HOURLY_SQL, SUPPLIER_SQL, bars_daily, bars_hourly, bars_supplier, table
+from barloom.plans.fixtures import DAILY_SQL, HOURLY_SQL, SUPPLIER_SQL, bars_daily, bars_hourly, bars_supplier, folder, table
 from barloom.plans.queries_ledger import to_local_sql, to_utc_sql
 from barloom.plans.queries_study import HORIZONS, STUDY, TO_ROWS, study_rows
 from barloom.plans.registry import clock, clock_sql, query, rounded, rounded_sql
 from barloom.plans import study as st
 from barloom.schemas import SERIES_KEY
-from barloom.session import checkpoint_folder, materialize
+from barloom.session import materialize
 from barloom.sources import bars as sb
 
 TS = clock_sql("ts") + " AS ts"
 
 
-def folder(spark, label: str) -> str:
-    import uuid
-
-    return f"{checkpoint_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def day_number(ts):
     return F.dayofyear(ts)
 

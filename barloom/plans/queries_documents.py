@@ -14,8 +14,7 @@ from barloom.operators import documents as dc
 from barloom.operators import exposure as ex
 from barloom.operators import textaudit as ta
 from barloom.operators.scanner import normalize_symbol, symbol_ok
-from barloom.plans.fixtures import table
-from barloom.plans.queries_bars import folder
+from barloom.plans.fixtures import folder, table
 from barloom.plans.registry import clock, clock_sql, query
 from barloom.session import materialize
 from barloom.sources import records as rc

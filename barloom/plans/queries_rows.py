@@ -18,12 +18,12 @@ from barloom.operators.outcomes import measure_forward
 from barloom.operators.quality import implausible, normalize_bars
 from barloom.operators.runs import episodes
 from barloom.operators.scanner import rank_order
+from barloom.plans import diagnostics as dg
 from barloom.plans import study as st
-from barloom.plans.fixtures import DAILY_SQL, as_bars, bars_daily, table
-from barloom.plans.queries_bars import folder
+from barloom.plans.fixtures import DAILY_SQL, as_bars, bars_daily, folder, table
 from barloom.plans.queries_features import SCAN_SQL, scan_suppliers
-from barloom.plans.queries_study import STUDY, study_rows
-from barloom.plans.registry import clock, clock_sql, query, rounded, rounded_sql
+from barloom.plans.queries_study import HORIZONS, STUDY, study_rows
+from barloom.plans.registry import SQL, clock, clock_sql, query, rounded, rounded_sql
 from barloom.plans.sql_steps import FRAMED, MEASURED, OBSERVED, WILDER, steps
 from barloom.session import materialize
 from barloom.sources import bars as sb
@@ -234,6 +234,34 @@ def summary_table(spark, sf):
     )
 
 
+@query(
+    "study_sinks",
+    f"""SELECT 'episodes' AS row_type, count(*) AS rows, CAST(sum(length) AS BIGINT) AS total, CAST({len(sb.episode_columns(HORIZONS))} AS INT) AS columns FROM ({SQL["state_episodes"]})
+UNION ALL SELECT 'episode_summary', count(*), CAST(sum(observations) AS BIGINT), {len(sb.diagnostic_columns(HORIZONS))} FROM ({SQL["episode_summary"]})
+UNION ALL SELECT 'crossover', count(*), CAST(sum(bars_since_previous_cross) AS BIGINT), {len(sb.diagnostic_columns(HORIZONS))} FROM ({SQL["crossover_events"]})""",
+)
+def study_sinks(spark, sf):
+    """Episodes and diagnostics in the fixed columns of their files, written and read back."""
+    rows = study_rows(spark, sf)
+    runs = materialize(dg.study_episodes(rows), "episodes")
+    identities = [(h.hypothesis_id, h.version, h.fingerprint) for h in STUDY.hypotheses]
+    crosses = dg.crossover_events(rows).withColumnRenamed("rows_since_previous", "bars_since_previous_cross").drop("outcomes")
+    tables = {
+        "episodes": sb.episode_table(runs, identities, HORIZONS),
+        "diagnostics": sb.diagnostic_table({"episode_summary": dg.episode_rows(runs).withColumnRenamed("observations", "count"), "crossover": crosses}, HORIZONS),
+    }
+    out = []
+    for name, laid in tables.items():
+        path = folder(spark, name)
+        sb.write_study_csv(laid, path)
+        back = spark.read.schema(laid.schema).option("header", "true").option("enforceSchema", "false").csv(path)
+        kind = F.lit("episodes") if name == "episodes" else F.col("row_type")
+        size = F.col("length") if name == "episodes" else F.coalesce("count", "bars_since_previous_cross")
+        out.append(back.groupBy(kind.alias("row_type")).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(size.cast("bigint")).alias("total"), F.lit(len(back.columns)).alias("columns")))
+    return out[0].unionByName(out[1])
+
+
 @query(
     "missed_sessions",
     f"WITH {DAILY_SQL} SELECT symbol, count(*) AS sessions FROM bars WHERE dayofyear(ts) % 9 IN (1, 2) GROUP BY symbol",

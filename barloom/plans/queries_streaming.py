@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.ledger import new_outcomes, track
 from barloom.operators.outcomes import SPECS
-from barloom.plans.fixtures import DAILY_SQL, bars_daily, table
-from barloom.plans.queries_bars import folder
+from barloom.plans.fixtures import DAILY_SQL, bars_daily, folder, table
 from barloom.plans.queries_documents import ITEM, JUDGED_SQL, document_versions
 from barloom.plans.queries_ledger import TO_CLAIMS, doy_sql, day_of_year, ledger_claims, new_york_bars
 from barloom.plans.registry import query

@@ -174,17 +174,18 @@ def evaluation_summary(spark, sf):
 
 @query(
     "study_windows",
-    f"""WITH {DAILY_SQL}, c AS (SELECT *, abs(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1.0) AS ch FROM bars)
+    f"""WITH {DAILY_SQL}, c AS (SELECT *, abs(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1.0) AS ch FROM bars WHERE symbol <> 'R' OR ts >= '1995-12-01')
 SELECT symbol, count(*) AS bars_fetched, count(*) FILTER (WHERE ts < '1996-01-01') AS warmup_bars,
   count(*) FILTER (WHERE ts >= '1996-01-01' AND ts < '2001-01-01') AS observation_bars,
   count(*) FILTER (WHERE ts >= '2001-01-01') AS outcome_buffer_bars, {clock_sql('min(ts)')} AS first_ts, {clock_sql('max(ts)')} AS last_ts,
   {clock_sql("min(ts) FILTER (WHERE ts >= '1996-01-01' AND ts < '2001-01-01')")} AS first_observed,
   {clock_sql("max(ts) FILTER (WHERE ts >= '1996-01-01' AND ts < '2001-01-01')")} AS last_observed,
-  {rounded_sql('max(ch)', 4)} AS max_abs_change, true AS accepted
+  {rounded_sql('max(ch)', 4)} AS max_abs_change, count(*) FILTER (WHERE ts < '1996-01-01') >= {STUDY.minimum_warmup_bars} AS accepted
 FROM c GROUP BY symbol""",
 )
 def study_windows(spark, sf):
-    bars = materialize(bars_daily(spark, sf), "bars")
+    """One symbol's history begins too late for the study."""
+    bars = materialize(bars_daily(spark, sf).filter("symbol <> 'R' or timestamp >= '1995-12-01'"), "bars")
     refused = st.study_issues(bars, STUDY).select("symbol").distinct().withColumn("accepted", F.lit(False))
     out = st.symbol_coverage(bars, STUDY).join(refused, "symbol", "left").fillna(True, ["accepted"])
     return out.select(

@@ -271,6 +271,33 @@ def in_columns(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
+def as_text(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows in a fixed column order, every value as the text of a file."""
+    laid = in_columns(rows, columns)
+    zoned = {f.name for f in laid.schema.fields if f.dataType.simpleString() == "timestamp"}
+    return laid.select(*[
+        (F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX") if c in zoned else F.col(c).cast("string")).alias(c) for c in columns])
+
+
+def diagnostic_table(parts: Mapping[str, DataFrame], horizons: Sequence[int]) -> DataFrame:
+    """The diagnostics of a study as one table: rows of each kind under its ``row_type``, in the fixed columns."""
+    columns, out = diagnostic_columns(horizons), None
+    for kind, rows in parts.items():
+        own = as_text(rows.withColumn("row_type", F.lit(kind)), columns)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def episode_table(runs: DataFrame, identities: Sequence[tuple[str, int, str]], horizons: Sequence[int]) -> DataFrame:
+    """Runs with the identity of their hypothesis and the outcomes at their start, one column per horizon."""
+    known = runs.sparkSession.createDataFrame(list(identities), "hypothesis_id string, hypothesis_version int, hypothesis_fingerprint string")
+    rows = runs.join(F.broadcast(known), "hypothesis_id", "left")
+    for h in horizons:
+        first = F.try_element_at(F.filter("start_outcomes", lambda x, h=h: x["horizon_bars"] == h), F.lit(1))
+        rows = rows.withColumns({f"start_status_h{h}": first["status"], f"start_return_h{h}": first["outcome_value"]})
+    return as_text(rows.drop("start_outcomes"), episode_columns(horizons))
+
+
 def study_table(wide: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """Observation table in the fixed column order of the study files."""
     renamed = wide.select(
