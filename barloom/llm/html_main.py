@@ -9,8 +9,10 @@ where there is one, the whole element is the content, so that short paragraphs
 stay; elsewhere short lines between two lines of a region, and a heading right
 before it, are kept. End tags that HTML lets a page omit are implied. Elements
 that are never content (menus, adverts, forms, comments and the like) are left
-out before. Where only a class or an id says so, the lines are set aside, and a region in one such element that has ``DENSE``
-characters and ``OVERRULE`` times those of the other content overrules the name.
+out before; one that is never closed ends with its list. What a class or an id names so is left out too.
+Some names can be those of an article as well (shares, a widget, a search): there the lines are set aside, and a region
+in one such element that has ``DENSE`` characters and ``OVERRULE`` times those of the other content, or all there is,
+overrules the name. Comments are never content, whatever elements hold them.
 """
 
 from __future__ import annotations
@@ -41,10 +43,17 @@ NEVER = frozenset(
 )
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar".split())
 NEVER_NAMES = frozenset(
-    "ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus respond share sharing social related "
-    "recommended newsletter subscribe subscription signup login search footer masthead topbar pagination pager widget".split()
+    "ad ads advert advertisement advertising adsense sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "newsletter subscribe subscription signup login footer masthead topbar pagination pager".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+#: names that an article's element may bear too
+DOUBTFUL = frozenset("banner promo promotion share sharing social related recommended search widget".split())
+#: elements that are never content, but end with their list where a page never closes them
+LOOSE = frozenset("nav aside header footer form dialog".split())
+LISTS = frozenset("ul ol dl menu".split())
+LOOSE_TAG = re.compile(r"<(/?)(nav|aside|header|footer|form|dialog)\b", re.I)
 CONTENT = frozenset("article main".split())
 #: an open element of these names ends where the element begins, unless one of the others lies between
 _P_ENDS = (frozenset(["p"]), frozenset("table caption td th button object template body html".split()))
@@ -72,12 +81,15 @@ Line = tuple[str, int, int, bool, int]
 class Lines(HTMLParser):
     """Collects (text, tags, container, heading, named) of every line outside the elements that are never content.
 
-    ``named`` is the number of the innermost element whose class or id is that of
+    ``named`` is the number of the innermost element whose class or id may be that of
     something that is not content, 0 outside of these.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, html: str = "") -> None:
         super().__init__(convert_charrefs=True)
+        self.loose = never_closed(html)
+        self.seen: dict[str, int] = {}
+        self.hanging: set[int] = set()  # numbers in ``open`` of elements that are never closed
         self.lines: list[Line] = []
         self.open: list[tuple[str, bool, int, int]] = []  # (name, left out, container, named)
         self.text: list[str] = []
@@ -106,14 +118,21 @@ class Lines(HTMLParser):
                 return True
         return False
 
-    def named(self, tag: str, attributes: list[tuple[str, str | None]]) -> bool:
-        """Whether a whole token of the class or id, or its leading part, names what is never content."""
-        if tag in ("html", "body", *CONTENT):
-            return False
-        return any(
-            x.lower() in NEVER_NAMES or SPLIT_NAME.split(x)[0].lower() in NEVER_NAMES
-            for key, value in attributes if key in ("class", "id") and value for x in value.split()
-        )
+    def named(self, tag: str, attributes: list[tuple[str, str | None]]) -> frozenset[str]:
+        """Names of what is no content among the whole tokens of class and id and their leading parts."""
+        if tag in ("html", "body"):
+            return frozenset()
+        tokens = [x for key, value in attributes if key in ("class", "id") and value for x in value.split()]
+        if tag in CONTENT:  # an article may be open to comments, but may also be one
+            return frozenset(x.lower() for x in tokens) & COMMENTS
+        return frozenset(y.lower() for x in tokens for y in (x, SPLIT_NAME.split(x)[0])) & (NEVER_NAMES | COMMENTS | DOUBTFUL)
+
+    def cut(self, k: int) -> None:
+        del self.open[k:]
+        self.hanging = {x for x in self.hanging if x < k}
+
+    def in_comments(self) -> bool:
+        return any(name == "#comments" for name, *_ in self.open)
 
     def end_implied(self, names: frozenset[str], stops: frozenset[str]) -> None:
         """End the outermost open element of these names that lies inside the innermost of the stops."""
@@ -124,7 +143,7 @@ class Lines(HTMLParser):
             elif self.open[k][0] in stops:
                 break
         if found is not None:
-            del self.open[found:]
+            self.cut(found)
 
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -133,23 +152,32 @@ class Lines(HTMLParser):
                 self.end_implied(*IMPLIED[tag])
             if tag in ENDS_P:
                 self.end_implied(*_P_ENDS)
+            if len(self.open) - 1 in self.hanging and tag not in LISTS and tag not in LOOSE:
+                self.cut(len(self.open) - 1)
         if self.open and self.open[-1][0] == "head" and tag not in IN_HEAD:
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
         if tag in VOID:
             return
         out, container, named = self.state()
-        if (out or named) and tag in CONTENT and not self.left_out(tag, attributes, 1):
+        names = self.named(tag, attributes)
+        if (out or named) and tag in CONTENT and not names and not self.in_comments() and not self.left_out(tag, attributes, 1):
             while self.open and (self.open[-1][1] or self.open[-1][3]):  # an element that was left out and never closed
-                self.open.pop()
+                self.cut(len(self.open) - 1)
             out, container, named = self.state()
+        if names & COMMENTS and not out:
+            self.open.append(("#comments", True, container, named))  # ends with the element inside it
         if not out:
-            out = self.left_out(tag, attributes, container)
-        if not out and self.named(tag, attributes):
+            out = self.left_out(tag, attributes, container) or bool(names - DOUBTFUL)
+        if not out and names:
             self.names += 1
             named = self.names
+        if tag in LOOSE:
+            self.seen[tag] = self.seen.get(tag, 0) + 1
+            if self.seen[tag] in self.loose.get(tag, ()):
+                self.hanging.add(len(self.open))
         if not out and tag in CONTENT:
             self.containers += 1
             container = self.containers
@@ -167,7 +195,10 @@ class Lines(HTMLParser):
         self.tags += 1
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                del self.open[k:]
+                k -= k > 0 and self.open[k - 1][0] == "#comments"
+                self.cut(k)
+                if tag in LISTS and k - 1 in self.hanging:
+                    self.cut(k - 1)
                 break
             if self.open[k][0] in ("body", "html"):
                 break
@@ -179,6 +210,20 @@ class Lines(HTMLParser):
             self.text.append(data)
 
 
+def never_closed(html: str) -> dict[str, set[int]]:
+    """Which of the elements that end with their list have no end tag, counted by name from 1."""
+    count: dict[str, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in LOOSE_TAG.finditer(html):
+        name = m.group(2).lower()
+        if not m.group(1):
+            count[name] = count.get(name, 0) + 1
+            open_.setdefault(name, []).append(count[name])
+        elif open_.get(name):
+            open_[name].pop()
+    return {name: set(left) for name, left in open_.items() if left}
+
+
 def smoothed(values: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np.ndarray:
     """Gaussian mean over neighbours; weights beyond either end are left out."""
     weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
@@ -195,7 +240,8 @@ def chosen(lines: list[Line]) -> list[str]:
             named.setdefault(line[4], []).append(line)
     sizes = {k: sum(map(len, regions(own))) for k, own in named.items()}
     largest = max(sizes, key=sizes.__getitem__, default=0)
-    if largest and sizes[largest] >= max(DENSE, OVERRULE * sum(map(len, found))):
+    others = sum(map(len, found))
+    if largest and sizes[largest] >= (max(DENSE, OVERRULE * others) if others else 1):
         return regions([line for line in lines if line[4] in (0, largest)])
     return found
 
@@ -233,7 +279,7 @@ def regions(lines: list[Line]) -> list[str]:
 
 def main_text(html: str | None) -> str:
     """The main text of a page, its blocks joined by line feeds; empty for a null, an empty page or one without content."""
-    parser = Lines()
+    parser = Lines(html or "")
     parser.feed(html or "")
     parser.close()
     parser.line()

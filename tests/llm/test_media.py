@@ -150,3 +150,37 @@ def test_pages_table(spark):
     got = sorted(((r.page_id or 0), r.text[:5], r.n_chars) for r in html_main.extract(pages).collect())
     assert got == [(0, "", 0), (1, "a b c", 5), (1, "a b c", 5), (3, "ééééé", 10**5)]
     assert html_main.extract(pages.where("false")).count() == 0
+
+
+REPLIES = "I think this is quite wrong and somebody should say so at once. "
+
+
+@pytest.mark.parametrize("html", [
+    f'<body><div class="s"><h1>Head line</h1>{BODY}</div><div class="comments">' + f"<div class=c><p>{REPLIES * 5}</p></div>" * 6 + "</div></body>",
+    f"<body><article><h1>Head line</h1>{BODY}</article><ol id='commentlist'>" + f"<li><article class='x'><p>{REPLIES * 9}</p></article>" * 6 + "</ol></body>",
+    f"<body><article class='post comments-open'><h1>Head line</h1>{BODY}</article>" + f"<article class='comment'><p>{REPLIES * 9}</p></article>" * 3,
+    f"<body><nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul><h1>Head line</h1>{BODY}</body>",
+    f"<body><nav><ul><li>Home</ul><p>{REPLIES}</p></nav><h1>Head line</h1>{BODY}</body>",
+    f"<body><div id='cookie-consent'><p>{REPLIES * 30}</p></div><div><h1>Head line</h1>{BODY}</div></body>",
+])
+def test_comments_consent_and_open_menus(html):
+    assert html_main.main_text(html).split("\n") == STORY
+
+
+def test_a_short_page_under_a_doubtful_name():
+    text = "The price of the share rose by two per cent on Monday, the report of the company says."
+    assert html_main.main_text(f"<body><div class='share-price-report'><p>{text}</p></div></body>") == text
+    assert html_main.main_text(f"<body><div class='comments'><p>{text}</p></div></body>") == ""
+
+
+def test_made_up_pages_give_back_their_article():
+    rng = random.Random(11)
+    sentence = lambda n: " ".join(rng.choice("the harbour committee price of report new line was said".split()) for _ in range(n)).capitalize() + "."
+    for _ in range(150):
+        blocks = [("h1", sentence(4))] + [(rng.choice(["p", "p", "p", "blockquote", "h2"]), sentence(rng.randint(25, 60))) for _ in range(rng.randint(3, 8))]
+        inner = "".join(f"<{tag}>{text}" + ("" if tag == "p" and rng.random() < 0.4 else f"</{tag}>") for tag, text in blocks)
+        body = rng.choice(["<article>%s</article>", "<main>%s</main>", "<div class='entry'>%s</div>", "<article class='post related'>%s</article>"]) % inner
+        menu = "<nav><ul>" + "".join(f"<li><a href='/{k}'>{sentence(2)}</a>" for k in range(5)) + "</ul>" + ("</nav>" if rng.random() < 0.6 else "")
+        side = rng.choice(["<aside>%s</aside>", "<div class='sidebar'>%s</div>", "<div class='ad'>%s</div>", "<div id='comments'>%s</div>", "<form>%s</form>"]) % f"<p>{sentence(40)}</p>"
+        page = f"<html><head><title>x</title><script>var a = '<p>';</script></head><body>{menu}{body}{side}<footer><p>{sentence(12)}</p></footer></body></html>"
+        assert html_main.main_text(page) == "\n".join(text for _, text in blocks), page
