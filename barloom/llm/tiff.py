@@ -3,8 +3,9 @@
 The reader follows the chain of image directories and decodes uncompressed,
 PackBits, LZW and deflate strips or tiles of 8-bit samples, with or without
 horizontal differencing. The writer stores bytes losslessly as gray pages, 64
-samples wide, and takes the form that suits the size: PackBits and LZW for
-short payloads, deflated strips for most, tiles for large ones.
+samples wide. A page's own checksum draws its form, whatever its size: one page
+in sixteen by LZW with differencing, four by PackBits, four in deflated and
+differenced tiles, one uncompressed, the rest in deflated strips.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType
 
 #: samples of a row, bytes of a page, rows of a strip and of a tile
-WIDE, PAGE, STRIP, TILE = 64, 1 << 20, 256, 256
-#: largest payloads that are stored by PackBits, by LZW and in strips
-SHORT, MIDDLE, LARGE = 256, 512, 1 << 16
+WIDE, PAGE, STRIP, TILE = 64, 1 << 16, 256, 256
+#: bytes of samples that are handed on at once
+BATCH = 1 << 22
 
 #: fixed values of the format
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
@@ -234,14 +235,26 @@ def pages_of(content: bytes) -> Iterator[Page]:
     return (page(content, tags) for tags in directories(content))
 
 
+def form(content: bytes) -> tuple[int, int, bool]:
+    """(compression, predictor, tiled) of a page with these samples."""
+    drawn = zlib.crc32(content) % 16
+    if drawn == 0:
+        return LZW, 2, False
+    if drawn <= 4:
+        return PACKBITS, 1, False
+    if drawn <= 8:
+        return DEFLATE, 2, True
+    return (NONE, 1, False) if drawn == 9 else (DEFLATE, 1, False)
+
+
+PACK = {NONE: bytes, PACKBITS: packbits, LZW: lzw, DEFLATE: lambda x: zlib.compress(x, 1)}
+
+
 def written(payload: bytes) -> bytes:
     """A file that holds the payload, whose length is a multiple of WIDE."""
-    compression = PACKBITS if len(payload) <= SHORT else LZW if len(payload) <= MIDDLE else DEFLATE
-    tiled = len(payload) > LARGE
-    predictor = 2 if compression == LZW or tiled else 1
-    pack = {PACKBITS: packbits, LZW: lzw, DEFLATE: lambda x: zlib.compress(x, 1)}[compression]
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for begin in range(0, len(payload), PAGE):
+        compression, predictor, tiled = form(payload[begin : begin + PAGE])
         rows = np.frombuffer(payload, np.uint8)[begin : begin + PAGE].reshape(-1, WIDE)
         height, high = len(rows), TILE if tiled else min(STRIP, len(rows))
         if predictor == 2:
@@ -251,7 +264,7 @@ def written(payload: bytes) -> bytes:
             part = rows[top : top + high]
             if tiled and len(part) < high:
                 part = np.concatenate([part, np.zeros((high - len(part), WIDE), np.uint8)])
-            packed = pack(part.tobytes())
+            packed = PACK[compression](part.tobytes())
             parts.append((len(out), len(packed)))
             out += packed
         places = []
@@ -292,56 +305,99 @@ def pages(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
     """
     names = [x.split()[0] for x in PAGES.split(", ")]
 
+    types = (pa.int32(),) * 6 + (pa.binary(), pa.string())
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found: list[dict] = []
+            whose: list[int] = []
+            held = 0
+
+            def out(batch=batch) -> pa.RecordBatch:
+                columns = [pa.array([x[n] for x in found], t) for n, t in zip(names, types, strict=True)]
+                return pa.record_batch([batch.column(0).take(pa.array(whose)), *columns], [batch.schema.names[0], *names])
+
             for k, content in enumerate(batch.column(1)):
                 if not content.is_valid:
                     continue
-                found: list[dict] = []
+                number = 0
                 try:
                     for p in pages_of(content.as_py()):
-                        found.append(p._asdict() | {"page": len(found), "error": None})
+                        found.append(p._asdict() | {"page": number, "error": None})
+                        whose.append(k)
+                        number, held = number + 1, held + len(p.pixels)
+                        if held > BATCH:
+                            yield out()
+                            found, whose, held = [], [], 0
                 except (ValueError, struct.error, zlib.error, IndexError, KeyError) as broken:
-                    found.append(dict.fromkeys(names) | {"page": len(found), "error": str(broken) or type(broken).__name__})
-                types = (pa.int32(),) * 6 + (pa.binary(), pa.string())
-                columns = [pa.array([x[n] for x in found], t) for n, t in zip(names, types, strict=True)]
-                yield pa.record_batch([pa.repeat(batch.column(0)[k], len(found)), *columns], [batch.schema.names[0], *names])
+                    found.append(dict.fromkeys(names) | {"page": number, "error": str(broken) or type(broken).__name__})
+                    whose.append(k)
+            if found:
+                yield out()
 
     kind = files.schema[id_col].dataType.simpleString()
     return files.select(id_col, content_col).mapInArrow(rows, f"`{id_col}` {kind}, {PAGES}")
 
 
-FEATURES = StructType([
-    StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()),
-    StructField("media_bytes", LongType()), StructField("media_sha256", StringType()), StructField("feature", StringType()),
-])
+DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def features_of(content: bytes) -> dict:
-    """What is computed from a stored file's samples: hashes, and pages, size, sum, distinct values and the 64 bits of bands above the mean."""
-    found = list(pages_of(content))
-    payload = b"".join(p.pixels for p in found)
+def features_of(sizes: list[tuple[int, int]], payload: bytes) -> dict:
+    """What is computed from the samples read back: hashes, and pages, size, sum, distinct values and the 64 bits of bands above the mean."""
     values = np.frombuffer(payload, np.uint8)
     edges = np.arange(64) * len(values) // 64
     bands = np.add.reduceat(values.astype(np.int64), edges) / np.diff(np.append(edges, len(values)))
     bits = int("".join("1" if x else "0" for x in bands > values.mean()), 2)
     return {
         "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]),
-        "media_bytes": len(content), "media_sha256": hashlib.sha256(content).hexdigest(),
-        "feature": f"{len(found)}:{found[0].width}x{sum(p.height for p in found)}:{int(values.sum())}:{len(np.unique(values))}:{bits:016x}",
+        "feature": f"{len(sizes)}:{sizes[0][0]}x{sum(h for _, h in sizes)}:{int(values.sum())}:{len(np.unique(values))}:{bits:016x}",
     }
 
 
-@arrow_udf(FEATURES)
-def features(files: pa.Array) -> pa.Array:
-    return pa.array([features_of(x.as_py()) for x in files], pa.struct([
-        (f.name, pa.int64() if isinstance(f.dataType, LongType) else pa.string()) for f in FEATURES
-    ]))
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per file from its page rows, which follow one another; the pages of one file are held."""
+    names = [x.split()[0] for x in DIGEST.split(", ")]
+    now, sizes, pixels = None, [], []
+
+    def done() -> dict:
+        return {k: now[k] for k in ("doc_id", "n_bytes", "media_bytes", "media_sha256")} | features_of(sizes, b"".join(pixels))
+
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        types = [pa.string() if x.split()[1] == "string" else pa.int64() for x in DIGEST.split(", ")]
+        return pa.record_batch([pa.array([r[n] for r in rows], kind) for n, kind in zip(names, types, strict=True)], names)
+
+    for batch in batches:
+        rows = []
+        columns = [batch.column(k) for k in range(len(batch.schema.names))]
+        places = {name: k for k, name in enumerate(batch.schema.names)}
+        for i in range(len(batch)):
+            broken = columns[places["error"]][i].as_py()
+            if broken:
+                raise ValueError(f"a page cannot be read back: {broken}")
+            own = columns[0][i].as_py()
+            if now is None or own["file"] != now["file"]:
+                if now is not None:
+                    rows.append(done())
+                now, sizes, pixels = own, [], []
+            sizes.append((columns[places["width"]][i].as_py(), columns[places["height"]][i].as_py()))
+            pixels.append(columns[places["pixels"]][i].as_py())
+        if rows:
+            yield batch_of(rows)
+    if now is not None:
+        yield batch_of([done()])
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every whole text as a file, read it back and return its features; null and empty texts are one row of zeros."""
-    return docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"),
-        features(stored(F.col(text_col))).alias("f"),
-    ).select("doc_id", "n_bytes", "f.*")
+    """Store every whole text as a file, read its pages back and return their features; null and empty texts are one row of zeros.
+
+    The page rows of a file stand one after another in the partition of its
+    document, so they are gathered without a shuffle.
+    """
+    files = docs.select(
+        F.monotonically_increasing_id().alias("file"), F.col(id_col).cast("bigint").alias("doc_id"),
+        F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), stored(F.col(text_col)).alias("content"),
+    )
+    named = files.select(
+        F.struct("file", "doc_id", "n_bytes", F.octet_length("content").cast("long").alias("media_bytes"), F.sha2("content", 256).alias("media_sha256")).alias("id"),
+        "content")
+    return pages(named, "id", "content").mapInArrow(_digests, DIGEST)
