@@ -41,11 +41,11 @@ WORDS, PERCENT = 4, 85
 RARE, FREQUENT, EVIDENCE = 32, 1 << 20, 4
 ROUNDS = 2
 #: parts of a list that a pivot meets apart, and members of a block of the last comparison
-SALTS, MEMBERS = 16, 256
+SALTS, MEMBERS = 16, 8192
 #: 64-bit words of a set's parity bitmap
 BITMAP = 8
 #: shingles counted at once by a task, and their bits that are counted
-FLUSH, BITS = 1 << 21, 40
+FLUSH, BITS = 1 << 20, 40
 NO_FREQUENT = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 PROFILE = StructType([StructField(x, LongType()) for x in ("n_shingles", "k1", "k2")])
