@@ -35,7 +35,7 @@ from barloom.llm.words import LOWER, MULTIPLIER, SEPARATOR, Spans, chunks, mixed
 #: bytes of context, at most 7; the divisor and the remainder of the documents held out
 DEPTH, FOLDS, HELD_OUT = 5, 7, 2
 #: bytes of text in a block, bytes of text per bucket, grams whose subtrees are built at once
-BLOCK, BUCKET, SLICE = 1 << 23, 1 << 24, 1 << 18
+BLOCK, BUCKET, SLICE = 1 << 22, 1 << 24, 1 << 18
 END = 0xFF  # occurs in no UTF-8 text
 #: sums of logarithms over buckets are exact in these fractions
 FRACTION = 1 << 16

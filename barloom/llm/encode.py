@@ -6,8 +6,9 @@ distinct stretch is encoded once by the tokenizers
 library and looked up afterwards. Where white space is anything but a single
 blank or line feed between visible characters, the cut is left out, and a text
 with unusual white space or control characters goes through the library whole.
-The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``,
-strings of special tokens being ordinary text. The store of known stretches is
+The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)`` as the
+file sets it up: a text that holds the string of an added token is one of those
+that go through whole. The store of known stretches is
 bounded and is per Python worker.
 """
 
@@ -42,7 +43,6 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
     found.no_padding()
     found.no_truncation()
     return found
@@ -54,6 +54,8 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer(path)
         self.between = self.divider()
+        #: added tokens by their text, in lower case since a normalizer may come first
+        self.added = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.clear()
 
     def clear(self) -> None:
@@ -139,6 +141,11 @@ class Encoder:
             for row in range(rows):
                 piece = raw[offsets[row] : offsets[row + 1]]
                 odd[row] = UNUSUAL.search(piece.decode("utf-8", "surrogatepass")) is not None
+        low = raw.lower()
+        if any(x in low for x in self.added):
+            for row in np.flatnonzero(~odd).tolist():
+                piece = raw[offsets[row] : offsets[row + 1]].lower()
+                odd[row] = any(x in piece for x in self.added)
         aside = np.repeat(odd, np.diff(first)) | (ends - starts > LONGEST)
         kept = np.flatnonzero(~aside)
         distinct, sample = np.unique(keys[kept], return_index=True)

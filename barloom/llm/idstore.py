@@ -29,6 +29,8 @@ HEAD = struct.Struct("<4sB32sI")
 #: documents that the dictionary is trained on at most, its bytes, and bytes and documents of one container
 SAMPLE, DICTIONARY, SHARD, DOCUMENTS = 2000, 1 << 16, 4 << 20, 20_000
 LEVEL = 3
+#: bytes of a sampled document's ids that the dictionary is trained on
+CLIP = 1 << 14
 
 SHARDS = "part int, seq int, before bigint, n_docs int, n_ids bigint, dictionary string, content binary"
 
@@ -38,23 +40,27 @@ def width(path: str) -> int:
 
 
 def trained(docs: DataFrame, path: str, end: int, sample: int = SAMPLE, size: int = DICTIONARY) -> bytes:
-    """A dictionary from at most ``sample`` documents chosen by a hash of their ids; empty where there is too little to train on."""
+    """A dictionary from some ``sample`` documents whose ids fall under a hash threshold; empty where there is too little to train on.
+
+    The threshold alone chooses, so every part of the table is met alike and
+    reruns agree. Of a long document the first ``CLIP`` bytes of ids are learned
+    from, which bounds what the one training task holds; all are compressed.
+    """
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, samples = f"<u{width(path)}", []
         for batch in batches:
             for _, ids, begins in encoded(batch.column(0), path):
-                samples += [np.append(ids[begins[i] : begins[i + 1]], end).astype(kind).tobytes() for i in range(len(begins) - 1)]
+                samples += [np.append(ids[begins[i] : begins[i + 1]], end).astype(kind).tobytes()[:CLIP] for i in range(len(begins) - 1)]
         try:
             found = zstandard.train_dictionary(size, samples).as_bytes() if samples else b""
         except zstandard.ZstdError:
             found = b""
         yield pa.record_batch([pa.array([found], pa.binary())], ["dictionary"])
 
-    # about twice the sample by a hash of the ids, of which the first are taken: no task sees more texts than that
-    parts = 1_000_000
-    share = max(1, min(parts, 2 * sample * parts // max(1, docs.count())))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(parts)) < share).limit(sample)
-    rows = chosen.select("text").coalesce(1).mapInArrow(train, "dictionary binary").collect()  # one value of at most DICTIONARY bytes
+    parts = 1 << 30
+    share = min(parts, -(-sample * parts // max(1, docs.count())))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(parts)) < share)
+    rows = chosen.select("text").repartition(1).mapInArrow(train, "dictionary binary").collect()  # one value of at most DICTIONARY bytes
     return bytes(rows[0][0]) if rows else b""
 
 

@@ -21,6 +21,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from barloom.llm.encode import encoded
 from barloom.llm.shared import written
@@ -245,10 +246,12 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Rows with a column ``length`` and (doc_id, piece, start), with their sequence_id and offset added.
 
     Lengths are between 1 and the capacity. Equal rows get places of their own,
-    whatever their ids; an empty table stays empty.
+    whatever their ids; an empty table stays empty. Other columns stay, whatever
+    their names; a sequence_id and an offset of before are replaced.
     """
     spark = rows.sparkSession
-    rows = written(rows, "pieces")
+    rows = rows.drop("sequence_id", "offset")
+    rows = written(rows.select(F.struct(*[F.col(f"`{x}`") for x in rows.columns]).alias("row"), "length", "doc_id", "piece", "start"), "pieces")
     by_length = rows.groupBy("length").agg(F.count("*").alias("of_length"))
     counts = {r.length: r.of_length for r in by_length.collect()}  # at most one row per length up to the capacity
     starts, first, each, sequence, offset = [], [], [], [], []
@@ -274,10 +277,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             length, rank = (batch.column(x).to_numpy() for x in ("length", "rank"))
             at = np.searchsorted(starts, (length << 44) + rank, "right") - 1
             turn = rank - first[at]
-            keep = batch.select([x for x in batch.schema.names if x != "rank"])
             yield pa.record_batch(
-                [*keep.columns, pa.array(sequence[at] + turn // each[at]), pa.array(offset[at] + turn % each[at] * length)],
-                [*keep.schema.names, "sequence_id", "offset"],
+                [batch.column("row"), pa.array(sequence[at] + turn // each[at]), pa.array(offset[at] + turn % each[at] * length)],
+                ["row", "sequence_id", "offset"],
             )
 
     salted = rows.join(F.broadcast(by_length), "length").withColumn(
@@ -287,7 +289,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
         .select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     )
-    ranked = salted.withColumn("own", F.row_number().over(cell.orderBy(*[x for x in rows.columns if x != "length"])))
+    ranked = salted.withColumn("own", F.row_number().over(cell.orderBy("doc_id", "piece", "start")))
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own") - 1)
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", sequence_id bigint, offset bigint"
-    return ranked.select(*[F.col(f"`{x}`") for x in rows.columns], F.col("rank").cast("long").alias("rank")).mapInArrow(placed, schema)
+    schema = StructType([rows.schema["row"], StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    dealt = ranked.select("row", "length", F.col("rank").cast("long").alias("rank")).mapInArrow(placed, schema)
+    return dealt.select("row.*", "sequence_id", "offset")

@@ -75,13 +75,17 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def given(sections: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of sections from an array column of structs (start, end)."""
+    """(row, start, end) of sections from an array column of structs (start, end); null ones and those without a border are none, overlapping ones are refused."""
     rows, starts, ends = [], [], []
     for k, own in enumerate(sections.to_pylist()):
-        for x in sorted(own or [], key=lambda x: (x["start"], x["end"])):
+        before = 0
+        for start, end in sorted((x["start"], x["end"]) for x in own or [] if x and x["start"] is not None and x["end"] is not None):
+            if start < before or end < start:
+                raise ValueError(f"sections must lie apart, but one begins at {start} and the one before it ends at {before}")
             rows.append(k)
-            starts.append(x["start"])
-            ends.append(x["end"])
+            starts.append(start)
+            ends.append(end)
+            before = end
     return np.array(rows, np.int64), np.array(starts, np.int64), np.array(ends, np.int64)
 
 
@@ -115,7 +119,7 @@ def attributed(docs: DataFrame, path: str, rule: str = "first", id_col: str = "d
     """(doc_id, section, start, end, n_tokens, n_crossing): one row per section of every document, numbered from 0 by position.
 
     Sections are the lines of the text, or an array column of structs with
-    ``start`` and ``end`` (code points, end exclusive, apart from each other).
+    ``start`` and ``end`` (code points, end exclusive); null sections are none, overlapping ones end the job.
     A null text is empty; a document with tokens in no section has one more row,
     section -1. ``n_crossing`` counts allotted tokens that also lie elsewhere.
     Repeated rows are counted each; other columns are not looked at.

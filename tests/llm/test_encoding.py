@@ -4,19 +4,25 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from barloom.llm import idstore, packing, tokens
-from barloom.llm.encode import encoded, tokenizer
+from barloom.llm.encode import encoded
 
 BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 TEXTS = [
-    "a  b\n\n c's", "x y z", " lead", "trail ", "", "\n", "a\tb c", "Σας ΣΑΣ é ́x", "<|endoftext|> <|startoftext|>x", None, "a" * 200 + " b",
+    "a  b\n\n c's", "x y z", " lead", "trail ", "", "\n", "a\tb c", "Σας ΣΑΣ é ́x", "<|endoftext|> <|startoftext|>x", "a<|endoftext|>b.", "<|ENDOFTEXT|>", "<| endoftext |>", None, "a" * 200 + " b",
     "it's  we'll\r\nok", "x=\"1\". a.b,c2 é.×.÷. ñ1 don't's ~ a~b  ~", "a. ~ b ", "\n\na", "~", "日本 語 テ　ス ト", "x ́ y", "a\x1c b", "ÉCOLE. Straße, naïve",
     "the same words and the same words again. " * 300, "👩‍👩‍👧 ok👍.", "﻿bom", "a b", "1234567 8.9e10%",
 ]
 SCHEMA = "doc_id bigint, text string, length string, ids string"
 
 
+def tokenizer(path):
+    """The library's own, as the file sets it up."""
+    return Tokenizer.from_file(path)
+
+
 def ids_of(text, path, end=None):
     found = tokenizer(path).encode(text or "", add_special_tokens=False).ids
     return found + ([] if end is None else [end])
@@ -195,3 +201,43 @@ def test_given_sections_and_tokens_outside(spark):
     assert got[1, 0] + got[1, -1] == n and got[2, -1] == len(ids_of("alpha", BYTE)) and (3, 0) not in got
     with pytest.raises(ValueError):
         tokens.attributed(docs, BYTE, "half")
+
+
+def test_null_and_overlapping_sections(spark):
+    schema = "doc_id bigint, text string, parts array<struct<start: int, end: int>>"
+    docs = spark.createDataFrame([(1, "one two three", [None, (0, 3), (None, 2), (4, None), (3, 7)]), (2, "x", None)], schema)
+    got = {(r.doc_id, r.section): (r.start, r.end) for r in tokens.attributed(docs, BYTE, sections_col="parts").collect()}
+    assert got[1, 0] == (0, 3) and got[1, 1] == (3, 7) and (1, 2) not in got and (1, -1) in got and (2, -1) in got
+    with pytest.raises(Exception, match="sections must lie apart"):
+        tokens.attributed(spark.createDataFrame([(1, "one two", [(0, 5), (2, 3)])], schema), BYTE, sections_col="parts").collect()
+
+
+def test_packing_leaves_columns_of_any_name(spark, shared):
+    names = ("salt", "rank", "before", "sequence_id", "n", "own", "of_length")
+    rows = [(k, 0, 0, 1 + k % 5, *[k] * len(names)) for k in range(40)]
+    schema = "doc_id bigint, piece int, start bigint, length bigint, " + ", ".join(f"{x} bigint" for x in names)
+    out = packing.pack(spark.createDataFrame(rows, schema), capacity=8).collect()
+    assert len(out) == 40 and all(r.salt == r["rank"] == r.before == r.n == r.own == r.of_length == r.doc_id for r in out)
+    filled = {}
+    for r in out:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 8
+
+
+def test_the_dictionary_learns_from_all_parts_of_a_table(spark, shared, monkeypatch):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id) as text").repartitionByRange(16, "doc_id")
+    seen = []
+    plain = type(docs).mapInArrow
+
+    def spied(self, *args, **options):
+        seen.append([int(r.text.split()[1]) for r in self.collect()])
+        return plain(self, *args, **options)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", spied)
+    idstore.trained(docs, WORD, 1, sample=400)
+    assert 300 < len(seen[0]) < 500 and min(seen[0]) < 100 and max(seen[0]) > 3900
