@@ -248,8 +248,9 @@ def ledger_metrics(claims: DataFrame, outcomes: DataFrame, specs: Sequence[Outco
     """Return statistics per coverage group and evaluation version, with its own coverage."""
     wanted = F.broadcast(spec_table(claims, specs))
     known = claims.select("artifact_key", *PRODUCER, "state", "source", "timestamp")
-    rows = outcomes.drop("symbol", "horizon_bars").join(wanted, "spec_fingerprint").join(known, "artifact_key")
     group = [*COVERAGE_KEY, "evaluation_version"]
+    rows = outcomes.select("artifact_key", "spec_fingerprint", "evaluation_version", "forward_return").join(wanted, "spec_fingerprint")
+    rows = rows.join(known, "artifact_key").select(*group, "forward_return", "timestamp")
     spans = [F.min("timestamp").alias("first_artifact_timestamp"), F.max("timestamp").alias("last_artifact_timestamp")]
     stats = describe(rows, group, "forward_return", extra=spans)
     base = ledger_coverage(claims, outcomes, specs).select(

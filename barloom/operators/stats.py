@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import materialize
+
 ACCURACY = 10_000
 MARGIN = 4 / ACCURACY
 BINS = 4096
@@ -53,11 +55,16 @@ def describe(
     extra: Sequence[Column] = (),
     median: str = "median_forward_return",
 ) -> DataFrame:
-    """Statistics of ``value`` per group; groups without values keep NULLs and n=0."""
+    """Statistics of ``value`` per group; groups without values keep NULLs and n=0.
+
+    ``df`` is evaluated once, into the shared folder; the passes read the keys
+    and the value from there. Callers hand over the columns that are needed.
+    """
     keys = list(keys)
     v = F.col(value)
+    df = materialize(df, "described")
     sketch = F.percentile_approx(v, F.array(F.lit(0.5 - MARGIN), F.lit(0.5 + MARGIN)), F.lit(ACCURACY))
-    first = df.groupBy(*keys).agg(*basic(v), sketch.alias("_mid"), *extra)
+    first = materialize(df.groupBy(*keys).agg(*basic(v), sketch.alias("_mid"), *extra), "basic")
     bounds = first.select(
         *keys, F.col("sample_count").alias("_n"), F.get("_mid", F.lit(0)).alias("_lo"), F.get("_mid", F.lit(1)).alias("_hi")
     ).filter("_n > 0")
@@ -71,6 +78,7 @@ def describe(
     # what lies below the bracket is bin -1; the bins of a group are few, whatever its size
     share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))
     counts = counts.withColumn("_bin", F.when(F.col("_v").isNull(), -1).otherwise(F.floor(share * BINS).cast("int")))
+    counts = materialize(counts.drop("_lo", "_hi"), "middle")
     bins = counts.groupBy(*keys, "_n", "_bin").agg(F.sum("_c").alias("_in"))
     earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = bins.withColumn("_before", F.sum("_in").over(earlier) - F.col("_in"))
