@@ -49,7 +49,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df, label: str = "table"):
+def fresh_copy(spark: SparkSession, label: str) -> str:
+    """A place for a copy in the shared folder that ``release`` removes."""
+    path = f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _COPIES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def materialize(df, label: str = "table", *partitions: str):
     """Write ``df`` once to the shared folder and read it back.
 
     For results that several later passes read: lineage is cut, the columns stay
@@ -57,15 +64,21 @@ def materialize(df, label: str = "table"):
     copies once the results built on them are no longer needed.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _COPIES.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    path = fresh_copy(spark, label)
+    df.write.parquet(path, partitionBy=list(partitions) or None)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Remove the copies that ``materialize`` has written so far and return their number."""
-    paths = _COPIES.pop(spark.sparkContext.applicationId, [])
+def copies(spark: SparkSession) -> list[str]:
+    """The copies written so far, in order."""
+    return list(_COPIES.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Remove copies that nothing will read any more, all by default, and return their number."""
+    paths = copies(spark) if paths is None else paths
+    gone = set(paths)
+    _COPIES[spark.sparkContext.applicationId] = [p for p in copies(spark) if p not in gone]
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.llm import mixing, ngram_join, packing, pii, quality
 from barloom.llm.shared import written
+from barloom.session import copies, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = len(copies(spark))
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, copies(spark)[before:-1])  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
