@@ -1,33 +1,17 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share; ``barloom.session.release`` removes them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; in a local session without one, a fresh temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and spark.sparkContext.getCheckpointDir():
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-llm-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+from barloom.session import fresh_copy, materialize
 
 
 def place(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh place in the shared folder."""
+    return fresh_copy(spark, name)
 
 
 def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = place(spark, name)
-    df.write.parquet(path, partitionBy=list(partitions) or None)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialize(df, name, *partitions)
