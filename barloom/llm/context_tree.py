@@ -121,7 +121,9 @@ class Block:
         starts = self.stops - sizes - extra + DEPTH  # of the texts' own bytes
         self.stream = np.full(int(self.stops[-1]) if len(sizes) else 0, END, np.uint8)
         offsets = np.append(0, np.cumsum(sizes))
-        self.stream[np.arange(len(data)) + np.repeat(starts - offsets[:-1], sizes)] = LOWER[data]
+        lower = LOWER[data]
+        for to, a, b in zip(starts.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            self.stream[to : to + b - a] = lower[a:b]
         for k in range(DEPTH):
             self.stream[starts - DEPTH + k] = before[:, k]
         self.starts, self.data, self.offsets = starts, data, offsets
@@ -129,10 +131,13 @@ class Block:
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """The gram of every byte that is coded, most recent byte of the context first, and the number of grams of each piece."""
         n = len(self.stream)
-        keys = np.zeros(n, np.uint64)
+        keys = self.stream.astype(np.uint64)
+        part = np.empty(max(n - DEPTH, 0), np.uint64)
         for back in range(1, DEPTH + 1):
-            keys[DEPTH:] |= self.stream[DEPTH - back : n - back].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - back))
-        keys |= self.stream
+            part[:] = self.stream[DEPTH - back : n - back]
+            part <<= np.uint64(8 * (DEPTH + 1 - back))
+            keys[DEPTH:] |= part
+        del part
         coded = np.ones(n, bool)
         for k in range(1, DEPTH + 1):
             coded[self.starts - k] = False
@@ -208,7 +213,8 @@ def _requests(block: int, bits: int, folds: int, held_out: int):
                 held = np.array([zlib.crc32(b"" if x is None else b"%d" % x) % folds == held_out for x in own])
                 texts = Block(data, sizes, last, before, held)
                 out = []
-                for kind, (keys, counts) in ((GRAMS, texts.grams()), (WORDS, texts.words())):
+                for kind, made in ((GRAMS, texts.grams), (WORDS, texts.words)):
+                    keys, counts = made()
                     distinct, n = _counted(keys, np.repeat(~held, counts))
                     order, buckets = _by_bucket(kind, distinct, bits)
                     distinct, n = distinct[order], n[order]
@@ -407,7 +413,8 @@ def _scores(bits: int, texts_learned: int):
                 data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
                 texts = Block(data, sizes, last.astype(bool), before, held.astype(bool))
                 found = {}
-                for kind, (keys, counts) in ((GRAMS, texts.grams()), (WORDS, texts.words())):
+                for kind, made in ((GRAMS, texts.grams), (WORDS, texts.words)):
+                    keys, counts = made()
                     distinct = np.unique(keys)
                     values = np.zeros(len(distinct), np.float64 if kind == GRAMS else np.int64)
                     if len(distinct):
