@@ -3,8 +3,8 @@ import random
 import pytest
 
 import corpus_pipeline
+from barloom import session
 from barloom.llm import mixing, ngram_join, pii, quality, queries
-from barloom.session import copies
 from tests.llm.test_encoding import check_packed
 
 
@@ -53,10 +53,10 @@ def test_stages_in_order_and_their_effects(spark, folder):
         else:
             check_packed(rows, 2048)
         seen[name] = len(rows)
-    before = len(copies(spark))
+    held = len(session.copies(spark))
     assert corpus_pipeline.run(spark, folder).count() == seen["best_fit"]
     # one table per stage that ends before the last, and what the last one reads, are left
-    names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in copies(spark)[before:]]
+    names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in session.copies(spark)[held:]]
     assert names == [n for n, _ in corpus_pipeline.STAGES[:-1]] + ["pieces"]
 
 
