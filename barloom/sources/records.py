@@ -136,9 +136,14 @@ def read_feed(spark: SparkSession, path: str, feed_format: str) -> DataFrame:
     return fields(rows.withColumn("file", F.input_file_name()))
 
 
-def normalize_feed(entries: DataFrame, now: Column, ipv6: bool = True) -> DataFrame:
-    """Entries as feed items with ``rejected`` set where they cannot be kept."""
-    published, updated = plausible(F.col("published"), now), plausible(F.col("updated"), now)
+def normalize_feed(entries: DataFrame, now: Column, ipv6: bool = True, read_at: Column | None = None) -> DataFrame:
+    """Entries as feed items with ``rejected`` set where they cannot be kept.
+
+    ``now`` is what entries without a time get. Times are held against
+    ``read_at``, the clock of the job that reads the files (by default ``now``).
+    """
+    clock = now if read_at is None else read_at
+    published, updated = plausible(F.col("published"), clock), plausible(F.col("updated"), clock)
     at, basis = availability(published, updated, now)
     title = plain_text(F.col("title"))
     ident = F.col("feed_item_id")

@@ -26,6 +26,16 @@ def test_query_matches_sql(spark, con, name):
     assert differences(spark, con, name, SF) is None
 
 
+@pytest.mark.parametrize("name", ["atom_entries"])
+def test_feeds_that_land_long_after_now(spark, tmp_path, name):
+    """Pages whose minute lies more than 26 hours behind the fixed clock of the queries."""
+    ids = [*range(6), 134_040, 134_041, 134_042, 900_000]
+    pages = spark.createDataFrame([(i, f"https://example.com/{i}", "") for i in ids], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    assert differences(spark, oracle(str(tmp_path)), name, str(tmp_path)) is None
+
+
 def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 100
