@@ -363,5 +363,5 @@ def scan_failures(spark, sf):
     kinds = members.filter(key % 7 == 0).withColumn("kind", F.lit("provider")).unionByName(
         members.filter(key % 11 == 0).withColumn("kind", F.lit("odd"))
     )
-    rows = scan(members, materialize(bars_supplier(spark, sf), "bars"), failures=kinds)
+    rows = scan_suppliers(spark, sf, kinds)
     return rows.groupBy("eligibility", "error_code").agg(F.count(F.lit(1)).alias("symbols"))

@@ -1,6 +1,7 @@
 """Registered queries against DuckDB on the smallest tables."""
 
 import os
+from datetime import datetime
 
 import pytest
 
@@ -36,6 +37,17 @@ def test_feeds_that_land_long_after_now(spark, tmp_path, name):
     assert differences(spark, oracle(str(tmp_path)), name, str(tmp_path)) is None
 
 
+def test_failures_are_told_within_the_history_of_the_scan(spark, tmp_path):
+    """Suppliers with bars of the history window, older bars only, and none."""
+    days = [(k, f"{year}-{1 + d // 28:02d}-{1 + d % 28:02d}") for k, year in ((1, 2001), (2, 1995), (3, 2001), (7, 1995), (11, 2001)) for d in range(60)]
+    lines = spark.createDataFrame([(i, i % 9, k, 1, 2.0, 100.0 + i % 7, "A", datetime.fromisoformat(day)) for i, (k, day) in enumerate(days)],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp")
+    for name, rows in (("lineitem", lines), ("supplier", spark.range(1, 14).withColumnRenamed("id", "s_suppkey"))):
+        rows.coalesce(1).write.parquet(str(tmp_path / name))
+        next((tmp_path / name).glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    assert differences(spark, oracle(str(tmp_path)), "scan_failures", str(tmp_path)) is None
+
+
 def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 100
