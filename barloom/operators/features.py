@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.definitions import Feature
@@ -56,6 +56,12 @@ def full_mean(arranged: Arranged, value: str | Column, period: int) -> Column:
     return F.when(F.col("_rn") >= period, F.avg(value).over(arranged.back(period)))
 
 
+def seed_mean(arranged: Arranged, value: str, period: int, first: int) -> Column:
+    """Mean of the ``period`` rows up to row ``first``, read there only: a growing frame adds each row once."""
+    seeding = F.when(F.col("_rn").between(first - period + 1, first), F.col(value))
+    return F.avg(seeding).over(arranged.window.rowsBetween(Window.unboundedPreceding, 0))
+
+
 def rsi_value(gain: Column, loss: Column) -> Column:
     """RSI of smoothed averages; no losses is 100 (or 50 when flat), no gains is 0."""
     return (
@@ -101,13 +107,12 @@ def add_framed(arranged: Arranged, specs: Sequence[Feature]) -> Arranged:
             ready = (F.col("_rn") > p) & (F.count(lr).over(frame) == p)
             second[spec.key] = F.when(ready, F.stddev_samp(lr).over(frame))
         elif name == "rsi":
-            frame = arranged.back(spec["period"])
             for side in ("up", "down"):
-                second[f"_s{side}_{spec.key}"] = F.avg(f"_{side}_{spec['field']}").over(frame)
+                second[f"_s{side}_{spec.key}"] = seed_mean(arranged, f"_{side}_{spec['field']}", spec["period"], spec["period"] + 1)
         elif name == "atr":
-            second[f"_s_{spec.key}"] = F.avg("_tr").over(arranged.back(spec["period"]))
+            second[f"_s_{spec.key}"] = seed_mean(arranged, "_tr", spec["period"], spec["period"])
         elif name == "ema":
-            second[f"_s_{spec.key}"] = F.avg(spec["field"]).over(arranged.back(spec["period"]))
+            second[f"_s_{spec.key}"] = seed_mean(arranged, spec["field"], spec["period"], spec["period"])
     return arranged.with_columns(second) if second else arranged
 
 

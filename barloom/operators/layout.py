@@ -142,6 +142,8 @@ def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], na
     earlier = Window.partitionBy(*keys).orderBy("_prt").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
     starts = counts.select(*keys, "_prt", (before - F.col("_first") + 1).alias("_shift"))
+    # written, so that its size is known before the join is planned: a small table is sent to the rows, which then stay where they are
+    starts = materialize(starts, "starts")
     return joined(rows, starts, [*keys, "_prt"]).withColumn(name, F.col("_id") + F.col("_shift")).drop("_id", "_prt", "_shift")
 
 

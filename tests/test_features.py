@@ -174,3 +174,23 @@ def test_feature_definitions():
     for bad in (dict(name="nope"), dict(name="sma"), dict(name="sma", period=0), dict(name="sma", period=True), dict(name="rsi", length=3)):
         with pytest.raises(DefinitionError):
             feature(**bad)
+
+
+def joins_of_rows(spark, df):
+    return df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+
+
+@pytest.fixture
+def narrow(spark):
+    """Only tables of a few KB count as small."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_stay_where_they_are_for_positions_and_carries(spark, narrow):
+    """Start positions and block ends go to the rows, so these are dealt by range and by block only."""
+    bars = bars_frame(spark, walk_bars(1500, ("AAA", "BBB")))
+    specs = [feature("sma", period=50), feature("rsi")]
+    assert joins_of_rows(spark, with_features(bars, specs)) == 0
