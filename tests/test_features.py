@@ -194,3 +194,4 @@ def test_rows_stay_where_they_are_for_positions_and_carries(spark, narrow):
     bars = bars_frame(spark, walk_bars(1500, ("AAA", "BBB")))
     specs = [feature("sma", period=50), feature("rsi")]
     assert joins_of_rows(spark, with_features(bars, specs)) == 0
+    assert joins_of_rows(spark, ready_from(bars, specs)) == 0
