@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.definitions import Feature
-from barloom.operators.layout import AUTO, Arranged, Layout, arrange
-from barloom.operators.recursive import Recursion, scan
+from barloom.operators.layout import AUTO, Arranged, Layout, arrange, joined
+from barloom.operators.recursive import Recursion, scan, with_runs
 from barloom.schemas import BAR_FIELDS, SERIES_KEY
+from barloom.session import materialize
 
 RECURSIVE = ("ema", "rsi", "atr")
 
@@ -33,6 +35,19 @@ def rows_needed(specs: Iterable[Feature]) -> int:
     return need
 
 
+def fields_read(specs: Iterable[Feature]) -> list[str]:
+    """Bar columns that the features are computed from."""
+    read: dict[str, None] = {}
+    for spec in specs:
+        if spec.name == "atr":
+            read |= dict.fromkeys(("high", "low", "close"))
+        elif spec.name in ("average_volume", "relative_volume"):
+            read["volume"] = None
+        else:
+            read[spec["field"]] = None
+    return list(read)
+
+
 def true_range(arranged: Arranged) -> Column:
     """Largest of high-low and the distances to the previous close."""
     previous = F.lag("close").over(arranged.window)
@@ -74,6 +89,8 @@ def rsi_value(gain: Column, loss: Column) -> Column:
 
 def add_framed(arranged: Arranged, specs: Sequence[Feature]) -> Arranged:
     """Features that a bounded frame can express, plus inputs of the recursive ones."""
+    if any(spec.name in RECURSIVE for spec in specs):
+        arranged = with_runs(arranged)
     first: dict[str, Column] = {}
     for spec in specs:
         if spec.name in ("log_return", "realized_volatility"):
@@ -151,7 +168,7 @@ def drop_helpers(arranged: Arranged) -> Arranged:
         c for c in arranged.df.columns
         if c not in keep and c.startswith(("_lr_", "_up_", "_down_", "_tr", "_s", "_w"))
     ]
-    return Arranged(arranged.df.drop(*helpers), arranged.keys, arranged.part, arranged.block_rows)
+    return replace(arranged, df=arranged.df.drop(*helpers))
 
 
 def featured(arranged: Arranged, specs: Iterable[Feature]) -> Arranged:
@@ -189,12 +206,26 @@ def ready_from(
 ) -> DataFrame:
     """0-based index of the first defined value of each feature (NULL when none)."""
     specs = unique_features(specs)
-    rows = featured(arrange(bars, keys, before=rows_needed(specs), layout=layout), specs).own().df
-    pairs = F.array(*[F.struct(F.lit(s.key).alias("feature_key"), quoted(s.key).alias("value")) for s in specs])
-    flat = rows.select(*keys, "_rn", F.inline(pairs))
-    return flat.groupBy(*keys, "feature_key").agg(
-        F.min(F.when(F.col("value").isNotNull(), F.col("_rn") - 1)).alias("ready_from")
-    )
+    bars = bars.select(*keys, "timestamp", *fields_read(specs))
+    arranged = arrange(bars, keys, before=rows_needed(specs), layout=layout)
+    # a feature reads no later row, so the rows up to where it is first defined are enough; nearly all series have
+    # every feature defined soon after the widest frame is filled, and only the others are computed to their end
+    head = 2 * rows_needed(specs)
+    found = first_defined(replace(arranged, df=arranged.df.filter(F.col("_rn") <= head)), specs)
+    found = materialize(found.withColumn("_done", (F.col("_rows") < head) | F.forall("_first", F.isnotnull)), "ready")
+    open_ones = found.filter(~F.col("_done"))
+    if not open_ones.isEmpty():
+        whole = first_defined(replace(arranged, df=joined(arranged.df, open_ones.select(*keys), keys)), specs)
+        found = found.filter("_done").drop("_done").unionByName(whole)
+    names = F.array(*[F.lit(s.key) for s in specs])
+    return found.select(*keys, F.inline(F.arrays_zip(names.alias("feature_key"), F.col("_first").alias("ready_from"))))
+
+
+def first_defined(arranged: Arranged, specs: Sequence[Feature]) -> DataFrame:
+    """One row per series: its own rows, and the 0-based index of the first defined value of each feature."""
+    rows = featured(arranged, specs).own().df
+    first = [F.min(F.when(quoted(s.key).isNotNull(), F.col("_rn") - 1)) for s in specs]
+    return rows.groupBy(*arranged.keys).agg(F.count(F.lit(1)).alias("_rows"), F.array(*first).alias("_first"))
 
 
 def field_values(bars: DataFrame, field: str, keys: Sequence[str] = SERIES_KEY) -> DataFrame:

@@ -47,10 +47,11 @@ class Arranged:
     keys: tuple[str, ...]
     part: tuple[str, ...]
     block_rows: int
+    order: tuple[str, ...] = ("_rn",)
 
     @property
     def window(self):
-        return Window.partitionBy(*self.part).orderBy("_rn")
+        return Window.partitionBy(*self.part).orderBy(*self.order)
 
     def back(self, rows: int):
         """Frame of ``rows`` rows that ends at the current row."""
@@ -121,7 +122,7 @@ def cut(df: DataFrame, block_rows: int, before: int, after: int) -> DataFrame:
     low = F.greatest(F.floor((i - after) / block_rows), F.lit(0))
     high = F.floor((i + before) / block_rows)
     if before or after:
-        df = df.withColumn("_blk", F.explode(F.sequence(low, high)))
+        df = df.withColumn("_blk", F.explode(F.when(low == high, F.array(high)).otherwise(F.sequence(low, high))))
     else:
         df = df.withColumn("_blk", low)
     return df.withColumn("_own", F.col("_blk") == F.floor(i / block_rows))

@@ -46,25 +46,39 @@ def decayed(step: float):
     return lambda total, d: total * F.lit(step) + d
 
 
+def rows_of_a_run(arranged: Arranged) -> int:
+    if arranged.block_rows % RUN_ROWS == 0:
+        return RUN_ROWS
+    if arranged.block_rows > RUN_ROWS:
+        raise ValueError("block_rows must be a multiple of 512 or below 512")
+    return arranged.block_rows
+
+
+def with_runs(arranged: Arranged) -> Arranged:
+    """Number the runs of every block (halo rows before it lie in runs below 0).
+
+    Windows are then ordered by run and position, which is the order by position,
+    so that windows over blocks and over runs share one sort.
+    """
+    run_rows = rows_of_a_run(arranged)
+    i = F.col("_rn") - 1
+    columns = {"_run": F.floor((i - F.col("_blk") * arranged.block_rows) / run_rows), "_pos": (i % run_rows).cast("int")}
+    return replace(arranged.with_columns(columns), order=("_run", "_rn"))
+
+
 def scan(arranged: Arranged, recursions: list[Recursion]) -> Arranged:
     """Add one column per recursion (NULL before its first position)."""
     if not recursions:
         return arranged.own()
-    run_rows = RUN_ROWS
-    if arranged.block_rows % RUN_ROWS:
-        run_rows = min(arranged.block_rows, RUN_ROWS)
-        if arranged.block_rows % run_rows:
-            raise ValueError("block_rows must be a multiple of 512 or below 512")
+    run_rows = rows_of_a_run(arranged)
+    if "_run" not in arranged.df.columns:
+        arranged = with_runs(arranged)
     rn = F.col("_rn")
     inputs = {
         f"_u_{i}": F.when(rn == r.first, r.seed).when(rn > r.first, F.lit(r.gain) * r.x).otherwise(F.lit(0.0))
         for i, r in enumerate(recursions)
     }
     arranged = arranged.with_columns(inputs).own()
-    block_rows = arranged.block_rows
-    arranged = arranged.with_columns(
-        {"_run": F.floor((rn - 1) % block_rows / run_rows), "_pos": ((rn - 1) % run_rows).cast("int")}
-    )
     inside = (
         Window.partitionBy(*arranged.part, "_run").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -94,7 +108,8 @@ def scan(arranged: Arranged, recursions: list[Recursion]) -> Arranged:
 
 def in_block(i: int, r: Recursion, carried: Column, run_rows: int) -> Column:
     """The recursion's value at a row, given what the block's earlier rows are preceded by."""
-    into_run = F.aggregate(f"_e_{i}", carried, decayed(r.decay**run_rows))
+    ends = F.col(f"_e_{i}")
+    into_run = F.when(F.size(ends) == 0, carried).otherwise(F.aggregate(ends, carried, decayed(r.decay**run_rows)))
     return F.col(f"_l_{i}") + F.pow(F.lit(r.decay), F.col("_pos")) * F.lit(r.decay) * into_run
 
 
@@ -129,4 +144,4 @@ def finished(arranged: Arranged, recursions: list[Recursion], helpers, run_rows:
         value = F.col(f"_u_{i}") if r.decay == 0.0 else in_block(i, r, F.coalesce(f"_c_{i}", F.lit(0.0)), run_rows)
         outs[r.out] = F.when(F.col("_rn") >= r.first, value)
     rows = arranged.with_columns(outs)
-    return replace(rows, df=rows.df.drop("_run", "_pos", *helpers))
+    return replace(rows, df=rows.df.drop("_run", "_pos", *helpers), order=("_rn",))

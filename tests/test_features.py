@@ -9,6 +9,7 @@ import pytest
 from barloom.definitions import DefinitionError, feature
 from barloom.operators.features import field_values, prefix, ready_from, with_features
 from barloom.operators.layout import Layout, arrange, placed, running
+from barloom.session import copies
 from tests.conftest import bars_frame, closes_frame, walk_bars
 
 CUT = Layout(16)
@@ -195,3 +196,33 @@ def test_rows_stay_where_they_are_for_positions_and_carries(spark, narrow):
     specs = [feature("sma", period=50), feature("rsi")]
     assert joins_of_rows(spark, with_features(bars, specs)) == 0
     assert joins_of_rows(spark, ready_from(bars, specs)) == 0
+
+
+@pytest.mark.parametrize("layout", [WHOLE, CUT], ids=["whole", "cut"])
+def test_features_defined_late_are_found_beyond_the_head(spark, layout):
+    """Volume that starts late, in one series of several; a short series and one without a name."""
+    late = [(*r[:9], 0.0 if i < 150 else r[9]) for i, r in enumerate(walk_bars(200, ("LATE",)))]
+    never = [(*r[:9], 0.0) for r in walk_bars(90, ("NEVER",))]
+    unnamed = [(None, *r[1:]) for r in late]
+    bars = bars_frame(spark, late + never + unnamed + walk_bars(90, ("SOON",)) + walk_bars(10, ("SHORT",)))
+    rel, rsi = feature("relative_volume", period=20), feature("rsi")
+    got = {(r.symbol, r.feature_key): r.ready_from for r in ready_from(bars, [rel, rsi], layout=layout).collect()}
+    want = {"LATE": (150, 14), None: (150, 14), "NEVER": (None, 14), "SOON": (19, 14), "SHORT": (None, None)}
+    assert got == {(s, f.key): v for s, both in want.items() for f, v in zip((rel, rsi), both)}
+
+
+def test_windows_of_a_block_share_one_sort(spark):
+    """Framed features, runs and ends of runs follow one order; before, rows were sorted three times."""
+    plan = with_features(bars_frame(spark, walk_bars(60)), [feature("sma", period=5), feature("rsi")])._jdf.queryExecution().executedPlan().toString()
+    rows = plan[:plan.index("BroadcastExchange")]
+    assert rows.count("Window [") >= 3 and rows.count("Sort [") == 1
+
+
+def test_readiness_orders_and_keeps_only_what_it_reads(spark):
+    before = set(copies(spark))
+    ready_from(bars_frame(spark, walk_bars(1500)), [feature("sma", period=5), feature("rsi")]).collect()
+    new = [p for p in copies(spark) if p not in before]
+    ordered, found = [next(p for p in new if f"/{label}-" in p) for label in ("ordered", "ready")]
+    assert not {"open", "high", "low", "volume"} & set(spark.read.parquet(ordered).columns)
+    # every row is placed; the windows see the head of the series
+    assert spark.read.parquet(ordered).count() == 1500 and spark.read.parquet(found).first()["_rows"] < 100
