@@ -31,12 +31,14 @@ SUPER = 4096
 
 @dataclass(frozen=True)
 class Layout:
-    """Rows of a block."""
+    """Rows of a block, and whether most rows belong to few long series."""
 
     block_rows: int = 8192
+    long_series: bool = False
 
 
 AUTO = Layout()
+LONG = Layout(long_series=True)
 
 
 @dataclass(frozen=True)
@@ -128,16 +130,25 @@ def cut(df: DataFrame, block_rows: int, before: int, after: int) -> DataFrame:
     return df.withColumn("_own", F.col("_blk") == F.floor(i / block_rows))
 
 
-def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "_rn") -> DataFrame:
+def placed(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "_rn", long_series: bool = False
+) -> DataFrame:
     """Add the 1-based position of every row in its series; without keys all rows are one series.
 
     Partitions of the range exchange follow one another in the order, so a row's
     position is its number within its partition plus the rows of its series in
     the partitions before, of which there is one count per series and partition.
+    Rows of one long series all begin with the same name, so that sorting them by
+    series would compare whole rows: with ``long_series`` they are sorted by the
+    order alone first, and the sort by series finds them in place.
     """
     keys = list(keys)
     ordered = [*map(F.col, keys), *[F.col(x) if isinstance(x, str) else x for x in order]]
-    rows = df.repartitionByRange(*ordered).sortWithinPartitions(*ordered).withColumn("_id", F.monotonically_increasing_id())
+    rows = df.repartitionByRange(*ordered)
+    if keys and long_series:
+        rows = rows.sortWithinPartitions(*ordered[len(keys):]).withColumn("_id", F.monotonically_increasing_id())
+        ordered = [*ordered[:len(keys)], F.col("_id")]
+    rows = rows.sortWithinPartitions(*ordered).withColumn("_id", F.monotonically_increasing_id())
     rows = materialize(rows, "ordered").withColumn("_prt", F.shiftright("_id", 33))
     counts = rows.groupBy(*keys, "_prt").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_prt").rowsBetween(Window.unboundedPreceding, -1)
@@ -158,7 +169,7 @@ def arrange(
 ) -> Arranged:
     """Number the rows of every series and lay them out in bounded blocks."""
     keys = tuple(keys)
-    rows = cut(placed(df, keys, order), layout.block_rows, before, after)
+    rows = cut(placed(df, keys, order, long_series=layout.long_series), layout.block_rows, before, after)
     return Arranged(rows, keys, (*keys, "_blk"), layout.block_rows)
 
 

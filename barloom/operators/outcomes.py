@@ -62,14 +62,18 @@ def outcome_structs(specs: Sequence[OutcomeSpec], eligible: Column) -> Column:
                 F.when(measured, future / F.col("f_ref_price") - 1.0).alias("outcome_value"),
             )
         )
-    own = [F.when(F.col("basis") == s.basis, item) for s, item in zip(specs, items)]
-    kept = F.array_compact(F.array(*own))
-    return F.when(F.size(kept) > 0, kept).otherwise(refused.cast("void"))
+    # the specs of a basis are known here; choosing them per row would build every outcome twice, without compilation
+    out = refused.cast("void")
+    for basis in dict.fromkeys(s.basis for s in specs):
+        own = F.array(*[item for s, item in zip(specs, items) if s.basis == basis])
+        out = F.when(F.col("basis") == basis, own).otherwise(out)
+    return out
 
 
 def forward_bars(bars: DataFrame, specs: Sequence[OutcomeSpec], layout: Layout = AUTO) -> DataFrame:
     """Bar keys with the forward columns of every spec."""
-    arranged = arrange(bars, after=rows_ahead(specs), layout=layout)
+    read = dict.fromkeys(["open", *[s.future_field for s in specs]])
+    arranged = arrange(bars.select(*SERIES_KEY, "timestamp", *read), after=rows_ahead(specs), layout=layout)
     arranged = arranged.with_columns(forward_columns(arranged, specs))
     return arranged.result().select(*SERIES_KEY, "timestamp", *forward_columns(arranged, specs))
 
@@ -86,7 +90,9 @@ def evaluate(
 
 def at_their_bars(points: DataFrame, ahead: DataFrame) -> DataFrame:
     """Points with their bar's forward columns; a point without its exact bar ends the job (``match_issues`` lists them)."""
-    joined = points.join(ahead.withColumn("f_held", F.lit(True)), [*SERIES_KEY, "timestamp"], "left")
+    # time first: rows are sorted by it, and those of one long series would all begin with the same name
+    joined = points.join(ahead.withColumn("f_held", F.lit(True)), ["timestamp", *SERIES_KEY], "left")
+    joined = joined.select(*SERIES_KEY, *[c for c in joined.columns if c not in SERIES_KEY])
     named = F.concat_ws(" ", F.lit("no_matching_bar"), *[F.col(k).cast("string") for k in (*SERIES_KEY, "timestamp")])
     return joined.withColumn("f_held", F.when(F.col("f_held"), True).otherwise(F.raise_error(named).cast("boolean"))).filter("f_held")
 

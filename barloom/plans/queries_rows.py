@@ -13,7 +13,7 @@ from barloom.operators import validation as vl
 from barloom.operators.assess import REASON_ORDER, ordered_codes
 from barloom.operators.features import with_features
 from barloom.operators.hypotheses import HYPOTHESES, observe, verdict_issues
-from barloom.operators.layout import arrange, placed, running
+from barloom.operators.layout import LONG, arrange, placed, running
 from barloom.operators.outcomes import measure_forward
 from barloom.operators.quality import implausible, normalize_bars
 from barloom.operators.runs import episodes
@@ -293,7 +293,7 @@ def ticks(spark, sf):
         F.timestamp_millis(F.unix_millis(F.col("l_shipdate").cast("timestamp")) + k * 10 + F.col("l_linenumber")).alias("timestamp"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity",
     )
-    each = lines.groupBy("symbol", "timestamp").agg(F.min("price").alias("close"), F.sum("l_quantity").alias("volume"))
+    each = lines.groupBy("timestamp", "symbol").agg(F.min("price").alias("close"), F.sum("l_quantity").alias("volume"))
     return as_bars(each.withColumns({f: F.col("close") for f in ("open", "high", "low")}), "tick", "lineitem")
 
 
@@ -305,7 +305,7 @@ def ticks(spark, sf):
 def tick_averages(spark, sf):
     """Frames that reach over the edges of blocks."""
     average, change = feature("sma", period=20), feature("simple_return")
-    rows = with_features(ticks(spark, sf), [average, change])
+    rows = with_features(ticks(spark, sf), [average, change], layout=LONG)
     return rows.select(
         "symbol", F.unix_millis("timestamp").alias("t"), rounded(F.col(f"`{average.key}`"), 4).alias("average"),
         rounded(F.col(f"`{change.key}`")).alias("change"),
@@ -322,7 +322,7 @@ SELECT symbol, CASE WHEN up THEN 'up' ELSE 'down' END AS state, count(*) AS runs
 def tick_runs(spark, sf):
     """Runs numbered over all blocks of a series."""
     state = F.when(F.col("close") > 1500, "up").otherwise("down")
-    runs = episodes(ticks(spark, sf).withColumn("state", state), ("symbol",))
+    runs = episodes(ticks(spark, sf).withColumn("state", state), ("symbol",), layout=LONG)
     return runs.groupBy("symbol", "state").agg(
         F.count(F.lit(1)).alias("runs"), F.max("length").alias("longest"), F.max("episode_index").alias("last_index"))
 
@@ -339,7 +339,7 @@ SELECT symbol, {rounded_sql("100 - 100 / (1 + ag / al)")} AS last_rsi FROM e""",
 def tick_strength(spark, sf):
     """The recursive average at the end of every series, carried over all blocks."""
     rsi = feature("rsi")
-    rows = with_features(ticks(spark, sf), [rsi])
+    rows = with_features(ticks(spark, sf), [rsi], layout=LONG)
     last = rows.groupBy("symbol").agg(F.max_by(F.col(f"`{rsi.key}`"), "timestamp").alias("v"))
     return last.select("symbol", rounded(F.col("v")).alias("last_rsi"))
 
@@ -354,7 +354,7 @@ SELECT symbol, {rounded_sql("list_reduce(list_prepend(e0, e), lambda y, x: y + (
 def tick_recursions(spark, sf):
     """Exponential average and average true range at the end of every series."""
     ema, atr = feature("ema", period=12), feature("atr", period=14)
-    rows = with_features(ticks(spark, sf), [ema, atr])
+    rows = with_features(ticks(spark, sf), [ema, atr], layout=LONG)
     last = rows.groupBy("symbol").agg(
         *[F.max_by(F.col(f"`{x.key}`"), "timestamp").alias(name) for x, name in ((ema, "e"), (atr, "a"))], F.count(F.lit(1)).alias("ticks"))
     return last.select("symbol", rounded(F.col("e"), 4).alias("last_ema"), rounded(F.col("a"), 4).alias("last_atr"), "ticks")
@@ -367,7 +367,7 @@ def tick_recursions(spark, sf):
 )
 def tick_sums(spark, sf):
     """Running sum and maximum of every tick, over all blocks before its own."""
-    rows = running(arrange(ticks(spark, sf)), {"_sum": ("volume", "sum"), "_max": ("close", "max")}).df
+    rows = running(arrange(ticks(spark, sf), layout=LONG), {"_sum": ("volume", "sum"), "_max": ("close", "max")}).df
     return rows.select(
         "symbol", F.unix_millis("timestamp").alias("t"), F.col("_sum").cast("long").alias("volume_so_far"), F.col("_rn").alias("place"),
         rounded(F.col("_max"), 4).alias("highest"))
@@ -384,6 +384,6 @@ def tick_outcomes(spark, sf):
     """Outcomes whose reference or future tick lies in the next block."""
     bars = ticks(spark, sf)
     points = bars.select("symbol", "interval", "source", "basis", "timestamp")
-    found = measure_forward(points, bars, (OutcomeSpec(1), OutcomeSpec(20)))
+    found = measure_forward(points, bars, (OutcomeSpec(1), OutcomeSpec(20)), LONG)
     return found.groupBy("symbol", F.col("horizon_bars").cast("bigint").alias("horizon_bars"), "status").agg(
         F.count(F.lit(1)).alias("points"), rounded(F.avg("outcome_value")).alias("mean"))

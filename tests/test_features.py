@@ -226,3 +226,12 @@ def test_readiness_orders_and_keeps_only_what_it_reads(spark):
     assert not {"open", "high", "low", "volume"} & set(spark.read.parquet(ordered).columns)
     # every row is placed; the windows see the head of the series
     assert spark.read.parquet(ordered).count() == 1500 and spark.read.parquet(found).first()["_rows"] < 100
+
+
+def test_long_series_are_placed_by_time_and_then_by_name(spark):
+    draw = random.Random(5)
+    rows = [(s, draw.random(), k) for k, s in enumerate(["hot"] * 300 + [None] * 40 + ["a", "b", "c"] * 20)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "s string, x double, k int")
+    one, two = [sorted((r.k, r._rn) for r in placed(df, ("s",), ("x",), long_series=long).collect()) for long in (True, False)]
+    assert one == two and len(one) == len(rows)

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from barloom.definitions import DefinitionError, Hypothesis, OutcomeSpec, Policy, feature
 from barloom.operators.assess import assess, ensemble_issues, ordered_codes
 from barloom.operators.hypotheses import HYPOTHESES, TREND_ALIGNMENT, observe, verdict, verdict_issues
-from barloom.operators.layout import Layout
-from barloom.operators.outcomes import SPECS, evaluate, match_issues, spacing_issues, status_issues, summarize
+from barloom.operators.layout import LONG, Layout
+from barloom.operators.outcomes import SPECS, evaluate, match_issues, measure_forward, spacing_issues, status_issues, summarize
 from barloom.operators.runs import count_runs, episode_summary, episodes, events_since
 from barloom.operators.scanner import scan, scan_counters, universe_issues
 from barloom.operators.stats import describe
 from barloom.plans.study import StudyDefinition, coverage, coverage_issues, observation_rows, result_groups, study_issues
+from barloom.session import copies
 from tests.conftest import bars_frame, walk_bars
 
 CUT = Layout(16)
@@ -226,3 +227,30 @@ def test_scan_order_and_failures(spark):
     assert (counts.total, counts.failed, counts.status, counts.balanced) == (5, 2, "partial", True)
     many = spark.createDataFrame([("u", f"S{i}") for i in range(101)] + [("v", "a b")], "universe_id string, symbol string")
     assert {(r.universe_id, r.issue) for r in universe_issues(many, most=100).collect()} == {("u", "too_many_symbols"), ("v", "bad_symbol")}
+
+
+@pytest.mark.parametrize("layout", [LONG, Layout(16, long_series=True), CUT], ids=["long", "long cut", "cut"])
+def test_every_point_is_measured_under_the_specs_of_its_basis(spark, layout):
+    rows = walk_bars(70, ("A", "B")) + [(*r[:3], "split_and_dividend_adjusted", *r[4:]) for r in walk_bars(40, ("A",))]
+    specs = (OutcomeSpec(1), OutcomeSpec(5, "high"), OutcomeSpec(3, "low", basis="split_and_dividend_adjusted"))
+    bars = bars_frame(spark, rows)
+    before = set(copies(spark))
+    found = measure_forward(bars.select("symbol", "interval", "source", "basis", "timestamp"), bars, specs, layout)
+    assert found.columns[:5] == ["symbol", "interval", "source", "basis", "timestamp"]
+    series, want = {}, {}
+    for r in rows:
+        series.setdefault((r[0], r[3]), []).append(r)
+    for (symbol, basis), mine in series.items():
+        for s in (s for s in specs if s.basis == basis):
+            field = {"high": 6, "low": 7, "close": 8}[s.future_field]
+            for i, r in enumerate(mine):
+                value = mine[i + s.horizon_bars][field] / mine[i + 1][5] - 1 if i + s.horizon_bars < len(mine) else None
+                want[symbol, basis, r[4], s.horizon_bars] = value
+    got = {(r.symbol, r.basis, r.timestamp, r.horizon_bars): r.outcome_value for r in found.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] is None if v is None else math.isclose(got[k], v, abs_tol=1e-12) for k, v in want.items())
+    # outcomes are compiled, rows meet by time first, and only what is read is placed
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "SortMergeJoin [symbol" not in plan
+    ordered = next(p for p in copies(spark) if p not in before and "/ordered-" in p)
+    assert not {"volume"} & set(spark.read.parquet(ordered).columns)
